@@ -16,15 +16,10 @@ def _finite(value: Column) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == F.lit(float("inf"))), F.lit(None)).otherwise(value)
 
 
-def parse_catalog(
-    lines: DataFrame, ra: int = 0, dec: int = 1, weight: int = -1, id: int = -1, extra: dict[str, int] | None = None,
-    mirror: bool = True,
+def _fields(
+    lines: DataFrame, ra: int, dec: int, weight: int, id: int, extra: dict[str, int] | None
 ) -> DataFrame:
-    """Lines (`value`) to `id`, `ra`, `dec`, `weight`, extra doubles, angles and unit vector.
-
-    A negative position means absent: weight 1.0, id -1.  A row is dropped when a wanted field is missing or not a
-    number, or when |dec| > 90.  A header drops out the same way.
-    """
+    """Every line's wanted fields, and `usable`: all of them present and in range."""
     fields = {
         "id": F.lit(-1).cast("bigint") if id < 0 else _number(id, "bigint"),
         "ra": _finite(_number(ra, "double")),
@@ -33,7 +28,20 @@ def parse_catalog(
         **{name: _number(position, "double") for name, position in (extra or {}).items()},
     }
     rows = lines.select(*[value.alias(name) for name, value in fields.items()])
-    rows = rows.where(" AND ".join(f"{name} IS NOT NULL" for name in fields) + " AND abs(dec) <= 90")
+    present = " AND ".join(f"{name} IS NOT NULL" for name in fields)
+    return rows.withColumn("usable", F.expr(f"coalesce({present} AND abs(dec) <= 90, false)"))
+
+
+def parse_catalog(
+    lines: DataFrame, ra: int = 0, dec: int = 1, weight: int = -1, id: int = -1, extra: dict[str, int] | None = None,
+    mirror: bool = True,
+) -> DataFrame:
+    """Lines (`value`) to `id`, `ra`, `dec`, `weight`, extra doubles, angles and unit vector.
+
+    A negative position means absent: weight 1.0, id -1.  A row is dropped when a wanted field is missing or not a
+    number, or when |dec| > 90.  A header drops out the same way.
+    """
+    rows = _fields(lines, ra, dec, weight, id, extra).where("usable").drop("usable")
     rows = rows.withColumns({"theta": theta_of_dec(F.col("dec")), "phi": phi_of_ra(F.col("ra"), mirror)})
     return with_vector(rows)
 
@@ -60,10 +68,12 @@ def read_calibration(spark: SparkSession, path: str, mirror: bool = True) -> Dat
     return parse_calibration(spark.read.text(path), mirror)
 
 
-def rejected(lines: DataFrame, **columns) -> DataFrame:
-    """One row: `n_lines`, `n_rejected` for the same arguments as `parse_catalog`, in one pass over the lines."""
-    kept = parse_catalog(lines, **columns).agg(F.count("*").alias("kept"))
-    return lines.agg(F.count("*").alias("n_lines"), (F.count("*") - kept.scalar()).alias("n_rejected"))
+def rejected(
+    lines: DataFrame, ra: int = 0, dec: int = 1, weight: int = -1, id: int = -1, extra: dict[str, int] | None = None
+) -> DataFrame:
+    """One row: `n_lines`, `n_rejected` for the same arguments as `parse_catalog`."""
+    return _fields(lines, ra, dec, weight, id, extra).agg(
+        F.count("*").alias("n_lines"), F.count_if(~F.col("usable")).alias("n_rejected"))
 
 
 def unit_points(df: DataFrame, ra: str = "ra", dec: str = "dec", mirror: bool = True) -> DataFrame:
