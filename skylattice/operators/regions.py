@@ -163,18 +163,20 @@ class Polygon(Region):
 
     def contains(self, x, y, z):
         pole, east, north = self._frame()
-        along = lambda axis: x * F.lit(axis[0]) + y * F.lit(axis[1]) + z * F.lit(axis[2])
-        depth = along(pole)
-        u, v = F.try_divide(along(east), depth), F.try_divide(along(north), depth)
+        form = lambda w: x * F.lit(w[0]) + y * F.lit(w[1]) + z * F.lit(w[2])
+        mix = lambda *terms: tuple(sum(factor * axis[i] for factor, axis in terms) for i in range(3))
         plane = [(_dot(p, east) / _dot(p, pole), _dot(p, north) / _dot(p, pole)) for p in self.vertices]
+        # In the plane a point is (east, north) / pole.  Multiplied by its positive depth, every comparison of the
+        # crossing test is the sign of a linear form in x, y, z.
+        above = [form(mix((v, pole), (-1.0, north))) > F.lit(0.0) for _, v in plane]
         crossings = []
-        for (u1, v1), (u2, v2) in zip(plane, plane[1:] + plane[:1]):
+        for i, ((u1, v1), (u2, v2)) in enumerate(zip(plane, plane[1:] + plane[:1])):
             if v1 == v2:
                 continue
-            spans = (F.lit(v1) > v) != (F.lit(v2) > v)
-            crossings.append(F.when(spans & (u < (v - F.lit(v1)) * F.lit((u2 - u1) / (v2 - v1)) + F.lit(u1)), 1).otherwise(0))
-        odd = F.pmod(reduce(lambda p, q: p + q, crossings), F.lit(2)) == 1
-        return F.coalesce((depth > F.lit(0.0)) & odd, F.lit(False))
+            slope = (u2 - u1) / (v2 - v1)
+            left = form(mix((1.0, east), (-slope, north), (slope * v1 - u1, pole))) < F.lit(0.0)
+            crossings.append(((above[i] != above[(i + 1) % len(plane)]) & left).cast("int"))
+        return (form(pole) > F.lit(0.0)) & (reduce(lambda p, q: p + q, crossings) % 2 == 1)
 
     def zone(self, x, y, z, slack):
         near = []
@@ -188,8 +190,8 @@ class Polygon(Region):
             band = F.lit(True) if slack >= math.pi / 2 else off <= F.lit(math.sin(slack))
             near.append(band & (along >= F.lit(math.cos(min(math.pi, half + slack)) - 1e-12)))
         touched = reduce(lambda p, q: p | q, near)
-        inside = self.contains(x, y, z)
-        return F.when(touched, F.when(inside, 2).otherwise(1)).otherwise(F.when(inside, 3).otherwise(0))
+        # Outside 0, or 1 if touched; inside 3, or 2 if touched.
+        return F.abs(3 * self.contains(x, y, z).cast("int") - touched.cast("int"))
 
 
 @dataclass(frozen=True)
@@ -239,7 +241,9 @@ class Outside(Region):
 
 
 def points_in_region(points: DataFrame, region: Region) -> DataFrame:
-    return points.where(region.contains(F.col("x"), F.col("y"), F.col("z")))
+    inside = F.explode(F.array(region.contains(F.col("x"), F.col("y"), F.col("z"))))
+    # Through a generator, so that the filter is not merged with whatever computes x, y and z.
+    return points.select("*", inside.alias("_inside")).where("_inside").drop("_inside")
 
 
 Zone = Callable[[Column, Column, Column, float], Column]
