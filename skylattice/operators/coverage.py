@@ -19,26 +19,25 @@ from skylattice.operators.ranking import prefix_sum
 SKY_END = npix(MAX_ORDER)
 
 
-def _ends(ranges: DataFrame, side: str, other: str) -> DataFrame:
+def _ends(ranges: DataFrame, side: str = "a", other: str | None = None) -> DataFrame:
     """Two rows per range, +1 at its start and -1 at its end; empty ranges are ignored."""
     steps = F.array(
         F.struct(F.col("lo").alias("pos"), F.lit(1).cast("bigint").alias(side)),
         F.struct(F.col("hi").alias("pos"), F.lit(-1).cast("bigint").alias(side)),
     )
-    return (
-        ranges.where("lo < hi").select("set_id", F.inline(steps))
-        .withColumn(other, F.lit(0).cast("bigint"))
-        .select("set_id", "pos", "a", "b")
-    )
+    ends = ranges.where("lo < hi").select("set_id", F.inline(steps))
+    return ends.withColumn(other, F.lit(0).cast("bigint")).select("set_id", "pos", "a", "b") if other else ends
 
 
-def _sweep(ends: DataFrame, keep: Callable[[Column, Column], Column], order: int) -> DataFrame:
-    """Ranges on which `keep(inside a, inside b)` holds, as few and as long as possible."""
+def _sweep(ends: DataFrame, keep: Callable[..., Column], order: int) -> DataFrame:
+    """Ranges on which `keep(inside a[, inside b])` holds, as few and as long as possible."""
     low_bits, bits = 2 * (MAX_ORDER - order), 2 * order + 4
-    steps = ends.groupBy("set_id", "pos").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a <> 0 OR b <> 0")
-    depth = prefix_sum(steps, ["set_id"], "pos", {"depth_a": "a", "depth_b": "b"}, bits, low_bits)
-    before = keep(F.col("depth_a") > 0, F.col("depth_b") > 0)
-    after = keep(F.col("depth_a") + F.col("a") > 0, F.col("depth_b") + F.col("b") > 0)
+    sides = [name for name in ("a", "b") if name in ends.columns]
+    steps = ends.groupBy("set_id", "pos").agg(*[F.sum(side).alias(side) for side in sides])
+    steps = steps.where(" OR ".join(f"{side} <> 0" for side in sides))
+    depth = prefix_sum(steps, ["set_id"], "pos", {f"depth_{side}": side for side in sides}, bits, low_bits)
+    before = keep(*[F.col(f"depth_{side}") > 0 for side in sides])
+    after = keep(*[F.col(f"depth_{side}") + F.col(side) > 0 for side in sides])
     changes = depth.where(before != after).select("set_id", "pos", F.lit(1).cast("bigint").alias("one"))
     # Changes alternate start, end, start, end: numbers 2k and 2k+1 are one range.
     numbered = prefix_sum(changes, ["set_id"], "pos", {"number": "one"}, bits, low_bits)
@@ -53,7 +52,7 @@ def _two_sided(a: DataFrame, b: DataFrame, keep: Callable[[Column, Column], Colu
 
 def coalesce(ranges: DataFrame, order: int = MAX_ORDER) -> DataFrame:
     """Merge overlapping and touching ranges."""
-    return _sweep(_ends(ranges, "a", "b"), lambda in_a, in_b: in_a, order)
+    return _sweep(_ends(ranges), lambda inside: inside, order)
 
 
 def union(a: DataFrame, b: DataFrame, order: int = MAX_ORDER) -> DataFrame:

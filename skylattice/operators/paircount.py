@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skylattice.functions.angles import chord_of
 from skylattice.functions.bins import Bins
 from skylattice.functions.cells import with_centre, with_ring_centre
-from skylattice.operators.proximity import cube_side, in_home_cube, in_touched_cubes, split_hot_keys
+from skylattice.operators.proximity import cube_side, in_home_cube, in_touched_cubes, split_hot_keys, spread
 
 KINDS = ("dd", "dr", "rr")
 
@@ -55,8 +55,8 @@ def cross_histogram(
     side = cube_side(chord, cubes_per_ball)
     a = in_home_cube(_prefixed(merge_copies(left), "a_"), side, "a_x", "a_y", "a_z")
     b = in_touched_cubes(_prefixed(merge_copies(right), "b_"), side, chord, "b_x", "b_y", "b_z")
-    a, b, keys = split_hot_keys(a, b, "cube", hot_rows)
-    pairs = _binned(a.join(b, keys), bins, upper_closed)
+    a, b, keys = split_hot_keys(a, b, "cube", hot_rows, ["a_x", "a_y", "a_z"], ["b_x", "b_y", "b_z"])
+    pairs = _binned(spread(a, keys).join(b, keys), bins, upper_closed)
     found = pairs.groupBy("bin").agg(
         F.sum(F.col("a_weight") * F.col("b_weight")).alias("weighted"), F.sum(F.col("a_n") * F.col("b_n")).alias("pairs")
     )
@@ -86,8 +86,8 @@ def pair_sums(
     # Half of the neighbourhood is enough: a copy only visits cubes up to its own.
     b = in_touched_cubes(b, side, chord, "b_x", "b_y", "b_z").where("cube <= b_home")
     b = b.withColumn("b_same", F.col("cube") == F.col("b_home")).drop("b_home")
-    a, b, keys = split_hot_keys(a, b, "cube", hot_rows)
-    pairs = _binned(a.join(b, keys), bins, upper_closed)
+    a, b, keys = split_hot_keys(a, b, "cube", hot_rows, ["a_x", "a_y", "a_z"], ["b_x", "b_y", "b_z"])
+    pairs = _binned(spread(a, keys).join(b, keys), bins, upper_closed)
     pairs = pairs.where(F.expr(f"NOT b_same OR {_precedes(['x', 'y', 'z', 'is_random', 'region'])}"))
     times = F.when(F.col("a_is_random") == F.col("b_is_random"), 2).otherwise(1)
     columns = ["kind", "bin", "region_1", "region_2"]

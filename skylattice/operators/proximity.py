@@ -30,7 +30,9 @@ def cube_side(chord: float, cubes_per_ball: float = 1.0) -> float:
 def _cube_id(x: str, y: str, z: str) -> Column:
     """One long per cube, so that the join hashes and compares a single primitive."""
     parts = [f"cast({v} AS bigint) + {_AXIS_OFFSET}L" for v in (x, y, z)]
-    return F.expr(f"shiftleft({parts[0]}, {2 * _AXIS_BITS}) | shiftleft({parts[1]}, {_AXIS_BITS}) | ({parts[2]})")
+    cube = f"shiftleft({parts[0]}, {2 * _AXIS_BITS}) | shiftleft({parts[1]}, {_AXIS_BITS}) | ({parts[2]})"
+    # Never NULL: a join on it needs no null filter, which would compute the positions a second time.
+    return F.expr(f"coalesce({cube}, -1L)")
 
 
 def in_home_cube(points: DataFrame, side: float, x: str = "x", y: str = "y", z: str = "z", out: str = "cube") -> DataFrame:
@@ -57,15 +59,30 @@ def in_touched_cubes(
     )
 
 
-def split_hot_keys(left: DataFrame, right: DataFrame, key: str, rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Spread the pairs of any key with more than `rows` rows on a side over a rectangle of smaller groups.
+# Key sizes are estimated on this fraction of the rows, taken by a hash so that every evaluation agrees.
+_SAMPLE = 64
 
-    The left rows of a hot key are dealt into strips, and so are the right rows; each strip is copied to every
-    strip of the other side, so all pairs still meet exactly once.  No group exceeds about `rows` x `rows`
-    candidates.  Returns both sides and the columns to join on.
+
+def _estimated_sizes(side: DataFrame, key: str, identity: list[str], rows: int, out: str) -> DataFrame:
+    fraction = _SAMPLE if rows >= 16 * _SAMPLE else 1
+    if fraction > 1:
+        side = side.where(F.pmod(F.xxhash64(*identity), F.lit(fraction)) == 0)
+    return side.groupBy(key).agg((F.count("*") * fraction).alias(out))
+
+
+def split_hot_keys(
+    left: DataFrame, right: DataFrame, key: str, rows: int, left_identity: list[str], right_identity: list[str]
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Spread the pairs of any key with more than about `rows` rows on a side over a rectangle of smaller groups.
+
+    The left rows of a hot key are dealt into strips by a hash of their identity columns, and so are the right rows;
+    each strip is copied to every strip of the other side, so all pairs still meet exactly once.  A group holds
+    about `rows` x `rows` candidates at most.  Sizes are estimates: they decide the balance, not the result.
+    Returns both sides and the columns to join on.
     """
     sizes = (
-        left.groupBy(key).agg(F.count("*").alias("_nl")).join(right.groupBy(key).agg(F.count("*").alias("_nr")), key)
+        _estimated_sizes(left, key, left_identity, rows, "_nl")
+        .join(_estimated_sizes(right, key, right_identity, rows, "_nr"), key)
         .where((F.col("_nl") > rows) | (F.col("_nr") > rows))
         .select(
             F.col(key),
@@ -74,17 +91,31 @@ def split_hot_keys(left: DataFrame, right: DataFrame, key: str, rows: int) -> tu
         )
     )
 
-    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
-        names = [F.col(c) for c in side.columns]
-        # An outer join on the key: a hot key's rows stream past its one row of strip counts.
+    def dealt(side: DataFrame, identity: list[str], own: str, other: str) -> DataFrame:
+        # At most one row per hot key on the right of this join, so the hot rows only stream past it.
         side = side.join(sizes, key, "left")
         return (
-            side.withColumn(f"_s{own}", F.pmod(F.xxhash64(*names), F.coalesce(f"_strips_{own}", F.lit(1))))
+            side.withColumn(f"_s{own}", F.pmod(F.xxhash64(*identity, F.lit(1)), F.coalesce(f"_strips_{own}", F.lit(1))))
             .withColumn(f"_s{other}", F.explode(F.expr(f"sequence(0L, coalesce(_strips_{other}, 1L) - 1L)")))
             .drop("_strips_l", "_strips_r")
         )
 
-    return dealt(left, "l", "r"), dealt(right, "r", "l"), [key, "_sl", "_sr"]
+    return dealt(left, left_identity, "l", "r"), dealt(right, right_identity, "r", "l"), [key, "_sl", "_sr"]
+
+
+def spread(side: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """Deal the groups of a pair join to a fixed number of tasks.
+
+    A few kilobytes of points can mean millions of pairs, so the number of tasks must not follow from the bytes.
+    """
+    spark = side.sparkSession
+    if tasks is None:
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return side.repartition(tasks, *keys)
+
+
+def _own(side: DataFrame, prefix: str) -> list[str]:
+    return [name for name in side.columns if name.startswith(prefix)]
 
 
 def within_radius(
@@ -101,7 +132,7 @@ def within_radius(
     b = in_touched_cubes(right.select([F.col(c).alias(f"b_{c}") for c in right.columns]), side, chord, "b_x", "b_y", "b_z")
     keys = ["cube"]
     if hot_rows:
-        a, b, keys = split_hot_keys(a, b, "cube", hot_rows)
+        a, b, keys = split_hot_keys(a, b, "cube", hot_rows, _own(a, "a_"), _own(b, "b_"))
     return (
         a.join(b, keys)
         .drop(*keys)
@@ -117,7 +148,7 @@ def same_cell_pairs(left: DataFrame, right: DataFrame, radius: float, order: int
     b = with_nest(right.select([F.col(c).alias(f"b_{c}") for c in right.columns]), order, "cell", vector=("b_x", "b_y", "b_z"))
     keys = ["cell"]
     if hot_rows:
-        a, b, keys = split_hot_keys(a, b, "cell", hot_rows)
+        a, b, keys = split_hot_keys(a, b, "cell", hot_rows, _own(a, "a_"), _own(b, "b_"))
     return (
         a.join(b, keys)
         .drop(*keys)

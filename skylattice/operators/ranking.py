@@ -22,8 +22,9 @@ def prefix_sum(
 ) -> DataFrame:
     """Add, per group of `keys`, the sum of a value over all smaller positions.
 
-    `values` maps new column -> summed column.  Rows must be unique per (keys, position).  Positions are below
-    2^(low_bits + bits); the lowest `low_bits` are expected to be equal everywhere (a wrong guess costs only balance).
+    `values` maps new column -> summed column.  Rows must be unique per (keys, position); rows with a NULL key or
+    position are dropped.  Positions are below 2^(low_bits + bits); the lowest `low_bits` are expected to be equal
+    everywhere (a wrong guess costs only balance).
     """
     if not keys:
         return prefix_sum(df.withColumn("_all", F.lit(0)), ["_all"], position, values, bits, low_bits).drop("_all")
@@ -33,8 +34,15 @@ def prefix_sum(
         return df.withColumns({new: F.coalesce(F.sum(old).over(window), F.lit(0)) for new, old in values.items()})
     step = math.ceil(bits / levels)
     block = f"_block{levels}"
-    df = df.withColumn(block, F.shiftright(F.col(position), low_bits + step))
-    totals = df.groupBy(*keys, block).agg(*[F.sum(old).alias(f"_total_{new}") for new, old in values.items()])
+    # One shuffle serves the totals, the join and the window below.  It is run once only if both uses of it stay
+    # identical: so NULLs go before it (the join would filter them on its side), the block is never NULL, and the
+    # totals look at every column (or pruning would narrow their side).
+    df = df.dropna(subset=[*keys, position])
+    df = df.withColumn(block, F.coalesce(F.shiftright(F.col(position), low_bits + step), F.lit(0)))
+    df = df.repartition(*keys, block)
+    totals = df.groupBy(*keys, block).agg(
+        *[F.sum(old).alias(f"_total_{new}") for new, old in values.items()], F.max(F.xxhash64(*df.columns)).alias("_seen")
+    ).where("_seen IS NOT NULL").drop("_seen")
     carry = prefix_sum(totals, keys, block, {f"_carry_{new}": f"_total_{new}" for new in values}, bits - step)
     carry = carry.select(*keys, block, *[f"_carry_{new}" for new in values])
     window = Window.partitionBy(*keys, block).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
