@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.angles import chord_of, separation_of_chord2
 from skylattice.functions.cells import nest_parent, with_neighbours, with_nest
-from skylattice.operators.proximity import same_cell_pairs, within_radius
+from skylattice.operators.proximity import within_radius
 
 
 def distinct_positions(points: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def distinct_positions(points: DataFrame) -> DataFrame:
 
 def crossmatch(
     x: DataFrame, y: DataFrame, radius_arcsec: float = 1.0, border: bool = True, cell_order: int = 5,
-    hot_rows: int | None = 20_000,
+    hot_rows: int | None = 2000,
 ) -> DataFrame:
     """Each y takes its nearest x closer than the radius, then each x keeps the closest y that chose it.
 
@@ -32,11 +32,7 @@ def crossmatch(
     """
     radius = math.radians(radius_arcsec / 3600.0)
     limit = chord_of(radius)
-    xs, ys = distinct_positions(x), distinct_positions(y)
-    if border:
-        pairs = within_radius(ys, xs, radius, hot_rows)
-    else:
-        pairs = same_cell_pairs(ys, xs, radius, cell_order, hot_rows)
+    pairs = within_radius(distinct_positions(y), distinct_positions(x), radius, hot_rows, None if border else cell_order)
     # Minimum of (distance, id): both steps combine on the map side, so no group is ever gathered.
     chosen = pairs.groupBy("a_id").agg(F.min(F.struct("d2", "b_id")).alias("best"))
     kept = chosen.groupBy(F.col("best.b_id").alias("x_id")).agg(F.min(F.struct("best.d2", "a_id")).alias("best"))

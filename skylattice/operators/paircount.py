@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skylattice.functions.angles import chord_of
 from skylattice.functions.bins import Bins
 from skylattice.functions.cells import with_centre, with_ring_centre
-from skylattice.operators.proximity import cube_side, in_home_cube, in_touched_cubes, split_hot_keys, spread
+from skylattice.operators.proximity import D2, cube_side, in_home_cube, in_touched_cubes, join_by_work, split_hot_keys
 
 KINDS = ("dd", "dr", "rr")
 
@@ -39,7 +39,7 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def _binned(pairs: DataFrame, bins: Bins, upper_closed: bool) -> DataFrame:
-    pairs = pairs.withColumn("d2", F.expr("power(a_x - b_x, 2) + power(a_y - b_y, 2) + power(a_z - b_z, 2)"))
+    pairs = pairs.withColumn("d2", F.expr(D2))
     low, high = F.lit(bins.edges2[0]), F.lit(bins.edges2[-1])
     d2 = F.col("d2")
     inside = (d2 > low) & (d2 <= high) if upper_closed else (d2 >= low) & (d2 < high)
@@ -47,8 +47,8 @@ def _binned(pairs: DataFrame, bins: Bins, upper_closed: bool) -> DataFrame:
 
 
 def cross_histogram(
-    left: DataFrame, right: DataFrame, bins: Bins, upper_closed: bool = False, hot_rows: int = 4000,
-    cubes_per_ball: float = 2.0,
+    left: DataFrame, right: DataFrame, bins: Bins, upper_closed: bool = False, hot_rows: int = 2000,
+    cubes_per_ball: float = 3.0,
 ) -> DataFrame:
     """Pairs (left row, right row) per bin: `bin`, `weighted` = sum of weight products, `pairs`.  Empty bins are zero."""
     chord = chord_of(min(bins.max_radius, math.pi))
@@ -56,7 +56,7 @@ def cross_histogram(
     a = in_home_cube(_prefixed(merge_copies(left), "a_"), side, "a_x", "a_y", "a_z")
     b = in_touched_cubes(_prefixed(merge_copies(right), "b_"), side, chord, "b_x", "b_y", "b_z")
     a, b, keys = split_hot_keys(a, b, "cube", hot_rows, ["a_x", "a_y", "a_z"], ["b_x", "b_y", "b_z"])
-    pairs = _binned(spread(a, keys).join(b, keys), bins, upper_closed)
+    pairs = _binned(join_by_work(a, b, keys), bins, upper_closed)
     found = pairs.groupBy("bin").agg(
         F.sum(F.col("a_weight") * F.col("b_weight")).alias("weighted"), F.sum(F.col("a_n") * F.col("b_n")).alias("pairs")
     )
@@ -71,7 +71,7 @@ def with_empty_bins(found: DataFrame, bins: Bins) -> DataFrame:
 
 
 def pair_sums(
-    points: DataFrame, bins: Bins, upper_closed: bool = False, hot_rows: int = 4000, cubes_per_ball: float = 2.0
+    points: DataFrame, bins: Bins, upper_closed: bool = False, hot_rows: int = 2000, cubes_per_ball: float = 3.0
 ) -> DataFrame:
     """All three kinds of pair sums from one join: (`kind`, `bin`, `region_1` <= `region_2`, `weighted`, `pairs`).
 
@@ -87,7 +87,7 @@ def pair_sums(
     b = in_touched_cubes(b, side, chord, "b_x", "b_y", "b_z").where("cube <= b_home")
     b = b.withColumn("b_same", F.col("cube") == F.col("b_home")).drop("b_home")
     a, b, keys = split_hot_keys(a, b, "cube", hot_rows, ["a_x", "a_y", "a_z"], ["b_x", "b_y", "b_z"])
-    pairs = _binned(spread(a, keys).join(b, keys), bins, upper_closed)
+    pairs = _binned(join_by_work(a, b, keys), bins, upper_closed)
     pairs = pairs.where(F.expr(f"NOT b_same OR {_precedes(['x', 'y', 'z', 'is_random', 'region'])}"))
     times = F.when(F.col("a_is_random") == F.col("b_is_random"), 2).otherwise(1)
     columns = ["kind", "bin", "region_1", "region_2"]

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from skylattice.functions.angles import chord_of
 from skylattice.functions.cells import with_nest
 
+# Squared chord of a joined pair.  Products, because power() is an out-of-line call per pair.
+D2 = "(a_x - b_x) * (a_x - b_x) + (a_y - b_y) * (a_y - b_y) + (a_z - b_z) * (a_z - b_z)"
+
 # A cube index has 21 bits per axis, which bounds the cube side from below.
 _AXIS_BITS = 21
 _AXIS_OFFSET = 1 << (_AXIS_BITS - 1)
@@ -49,11 +52,9 @@ def in_touched_cubes(
             f"_g{axis}",
             F.explode(F.expr(f"sequence(floor(({v} - {reach!r}D) / {side!r}D), floor(({v} + {reach!r}D) / {side!r}D))")),
         )
-    gap = " + ".join(
-        f"power(greatest(_g{a} * {side!r}D - {v}, {v} - (_g{a} + 1) * {side!r}D, 0D), 2)" for a, v in zip("xyz", (x, y, z))
-    )
+    gaps = [f"greatest(_g{a} * {side!r}D - {v}, {v} - (_g{a} + 1) * {side!r}D, 0D)" for a, v in zip("xyz", (x, y, z))]
     return (
-        points.where(F.expr(f"{gap} <= {(reach * 1.000001) ** 2!r}D"))
+        points.where(F.expr(" + ".join(f"{gap} * {gap}" for gap in gaps) + f" <= {(reach * 1.000001) ** 2!r}D"))
         .withColumn(out, _cube_id("_gx", "_gy", "_gz"))
         .drop("_gx", "_gy", "_gz")
     )
@@ -103,55 +104,53 @@ def split_hot_keys(
     return dealt(left, left_identity, "l", "r"), dealt(right, right_identity, "r", "l"), [key, "_sl", "_sr"]
 
 
-def spread(side: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
-    """Deal the groups of a pair join to a fixed number of tasks.
+def join_by_work(a: DataFrame, b: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """The equi-join of a pair count, over a fixed number of tasks.
 
-    A few kilobytes of points can mean millions of pairs, so the number of tasks must not follow from the bytes.
+    A few kilobytes of points can mean millions of pairs, so neither the number of tasks nor a broadcast may follow
+    from the bytes: both sides are dealt by key to `tasks` tasks and merged there, which spills if it has to.
     """
-    spark = side.sparkSession
+    spark = a.sparkSession
     if tasks is None:
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return side.repartition(tasks, *keys)
+        tasks = 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return a.repartition(tasks, *keys).hint("merge").join(b.repartition(tasks, *keys), keys)
+
 
+def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select([F.col(c).alias(prefix + c) for c in df.columns])
+
+
+def candidate_sides(
+    left: DataFrame, right: DataFrame, radius: float, hot_rows: int | None, cell_order: int | None = None
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides (columns prefixed `a_` and `b_`) and the keys on which every pair within the radius meets once.
 
-def _own(side: DataFrame, prefix: str) -> list[str]:
-    return [name for name in side.columns if name.startswith(prefix)]
+    With `cell_order` only pairs that share a nested cell of that order meet.
+    """
+    if cell_order is None:
+        chord = chord_of(min(radius, math.pi))
+        side = cube_side(chord)
+        a = in_home_cube(_prefixed(left, "a_"), side, "a_x", "a_y", "a_z")
+        b = in_touched_cubes(_prefixed(right, "b_"), side, chord, "b_x", "b_y", "b_z")
+    else:
+        a = with_nest(_prefixed(left, "a_"), cell_order, "cube", vector=("a_x", "a_y", "a_z"))
+        b = with_nest(_prefixed(right, "b_"), cell_order, "cube", vector=("b_x", "b_y", "b_z"))
+    if not hot_rows:
+        return a, b, ["cube"]
+    own = lambda side, prefix: [name for name in side.columns if name.startswith(prefix)]
+    return split_hot_keys(a, b, "cube", hot_rows, own(a, "a_"), own(b, "b_"))
 
 
 def within_radius(
-    left: DataFrame, right: DataFrame, radius: float, hot_rows: int | None = 20_000, cubes_per_ball: float = 1.0
+    left: DataFrame, right: DataFrame, radius: float, hot_rows: int | None = 2000, cell_order: int | None = None
 ) -> DataFrame:
     """All ordered pairs (left row, right row) closer than `radius` radians.
 
     Both sides carry the unit vector `x`, `y`, `z`.  Output columns are prefixed `a_` and `b_`, plus the squared
-    chord `d2`.  Give the smaller table as `right`: that side is copied (about 2.5 times for the default cubes).
+    chord `d2`.  Give the smaller table as `right`: that side is copied (about 2.5 times).  `cell_order` is the
+    border-less variant, in which only pairs in one nested cell of that order can meet.
     """
-    chord = chord_of(min(radius, math.pi))
-    side = cube_side(chord, cubes_per_ball)
-    a = in_home_cube(left.select([F.col(c).alias(f"a_{c}") for c in left.columns]), side, "a_x", "a_y", "a_z")
-    b = in_touched_cubes(right.select([F.col(c).alias(f"b_{c}") for c in right.columns]), side, chord, "b_x", "b_y", "b_z")
-    keys = ["cube"]
-    if hot_rows:
-        a, b, keys = split_hot_keys(a, b, "cube", hot_rows, _own(a, "a_"), _own(b, "b_"))
-    return (
-        a.join(b, keys)
-        .drop(*keys)
-        .withColumn("d2", F.expr("power(a_x - b_x, 2) + power(a_y - b_y, 2) + power(a_z - b_z, 2)"))
-        .where(F.col("d2") < F.lit(chord * chord))
-    )
+    a, b, keys = candidate_sides(left, right, radius, hot_rows, cell_order)
+    limit = chord_of(min(radius, math.pi)) ** 2
+    return a.join(b, keys).drop(*keys).withColumn("d2", F.expr(D2)).where(F.col("d2") < F.lit(limit))
 
-
-def same_cell_pairs(left: DataFrame, right: DataFrame, radius: float, order: int, hot_rows: int | None = 20_000) -> DataFrame:
-    """The border-less variant: only pairs that share a nested cell of this order can meet."""
-    chord2 = chord_of(radius) ** 2
-    a = with_nest(left.select([F.col(c).alias(f"a_{c}") for c in left.columns]), order, "cell", vector=("a_x", "a_y", "a_z"))
-    b = with_nest(right.select([F.col(c).alias(f"b_{c}") for c in right.columns]), order, "cell", vector=("b_x", "b_y", "b_z"))
-    keys = ["cell"]
-    if hot_rows:
-        a, b, keys = split_hot_keys(a, b, "cell", hot_rows, _own(a, "a_"), _own(b, "b_"))
-    return (
-        a.join(b, keys)
-        .drop(*keys)
-        .withColumn("d2", F.expr("power(a_x - b_x, 2) + power(a_y - b_y, 2) + power(a_z - b_z, 2)"))
-        .where(F.col("d2") < F.lit(chord2))
-    )

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.functions.angles import chord_of
+from skylattice.functions.angles import angle, chord_of
 from skylattice.functions.cells import MAX_ORDER, max_pixel_radius, with_centre
 from skylattice.operators.proximity import within_radius
 
@@ -348,11 +348,11 @@ def disc_cells(discs: DataFrame, order: int, fact: int | None = None) -> DataFra
     return _walk(discs.select("disc_id", "cx", "cy", "cz", "radius"), zone, order, finest).select("disc_id", "order", "pix")
 
 
-def points_in_discs(points: DataFrame, discs: DataFrame, max_radius: float, hot_rows: int | None = 20_000) -> DataFrame:
+def points_in_discs(points: DataFrame, discs: DataFrame, max_radius: float, hot_rows: int | None = 2000) -> DataFrame:
     """(`disc_id`, point columns, `d2`) for points strictly inside each disc; `max_radius` bounds all radii."""
     centres = discs.select("disc_id", "radius", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
     found = within_radius(points, centres, max_radius, hot_rows)
-    found = found.where(F.col("d2") < F.pow(2.0 * F.sin(F.col("b_radius") / 2.0), F.lit(2.0)))
+    found = found.where(F.col("d2") < 4.0 * F.sin(F.col("b_radius") / 2.0) * F.sin(F.col("b_radius") / 2.0))
     return found.select(F.col("b_disc_id").alias("disc_id"), *[F.col(f"a_{c}").alias(c) for c in points.columns], "d2")
 
 
@@ -365,7 +365,7 @@ def ring_cells(centres: DataFrame, order: int, radii: Sequence[float]) -> DataFr
     discs = centres.withColumn("radius", F.lit(float(radii[-1]) * (1 + 1e-12)))
     cells = at_order(disc_cells(discs, order), order)
     cells = with_centre(cells, order, "pix_nest", "_w_").join(centres, "disc_id")
-    cells = cells.withColumn("d2", F.expr("power(_w_x - cx, 2) + power(_w_y - cy, 2) + power(_w_z - cz, 2)"))
+    cells = cells.withColumn("d2", F.expr("(_w_x - cx) * (_w_x - cx) + (_w_y - cy) * (_w_y - cy) + (_w_z - cz) * (_w_z - cz)"))
     ring = F.when(F.col("d2") > F.lit(edges2[-1]), F.lit(None).cast("int"))
     for index in range(len(edges2) - 2, -1, -1):
         ring = ring.when(F.col("d2") > F.lit(edges2[index]), F.lit(index))
@@ -385,8 +385,8 @@ def enclosing_cone(points: DataFrame, group: str) -> DataFrame:
     size = F.expr("sqrt(mx * mx + my * my + mz * mz)")
     centre = mean.select(group, "n", *[F.try_divide(F.col(m), size).alias(c) for m, c in (("mx", "cx"), ("my", "cy"), ("mz", "cz"))])
     # Separation by atan2 of cross and dot products: exact for tiny cones as well.
-    normal = "sqrt(power(y * cz - z * cy, 2) + power(z * cx - x * cz, 2) + power(x * cy - y * cx, 2))"
-    spread = points.join(centre, group).withColumn("_sep", F.expr(f"atan2({normal}, x * cx + y * cy + z * cz)"))
+    a, b = tuple(F.col(c) for c in "xyz"), tuple(F.col(c) for c in ("cx", "cy", "cz"))
+    spread = points.join(centre, group).withColumn("_sep", angle(a, b))
     # The centre columns depend on the group alone, so the partial aggregate absorbs a large group on the map side.
     return spread.groupBy(group).agg(
         F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.first("cz").alias("cz"),

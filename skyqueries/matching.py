@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skylattice.functions.angles import chord_of
 from skylattice.functions.cells import with_nest
 from skylattice.operators import match
-from skylattice.operators.proximity import same_cell_pairs, within_radius
+from skylattice.operators.proximity import within_radius
 from skylattice.session import scratch_folder
 from skylattice.sources import catalogs, results
 from skyqueries import duck
@@ -91,7 +91,7 @@ _CELLED = lambda sky_text: f"(SELECT id, x, y, z, pix_nest FROM {duck.nest_sql(s
 @query("j02_within_radius_same_cell", f"""SELECT a.id AS x_id, b.id AS y_id FROM {_CELLED(_CUSTOMER)} a JOIN {_CELLED(_PART)} b USING (pix_nest)
     WHERE (a.x-b.x)^2 + (a.y-b.y)^2 + (a.z-b.z)^2 < {chord_of(_RADIUS) ** 2!r}::double""")
 def within_same_cell(spark, sf_dir):
-    pairs = same_cell_pairs(sky(spark, sf_dir, "customer").select("id", "x", "y", "z"), sky(spark, sf_dir, "part").select("id", "x", "y", "z"), _RADIUS, 3)
+    pairs = within_radius(sky(spark, sf_dir, "customer").select("id", "x", "y", "z"), sky(spark, sf_dir, "part").select("id", "x", "y", "z"), _RADIUS, cell_order=3)
     return pairs.select(F.col("a_id").alias("x_id"), F.col("b_id").alias("y_id"))
 
 
