@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm.langid import op1_language
+from skylattice.llm.secrets import op10_secrets
+from skylattice.llm.urls import op6_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op6_urls": op6_urls,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {}
