@@ -1,11 +1,11 @@
 """Toxicity of whole texts: a support vector machine on a gap-weighted subsequence kernel, with Nyström landmarks.
 
-A text becomes letters (accents dropped, look-alike digits and signs read as letters, one blank for everything else, blanks
+A text becomes 31 letters (the plain ones and classes of common accented ones; look-alike digits and signs read as letters, one blank for everything else, blanks
 between single letters closed).  Its sentences are compared in windows of WINDOW symbols.  The kernel of two windows counts
 the subsequences of four symbols that both have, each weighted by DECAY for every symbol it skips (at most two), over the root of the
 windows' lengths.  Inserted characters and gaps so only weaken a match.
 
-Kernel features are few enough (27 ** 4) to be written out, hence the decision function of the machine, a sum of kernels to
+Kernel features are few enough (32 ** 4) to be written out, hence the decision function of the machine, a sum of kernels to
 landmarks, becomes one table of weights: scoring a text is looking up ten numbers per symbol, and is the exact kernel sum.
 The score of a text is the calibrated largest margin of its windows.
 """
@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.common import held_out, keep_about, map_texts, read, slices
 
-SYMBOLS = 27
-LENGTH, MOST_GAPS, DECAY = 4, 2, 0.7
+SYMBOLS = 32
+LENGTH, MOST_GAPS, DECAY = 4, 2, 0.75
 WINDOW, STEP = 24, 6
 #: Signs that stand for letters in disguised words (fixed values).
 LOOKS_LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+#: Accented letters that have a class of their own; others are read without their accent.
+ACCENTED = ("é", "èêàâ", "äá", "öóüú", "ñçßí")
 #: Skips before the second, third and fourth symbol.
 GAPS = [(a, b, c) for a in range(3) for b in range(3) for c in range(3) if a + b + c <= MOST_GAPS]
 FEATURES = SYMBOLS**LENGTH
@@ -36,13 +38,16 @@ FEATURES = SYMBOLS**LENGTH
 
 @functools.cache
 def _codes() -> np.ndarray:
-    """Code point -> 1 to 26 for a letter (other scripts are folded on them), 27 for a disguised one, 0 for the rest."""
+    """Code point -> 1 to 26 for a plain letter (other scripts are folded on them), 27 to 31 for accented ones, 0 for the rest."""
     table = np.zeros(0x110000, np.uint8)
     for point in range(0x110000):
         char = chr(point)
         if char.isalpha():
             plain = unicodedata.normalize("NFKD", char)[0].lower() if point < 0x2C00 else char
             table[point] = ord(plain) - 96 if "a" <= plain <= "z" else 1 + point % 26
+    for place, letters in enumerate(ACCENTED):
+        for char in letters + letters.upper().replace("SS", "ẞ"):
+            table[ord(char)] = 27 + place
     return table
 
 
@@ -180,8 +185,7 @@ def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     centre, width = margin.mean(), max(margin.std(), 1e-9)
     x = np.stack([(margin - centre) / width, np.ones(len(margin))], axis=1)
-    # Both classes count alike, so the middle of the scale lies between them whatever their shares.
-    weight = np.where(label == 1, 0.5 / n1, 0.5 / n0)
+    weight = np.full(len(margin), 1 / len(margin))
     w = np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
@@ -196,7 +200,7 @@ def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 def fit(
     docs: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rows_per_label: int = 2500,
-    most_chars: int = 20_000, landmarks: int = 600, rounds: int = 3, cost: float = 5.0, seed: int = 7,
+    most_chars: int = 20_000, landmarks: int = 600, rounds: int = 2, cost: float = 100.0, seed: int = 7,
 ) -> ToxicityModel:
     """Learn from rows labelled 0 or 1.
 
