@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm.langid import op1_language
 from skylattice.llm.licenses import op3_licenses
+from skylattice.llm.mixing import OP2_SQL, op2_mixing
 from skylattice.llm.packing import op4_packing
 from skylattice.llm.secrets import op10_secrets
 from skylattice.llm.toxicity import op5_toxicity
@@ -15,10 +16,13 @@ from skylattice.llm.urls import op6_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_mixing": op2_mixing,
     "op3_licenses": op3_licenses,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_urls": op6_urls,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": OP2_SQL,
+}
