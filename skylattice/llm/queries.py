@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skylattice.llm.fingerprints import op7_fingerprints
 from skylattice.llm.langid import op1_language
 from skylattice.llm.licenses import op3_licenses
 from skylattice.llm.mixing import OP2_SQL, op2_mixing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_urls": op6_urls,
+    "op7_fingerprints": op7_fingerprints,
     "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {
