@@ -10,6 +10,7 @@ from skylattice.llm.fingerprints import op7_fingerprints
 from skylattice.llm.langid import op1_language
 from skylattice.llm.licenses import op3_licenses
 from skylattice.llm.mixing import OP2_SQL, op2_mixing
+from skylattice.llm.neighbours import op9_neighbours
 from skylattice.llm.packing import op4_packing
 from skylattice.llm.secrets import op10_secrets
 from skylattice.llm.toxicity import op5_toxicity
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_urls": op6_urls,
     "op7_fingerprints": op7_fingerprints,
+    "op9_neighbours": op9_neighbours,
     "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {
