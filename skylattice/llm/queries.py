@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm.fingerprints import op7_fingerprints
+from skylattice.llm.jaccard import op8_jaccard
 from skylattice.llm.langid import op1_language
 from skylattice.llm.licenses import op3_licenses
 from skylattice.llm.mixing import OP2_SQL, op2_mixing
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_urls": op6_urls,
     "op7_fingerprints": op7_fingerprints,
+    "op8_jaccard": op8_jaccard,
     "op9_neighbours": op9_neighbours,
     "op10_secrets": op10_secrets,
 }
