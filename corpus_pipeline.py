@@ -1,8 +1,80 @@
-"""A corpus pipeline; its stages are filled in as the operators are built."""
+"""A corpus pipeline: toxic documents go, one of each group of near copies stays, secrets are masked, sources are mixed to
+target weights, and the mix is packed into windows of tokens.
 
-STAGES: list = []
+Every stage is written and read again, so a lost executor costs no more than the stage it was lost in.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skylattice.llm import jaccard, mixing, packing, secrets, toxicity
+from skylattice.llm.common import read
+from skylattice.session import scratch_folder
+
+#: From this score on a document is toxic.
+TOXIC_FROM = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below TOXIC_FROM, unchanged; learned from the labels outside the held-out third.
+
+    NULL and empty texts are scored like others.  Without labels nothing is toxic.
+    """
+    order = docs.columns
+    labels = toxicity.sampled_labels(read(spark, sf_dir, "labels"))
+    model = toxicity.fit(toxicity.labelled(docs, labels))
+    renamed = docs.withColumnRenamed("score", "_own_score") if "score" in order else docs
+    kept = toxicity.score(renamed, model, keep_text=True).where(F.col("score") < TOXIC_FROM).drop("score")
+    kept = kept.withColumnRenamed("_own_score", "score") if "score" in order else kept
+    return kept.select(*order)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked documents; rows that share an id are one document.
+
+    Documents without words and rows with a NULL id are linked with nothing and stay.
+    """
+    groups = jaccard.join_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    known = docs.where("doc_id IS NOT NULL").join(groups, F.col("doc_id") == F.col("_keep")).drop("_keep")
+    return known.dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in the place of every secret; n_chars follows the text."""
+    masked = secrets.masked(docs, secrets.thresholds(docs))
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it whole, and once cut where it takes a part; n_chars follows the text."""
+    return mixing.mixed(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document in its sequence."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", keep_one_of_each_group),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
+
+#: Learned scores and tokeniser ids are nothing that SQL expresses.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = f"{scratch_folder(spark, 'pipeline')}/{name.replace(' ', '-')}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

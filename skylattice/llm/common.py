@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skylattice.session import checkpointed
+from skylattice.session import checkpointed, scratch_folder
 
 #: The characters between words, as a regular expression class.
 BLANK = r"\x20\x09-\x0D"
@@ -43,13 +43,13 @@ def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBat
 
 
 def map_texts(
-    df: DataFrame, schema: str, work: Callable[[list[str | None]], list], text: str = "text", most: int = 2_000_000
+    df: DataFrame, schema: str, work: Callable[[list[str | None]], list], text: str = "text", keep: bool = False, most: int = 2_000_000
 ) -> DataFrame:
-    """Add the columns of `schema`, computed from whole texts in bounded parts; the text column is left out.
+    """Add the columns of `schema`, computed from whole texts in bounded parts; the text column is left out unless `keep`.
 
     `work` gets a list of texts and returns one list or array for each new column.
     """
-    kept = [name for name in df.columns if name != text]
+    kept = [name for name in df.columns if keep or name != text]
     fields = [f"`{name}` {df.schema[name].dataType.simpleString()}" for name in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +81,13 @@ def pa_type(kind: str) -> pa.DataType:
     return simple[kind]
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder as Parquet and read again: smaller than a checkpoint for many rows."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ranked(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
     """Number the rows from 0 in a total order, without a window over the whole table.
 
