@@ -149,7 +149,7 @@ class ToxicityModel:
 def _kernel(windows: list[np.ndarray], landmarks: list[np.ndarray]) -> np.ndarray:
     """Kernel of every window with every landmark."""
     parts = [window_features(mark) for mark in landmarks]
-    features = np.unique(np.concatenate([keys for keys, _ in parts] + [np.zeros(0, np.int64)]))
+    features = np.unique(np.concatenate([keys for keys, _ in parts]))
     dense = np.zeros((len(features) + 1, len(landmarks)), np.float32)
     for column, (keys, weights) in enumerate(parts):
         dense[np.searchsorted(features, keys), column] = weights
@@ -169,10 +169,15 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(steps):
-        active = y * (x @ w) < 1
-        near = x[active]
-        weighted = near * (cost * weight[active]).astype(np.float32)[:, None]
-        new = np.linalg.solve(ridge + (weighted.T @ near).astype(np.float64), weighted.T.astype(np.float64) @ y[active])
+        left, right = ridge.copy(), np.zeros(len(w))
+        for start in range(0, len(x), 4000):
+            part, side = x[start : start + 4000], y[start : start + 4000]
+            active = side * (part @ w) < 1
+            near = part[active].astype(np.float64)
+            weighted = near.T * (cost * weight[start : start + 4000][active])
+            left += weighted @ near
+            right += weighted @ side[active]
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -268,7 +273,9 @@ def _learn(texts: list[np.ndarray], labels: np.ndarray, n_landmarks: int, rounds
         values, vectors = np.linalg.eigh((inner + inner.T) / 2)
         good = values > 1e-4 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])
-        x = np.concatenate((_kernel(windows, marks) @ root.astype(np.float32), np.ones((len(windows), 1), np.float32)), axis=1)
+        x = np.ones((len(windows), root.shape[1] + 1), np.float32)
+        for start in range(0, len(windows), 4000):
+            x[start : start + 4000, :-1] = _kernel(windows[start : start + 4000], marks) @ root
         weight = np.where(y > 0, len(y) / (2 * len(toxic)), len(y) / (2 * len(harmless)))
         w = _squared_hinge(x, y, weight, cost / len(y) * 100)
         share = root @ w[:-1]
@@ -302,10 +309,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep_text:
     NULL, empty and letterless texts are scored like any other, as one window without features.  Repeated rows stay repeated.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score")
-    if keep_text:
-        docs = docs.withColumn("_scored", F.col(text))
-    return map_texts(docs, "score double", lambda texts: [shared.value.score(texts)], "_scored" if keep_text else text)
+    return map_texts(docs.drop("score"), "score double", lambda texts: [shared.value.score(texts)], text, keep_text)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
