@@ -27,6 +27,11 @@ def leaf_digests(text: Column) -> Column:
     return F.transform(leaf_texts(text), lambda piece: F.xxhash64(piece))
 
 
+def short_digests(leaves: Column) -> Column:
+    """31 bits of each digest: enough to compare two trees, and half as much to move."""
+    return F.transform(leaves, lambda leaf: F.pmod(leaf, F.lit((1 << 31) - 1)).cast("int"))
+
+
 def with_tree(df: DataFrame, text: str, name: str) -> DataFrame:
     """Add `{name}_leaves` (digest of each leaf), `{name}_lengths`, `{name}_sections` (digests) and `{name}_root`.
 
@@ -81,11 +86,12 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     `_head` is as many first code points of the next document as a third of this one has, `next_leaves` its leaves.  The next document
     is the one with the next smaller whole-number key; after the smallest comes the largest, and a NULL key counts as the
-    smallest number.  Where rows share a key, the smallest text is the next document.  Texts move once; of a next document
+    smallest 64-bit number.  Where rows share a key, the smallest text is the next document.  Texts move once; of a next document
     only the wanted head and the digests move on.
     """
-    row_key = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))
-    rows = docs.select(F.col(key).alias("_key"), row_key.alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    none = F.lit(-(1 << 63))
+    # Both joins below read these rows with the same two columns, so that the texts are dealt by key once.
+    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), none).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     third = F.floor(F.length("_text") / 3).cast("int")
     order = ranked(rows.groupBy("_k").agg(F.max(third).alias("_want")), [F.col("_k").desc()])
     size = order.agg(F.count("*")).head()[0]
@@ -94,12 +100,12 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     links = before.join(order.select("_k", "rank"), "rank").drop("rank")
     first = Window.partitionBy("_k").orderBy("_text")
     heads = (
-        rows.select("_k", "_text").join(links, "_k")
+        rows.join(links, "_k")
         .withColumn("_n", F.row_number().over(first)).where("_n = 1")
-        .select("_for", F.expr("left(_text, _want)").alias("_head"), leaf_digests(F.col("_text")).alias("next_leaves"))
+        .select("_for", F.expr("left(_text, _want)").alias("_head"), short_digests(leaf_digests(F.col("_text"))).alias("next_leaves"))
     )
     return rows.join(heads, F.col("_k") == F.col("_for")).select(
-        F.col("_key").alias(key), "_text", F.length("_text").cast("bigint").alias("n_chars"), third.alias("_third"), "_head", "next_leaves"
+        F.nullif("_k", none).alias(key), "_text", F.length("_text").cast("bigint").alias("n_chars"), third.alias("_third"), "_head", "next_leaves"
     )
 
 
@@ -112,5 +118,5 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint("own").alias("fingerprint"), fingerprint("edited").alias("edited_fingerprint"),
         likeness(F.col("own_leaves"), F.col("edited_leaves")).alias("near_edited"),
-        likeness(F.col("own_leaves"), F.col("next_leaves")).alias("near_next"), start.alias("edit_start"), end.alias("edit_end"),
+        likeness(short_digests(F.col("own_leaves")), F.col("next_leaves")).alias("near_next"), start.alias("edit_start"), end.alias("edit_end"),
     )
