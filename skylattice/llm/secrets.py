@@ -264,4 +264,5 @@ def masked(docs: DataFrame, least: list[int], text: str = "text", mark: str = "[
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan(docs, thresholds(docs))
+    found = scan(docs, thresholds(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")

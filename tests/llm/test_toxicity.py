@@ -60,8 +60,8 @@ def test_held_out_and_disguised(spark, labelled, prose):
     right = sum((scores[i] >= 0.5) == bool(labels[i]) for i in range(120, 160))
     assert right >= 38
     clean = prose(999, 12)
-    harsh = [f"{clean} {word} {clean}" for word in ("scoundrel", "s c o u n d r e l", "sc0undrel", "scound-rel", "imbec1le")]
-    assert all(score > model.score([clean])[0] + 0.3 for score in model.score(harsh)), model.score(harsh)
+    harsh = [f"{clean} {word} {clean}" for word in ("scoundrel", "s c o u n d r e l", "sc0undrel", "scoundxrel", "scound-rel", "imbec1le")]
+    assert all(score > 5 * model.score([clean])[0] for score in model.score(harsh)), model.score(harsh)
 
 
 def test_scores_do_not_depend_on_the_batch(labelled):
