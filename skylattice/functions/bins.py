@@ -60,12 +60,18 @@ class Bins:
 def make_bins(
     count: int = 50, min_deg: float = 1.0, max_deg: float = 15.0, scale: str | Transform = "sqrt"
 ) -> Bins:
-    """Edges from a scale name (anything unknown means log10) or a (forward, inverse) pair of functions."""
-    forward, inverse = _TRANSFORMS.get(scale, _TRANSFORMS["log10"]) if isinstance(scale, str) else scale
+    """Edges from a scale name or a (forward, inverse) pair of functions; an unknown name is an error."""
+    forward, inverse = _transform(scale) if isinstance(scale, str) else scale
     low, high = forward(min_deg), forward(max_deg)
     return Bins(tuple(math.radians(inverse(low + (high - low) * i / count)) for i in range(count + 1)))
 
 
+def _transform(scale: str) -> Transform:
+    if scale not in _TRANSFORMS:
+        raise ValueError(f"scale {scale!r} is none of {', '.join(sorted(_TRANSFORMS))}")
+    return _TRANSFORMS[scale]
+
+
 def bins_from_edges(edges_deg: Sequence[float]) -> Bins:
     return Bins(tuple(math.radians(edge) for edge in sorted(edges_deg)))
 
@@ -75,6 +81,6 @@ def bin_of_separation(
 ) -> Column:
     """Closed-form bin of a separation in radians; NULL outside [min, max)."""
     forward = {"linear": lambda c: c, "sqrt": F.sqrt}.get(scale, F.log10)
-    low, high = (_TRANSFORMS.get(scale, _TRANSFORMS["log10"])[0](value) for value in (min_deg, max_deg))
+    low, high = (_transform(scale)[0](value) for value in (min_deg, max_deg))
     position = F.floor((forward(F.degrees(separation)) - F.lit(low)) * count / F.lit(high - low))
     return F.when((position >= 0) & (position < count), position.cast("int"))

@@ -141,7 +141,10 @@ def _decode_nest(df: DataFrame, order: int, pix: str) -> DataFrame:
 
 
 def _location(df: DataFrame, theta: str, phi: str, vector: tuple[str, str, str] | None) -> DataFrame:
-    """`_c_z`, `_c_sth` (sine of colatitude) and `_c_tt` (longitude in quarter turns, [0, 4))."""
+    """`_c_z`, `_c_za` = |z|, `_c_turn` (longitude in quarter turns, [0, 4)), `_c_col` (its quarter) and `_c_sigma`.
+
+    Sigma = sqrt(3 (1 - |z|)) is how far the pole caps of the projection shrink a parallel (1 at their edge, 0 at the pole).
+    """
     if vector is None:
         first = {"_c_z": f"cos({theta})", "_c_sth": f"sin({theta})", "_c_phi": phi}
     else:
@@ -153,38 +156,47 @@ def _location(df: DataFrame, theta: str, phi: str, vector: tuple[str, str, str]
         }
     return staged(
         df, first,
-        {"_c_za": "abs(_c_z)", "_c_tt": f"pmod(_c_phi * {2.0 / math.pi!r}D, 4.0D)"},
+        {"_c_za": "abs(_c_z)", "_c_turn": f"pmod(_c_phi * {2.0 / math.pi!r}D, 4.0D)"},
         {
-            "_c_tp": "_c_tt - least(3.0D, floor(_c_tt))",
-            # Near the poles 1 - |z| has few digits left; the sine of the colatitude keeps them.
-            "_c_root": "CASE WHEN _c_za < 0.99D THEN sqrt(3.0D * (1.0D - _c_za)) ELSE _c_sth / sqrt((1.0D + _c_za) / 3.0D) END",
+            "_c_col": "least(3L, floor(_c_turn))",
+            # 1 - |z| = sin^2 / (1 + |z|), which near the poles keeps the digits that the difference would lose.
+            "_c_sigma": f"CASE WHEN _c_za < {_NEAR_POLE!r}D THEN sqrt(3.0D * (1.0D - _c_za)) ELSE _c_sth * sqrt(3.0D / (1.0D + _c_za)) END",
         },
     )
 
 
+#: From this |z| on sigma is taken from the sine.
+_NEAR_POLE = 0.95
+#: In the belt between the pole caps |z| is at most this.
+_BELT = "_c_za <= 2.0D / 3.0D"
+
+
 def with_nest(
     df: DataFrame, order: int, out: str = "pix_nest", theta: str = "theta", phi: str = "phi",
     vector: tuple[str, str, str] | None = None,
 ) -> DataFrame:
-    """Add the nested cell id of each position, given as angles or as a vector."""
-    df = _location(df, theta, phi, vector)
+    """Add the nested cell id of each position, given as angles or as a vector.
+
+    The sphere is projected on the plane (equal-area cylinder in the belt, interrupted Collignon in the caps), in units in which the
+    twelve faces are squares on their tips: tips 1 above and below the middle, and 8 once around.  Turned by 45 degrees the squares
+    stand on a grid.  Its axes here run to the north-east and the south-east, so a whole number of each names the face, and the
+    fractions are the place in it.
+    """
     last = (1 << order) - 1
-    side = float(1 << order)
     df = staged(
-        df,
-        {
-            "_c_equ": "_c_za <= 2.0D / 3.0D",
-            "_c_jp": "CASE WHEN _c_za <= 2.0D / 3.0D THEN 0.5D + _c_tt - 0.75D * _c_z ELSE least(1.0D, _c_tp * _c_root) END",
-            "_c_jm": "CASE WHEN _c_za <= 2.0D / 3.0D THEN 0.5D + _c_tt + 0.75D * _c_z ELSE least(1.0D, (1.0D - _c_tp) * _c_root) END",
-        },
-        {"_c_fp": "floor(_c_jp)", "_c_fm": "floor(_c_jm)"},
-        {
-            "_c_face": "CASE WHEN _c_equ THEN CASE WHEN _c_fp = _c_fm THEN _c_fp | 4L WHEN _c_fp < _c_fm THEN _c_fp ELSE _c_fm + 8L END"
-                       " ELSE least(3L, floor(_c_tt)) + CASE WHEN _c_z >= 0D THEN 0L ELSE 8L END END",
-            "_c_fx": "CASE WHEN _c_equ THEN _c_jm - _c_fm WHEN _c_z >= 0D THEN 1.0D - _c_jm ELSE _c_jp END",
-            "_c_fy": "CASE WHEN _c_equ THEN 1.0D - (_c_jp - _c_fp) WHEN _c_z >= 0D THEN 1.0D - _c_jp ELSE _c_jm END",
-        },
-        {"_c_ix": f"least({last}L, floor(_c_fx * {side}D))", "_c_iy": f"least({last}L, floor(_c_fy * {side}D))"},
+        _location(df, theta, phi, vector),
+        # In the belt x runs around and y = 3/2 z; in a cap both are taken from the tip of its face at the belt.
+        {"_c_east": f"CASE WHEN {_BELT} THEN _c_turn ELSE (_c_turn - _c_col) * _c_sigma END",
+         "_c_north": f"CASE WHEN {_BELT} THEN 0.75D * _c_z ELSE 0D END"},
+        {"_c_a": f"CASE WHEN {_BELT} THEN 0.5D + _c_east + _c_north ELSE least(1.0D, _c_sigma - _c_east) END",
+         "_c_b": f"CASE WHEN {_BELT} THEN 0.5D + _c_east - _c_north ELSE least(1.0D, _c_east) END"},
+        {"_c_row": f"CASE WHEN {_BELT} THEN 1L - floor(_c_a) + floor(_c_b) WHEN _c_z >= 0D THEN 0L ELSE 2L END",
+         "_c_col": f"CASE WHEN {_BELT} THEN least(floor(_c_a), floor(_c_b)) & 3L ELSE _c_col END",
+         # Caps: distance from the tip at the pole, along both edges that meet there.
+         "_c_fx": f"CASE WHEN {_BELT} THEN _c_a - floor(_c_a) WHEN _c_z >= 0D THEN 1.0D - _c_a ELSE _c_b END",
+         "_c_fy": f"CASE WHEN {_BELT} THEN 1.0D - (_c_b - floor(_c_b)) WHEN _c_z >= 0D THEN 1.0D - _c_b ELSE _c_a END"},
+        {"_c_face": "4L * _c_row + _c_col",
+         **{f"_c_i{v}": f"least({last}L, floor(_c_f{v} * {float(1 << order)}D))" for v in "xy"}},
     )
     return _sealed(_encode_nest(df, order, out), out)
 
@@ -199,15 +211,15 @@ def with_ring(
         _location(df, theta, phi, vector),
         {
             "_c_equ": "_c_za <= 2.0D / 3.0D",
-            "_c_jp": f"CASE WHEN _c_za <= 2.0D / 3.0D THEN floor({n}D * (0.5D + _c_tt) - {0.75 * n!r}D * _c_z)"
-                     f" ELSE floor({n}D * _c_tp * _c_root) END",
-            "_c_jm": f"CASE WHEN _c_za <= 2.0D / 3.0D THEN floor({n}D * (0.5D + _c_tt) + {0.75 * n!r}D * _c_z)"
-                     f" ELSE floor({n}D * (1.0D - _c_tp) * _c_root) END",
+            "_c_jp": f"CASE WHEN _c_za <= 2.0D / 3.0D THEN floor({n}D * (0.5D + _c_turn) - {0.75 * n!r}D * _c_z)"
+                     f" ELSE floor({n}D * (_c_turn - _c_col) * _c_sigma) END",
+            "_c_jm": f"CASE WHEN _c_za <= 2.0D / 3.0D THEN floor({n}D * (0.5D + _c_turn) + {0.75 * n!r}D * _c_z)"
+                     f" ELSE floor({n}D * (1.0D - (_c_turn - _c_col)) * _c_sigma) END",
         },
         # Ring counted from the equatorial belt's first ring, or from the nearer pole.
         {"_c_ir": f"CASE WHEN _c_equ THEN {n + 1}L + _c_jp - _c_jm ELSE least({n}L, _c_jp + _c_jm + 1L) END"},
         {"_c_ip": f"CASE WHEN _c_equ THEN pmod(shiftright(_c_jp + _c_jm - {n}L + 2L - (_c_ir & 1L), 1), {4 * n}L)"
-                  " ELSE pmod(floor(_c_tt * _c_ir), 4L * _c_ir) END"},
+                  " ELSE pmod(floor(_c_turn * _c_ir), 4L * _c_ir) END"},
         {out: f"CASE WHEN _c_equ THEN {2 * n * (n - 1)}L + (_c_ir - 1L) * {4 * n}L + _c_ip"
               f" WHEN _c_z > 0D THEN 2L * _c_ir * (_c_ir - 1L) + _c_ip"
               f" ELSE {npix(order)}L - 2L * _c_ir * (_c_ir + 1L) + _c_ip END"},
@@ -219,21 +231,25 @@ def with_ring(
 
 
 def _face_point(df: DataFrame) -> DataFrame:
-    """Face and fractional place in it (`_c_face`, `_c_fx`, `_c_fy` in [0, 1]) -> `_c_z`, `_c_sth`, `_c_phi`."""
+    """Face and fractional place in it (`_c_face`, `_c_fx`, `_c_fy` in [0, 1]) -> `_c_z`, `_c_sth`, `_c_phi`.
+
+    The place is turned back by 45 degrees on the plane of `with_nest`, about the middle of its face, and the projection is inverted.
+    """
     return staged(
         df,
-        {"_c_jr": "shiftright(_c_face, 2) + 2 - _c_fx - _c_fy"},
-        {"_c_nr": "CASE WHEN _c_jr < 1D THEN _c_jr WHEN _c_jr > 3D THEN 4.0D - _c_jr ELSE 1.0D END"},
         {
-            "_c_cap": "_c_nr * _c_nr / 3.0D",
-            # Western corner of the face in eighths of a turn: odd on the polar rows, even on the equator.
-            "_c_turn": "(2 * (_c_face & 3) + IF(shiftright(_c_face, 2) = 1, 0, 1)) * _c_nr + _c_fx - _c_fy",
+            "_c_mid": "2 * (_c_face & 3) + IF(_c_face div 4 = 1, 0, 1)",
+            "_c_east": "_c_fx - _c_fy",
+            "_c_north": "_c_fx + _c_fy - (_c_face div 4)",
         },
-        {"_c_z": "CASE WHEN _c_jr < 1D THEN 1.0D - _c_cap WHEN _c_jr > 3D THEN _c_cap - 1.0D ELSE (2.0D - _c_jr) * 2.0D / 3.0D END"},
+        # Beyond 1 a parallel is as long as what is left to the pole at 2.
+        {"_c_sigma": "least(1.0D, 2.0D - abs(_c_north))"},
+        {"_c_in_cap": "_c_sigma < 1.0D", "_c_down": "_c_sigma * _c_sigma / 3.0D"},
+        {"_c_z": "CASE WHEN NOT _c_in_cap THEN _c_north * 2.0D / 3.0D ELSE sign(_c_north) * (1.0D - _c_down) END"},
         {
-            "_c_sth": "CASE WHEN _c_jr < 1D OR _c_jr > 3D THEN sqrt(_c_cap * (2.0D - _c_cap)) ELSE sqrt((1.0D - _c_z) * (1.0D + _c_z)) END",
-            "_c_phi": f"CASE WHEN _c_nr < 1e-15D THEN 0D ELSE {math.pi / 4!r}D"
-                      " * (_c_turn + CASE WHEN _c_turn < 0D THEN 8.0D WHEN _c_turn >= 8.0D THEN -8.0D ELSE 0D END) / _c_nr END",
+            "_c_sth": "CASE WHEN _c_in_cap THEN sqrt(_c_down * (2.0D - _c_down)) ELSE sqrt((1.0D - _c_z) * (1.0D + _c_z)) END",
+            # The poles have longitude 0.
+            "_c_phi": f"CASE WHEN _c_sigma <= 0D THEN 0D ELSE {math.pi / 4!r}D * pmod(_c_mid + _c_east / _c_sigma, 8.0D) END",
         },
     )
 
@@ -291,8 +307,13 @@ def with_ring_centre(df: DataFrame, order: int, pix: str = "pix_ring", prefix: s
     return _place(_ring_location(df, order, pix), prefix)
 
 
-def with_boundary(df: DataFrame, order: int, step: int = 1, pix: str = "pix_nest") -> DataFrame:
-    """One row per outline point: `step` points per edge, counter-clockwise from the north corner (`point` 0..4*step-1)."""
+def with_boundary(df: DataFrame, order: int, step: int = 1, pix: str = "pix_nest", scheme: str = "nest") -> DataFrame:
+    """One row per outline point: `step` points per edge, counter-clockwise from the north corner (`point` 0..4*step-1).
+
+    `scheme` "ring" takes `pix` as a ring-scheme id.
+    """
+    if scheme == "ring":
+        return with_boundary(ring_to_nest(df, order, pix, "_b_nest"), order, step, "_b_nest").drop("_b_nest")
     side = 1 << order
     df = _decode_nest(df, order, pix)
     df = df.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(4 * step - 1))))
@@ -340,10 +361,13 @@ def nest_parent(pix: Column, order: int, parent_order: int) -> Column:
 
 
 def with_children(df: DataFrame, order: int, child_order: int, pix: str = "pix_nest", out: str = "child") -> DataFrame:
-    """One row per descendant of each nested cell."""
-    shift = 2 * (child_order - order)
-    first = F.shiftleft(F.col(pix), shift)
-    return df.withColumn(out, F.explode(F.sequence(first, first + F.lit((1 << shift) - 1))))
+    """One row per descendant of each nested cell, in steps of at most six orders, so that no row holds more than 4^6 ids."""
+    df = df.withColumn(out, F.col(pix))
+    for start in range(order, child_order, 6):
+        shift = 2 * (min(start + 6, child_order) - start)
+        first = F.shiftleft(F.col(out), shift)
+        df = df.withColumn(out, F.explode(F.sequence(first, first + F.lit((1 << shift) - 1))))
+    return df
 
 
 def ring_parent(df: DataFrame, order: int, parent_order: int, pix: str = "pix_ring", out: str = "parent_ring") -> DataFrame:

@@ -31,8 +31,9 @@ def realisations(sums: DataFrame, weights: DataFrame, regions: DataFrame, bins:
         weights.withColumn("kind", F.when(F.col("is_random") == 1, "wr").otherwise("wd")), ["kind"], "region", None, "weight"
     ).groupBy("kind", "region").agg(F.sum("value").alias("value")).select("kind", bin_list, "region", "value")
     # A zero row per region and bin, and for the total, so that nothing without pairs goes missing.
+    whole = regions.sparkSession.range(1).select(F.lit(None).cast("int").alias("region"))
     grid = (
-        regions.select(F.explode(F.array(F.col("region").cast("int"), F.lit(None).cast("int"))).alias("region")).distinct()
+        regions.select(F.col("region").cast("int").alias("region")).distinct().unionByName(whole)
         .select(F.lit("dd").alias("kind"), bin_list, "region", F.lit(0.0).alias("value"))
     )
     terms = pair_terms.unionByName(weight_terms).unionByName(grid)

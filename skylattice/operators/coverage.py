@@ -106,7 +106,7 @@ def contains_ranges(ranges: DataFrame, probes: DataFrame, order: int = MAX_ORDER
     """(`set_id`, `probe_id`, `contains`, `overlaps`) for probe ranges (`set_id`, `probe_id`, `lo`, `hi`).
 
     The number of covered values below a position is a running total, so a probe needs it only at its two ends:
-    a covered count of zero means no overlap, a full one means contained.
+    a covered count of zero means no overlap, a full one means contained.  An empty probe is contained and overlaps nothing.
     """
     # Coverage steps and probe ends share one ordered table; probes add nothing to the depth.
     solid = coalesce(ranges, order)
@@ -129,10 +129,11 @@ def contains_ranges(ranges: DataFrame, probes: DataFrame, order: int = MAX_ORDER
         .groupBy("set_id", "probe_id", "lo", "hi")
         .agg((F.max("covered") - F.min("covered")).alias("covered"))
     )
+    empty = probes.where("lo >= hi").select("set_id", "probe_id", F.lit(True).alias("contains"), F.lit(False).alias("overlaps"))
     return at_ends.select(
         "set_id", "probe_id", (F.col("covered") == F.col("hi") - F.col("lo")).alias("contains"),
         (F.col("covered") > 0).alias("overlaps"),
-    )
+    ).unionByName(empty)
 
 
 def summary(ranges: DataFrame, order: int = MAX_ORDER) -> DataFrame:
@@ -249,24 +250,46 @@ def expand(ranges: DataFrame, chunk: int = 65536) -> DataFrame:
 # --- points and values against coverage -------------------------------------------------------------
 
 
+#: Orders at which points are looked up; a cell is cut into cells of the next one of these, 4^6 at most and mostly up to 4^3.
+_LOOKUP_ORDERS = (6, 10, 14, 18, 22, 26, 29)
+
+
+def _lookup_cells(ranges: DataFrame, order: int) -> tuple[DataFrame, list[int]]:
+    """(`set_id`, `order`, `pix`) with few orders only, none coarser than the first of them, and the orders that occur.
+
+    The coarsest key is so one cell in 49,152 of the sky, and a point has as many keys as there are orders in the map, seven at most.
+    """
+    cells = to_uniq(coalesce(ranges, order), order).select("set_id", "order", "pix")
+    level = F.lit(_LOOKUP_ORDERS[-1])
+    for one in reversed(_LOOKUP_ORDERS[:-1]):
+        level = F.when(F.col("order") <= one, one).otherwise(level)
+    cells = cells.withColumn("level", level)
+    first = F.expr("shiftleft(pix, 2 * (level - `order`))")
+    parts = F.sequence(first, first + F.expr("shiftleft(1L, 2 * (level - `order`))") - 1)
+    present = [row[0] for row in cells.select("level").distinct().collect()]
+    return cells.select("set_id", F.col("level").alias("order"), F.explode(parts).alias("pix")), sorted(present)
+
+
+def _looked_up(points: DataFrame, pix29: str, orders: list[int]) -> DataFrame:
+    """One row per point and order, with the point's cell of that order."""
+    keys = F.array(*[F.lit(one) for one in orders]).cast("array<int>")
+    return points.withColumn("order", F.explode(keys)).withColumn("pix", F.expr(f"shiftright({pix29}, 2 * ({MAX_ORDER} - `order`))"))
+
+
 def points_in_sets(points: DataFrame, ranges: DataFrame, pix29: str = "pix29", order: int = MAX_ORDER) -> DataFrame:
     """Rows of `points` (with a nested id at order 29) joined to every set that covers them: adds `set_id`.
 
-    The map becomes cells of mixed orders; a point lies in exactly one ancestor cell per order, so each point is
-    looked up once per order by equality.
+    The map becomes cells of a few orders; a point lies in one cell per order, so each point is looked up once per order
+    that occurs, by equality.
     """
-    cells = to_uniq(coalesce(ranges, order), order).select("set_id", "order", "pix")
-    ancestors = points.withColumn("order", F.explode(F.sequence(F.lit(0), F.lit(order))))
-    ancestors = ancestors.withColumn("pix", F.expr(f"shiftright({pix29}, 2 * ({MAX_ORDER} - `order`))"))
-    return ancestors.join(cells, ["order", "pix"]).drop("order", "pix")
+    cells, orders = _lookup_cells(ranges, order)
+    return _looked_up(points, pix29, orders).join(cells, ["order", "pix"]).drop("order", "pix")
 
 
 def contains_values(ranges: DataFrame, values: DataFrame, order: int = MAX_ORDER) -> DataFrame:
     """(`set_id`, `value`) rows of `values` that lie in their own set."""
-    cells = to_uniq(coalesce(ranges, order), order).select("set_id", "order", "pix")
-    ancestors = values.withColumn("order", F.explode(F.sequence(F.lit(0), F.lit(order))))
-    ancestors = ancestors.withColumn("pix", F.expr(f"shiftright(value, 2 * ({MAX_ORDER} - `order`))"))
-    return ancestors.join(cells, ["set_id", "order", "pix"], "left_semi").select("set_id", "value")
+    cells, orders = _lookup_cells(ranges, order)
+    return _looked_up(values, "value", orders).join(cells, ["set_id", "order", "pix"], "left_semi").select("set_id", "value")
 
 
 def weighted_sum(ranges: DataFrame, pixel_values: DataFrame, values_order: int, order: int = MAX_ORDER) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.functions.cells import nest_parent, nest_to_ring, npix, ring_to_nest
+from skylattice.functions.cells import nest_parent, nest_to_ring, npix, ring_to_nest, with_children
 
 # Fixed value: the number that marks an undefined pixel in imported maps.
 UNDEFINED = -1.6375e30
@@ -34,10 +34,8 @@ def to_nest(maps: DataFrame, order: int) -> DataFrame:
 
 def upgrade(maps: DataFrame, order: int, to_order: int) -> DataFrame:
     """Finer nested map: every sub-pixel gets the pixel's value."""
-    shift = 2 * (to_order - order)
-    sub = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((1 << shift) - 1).cast("bigint"))).alias("sub")
-    return maps.select("map_id", "pix", "value", sub).select(
-        "map_id", (F.shiftleft("pix", shift) + F.col("sub")).alias("pix"), "value")
+    finer = with_children(maps.select("map_id", "pix", "value"), order, to_order, "pix", "_sub")
+    return finer.select("map_id", F.col("_sub").alias("pix"), "value")
 
 
 def degrade(maps: DataFrame, order: int, to_order: int, pessimistic: bool = False) -> DataFrame:

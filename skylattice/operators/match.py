@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions.angles import chord_of, separation_of_chord2
-from skylattice.functions.cells import nest_parent, with_neighbours, with_nest
+from skylattice.functions.cells import MAX_ORDER, nest_parent, with_neighbours, with_nest
 from skylattice.operators.proximity import within_radius
 
 
@@ -33,15 +33,32 @@ def crossmatch(
     radius = math.radians(radius_arcsec / 3600.0)
     limit = chord_of(radius)
     pairs = within_radius(distinct_positions(y), distinct_positions(x), radius, hot_rows, None if border else cell_order)
-    # Minimum of (distance, id): both steps combine on the map side, so no group is ever gathered.
-    chosen = pairs.groupBy("a_id").agg(F.min(F.struct("d2", "b_id")).alias("best"))
-    kept = chosen.groupBy(F.col("best.b_id").alias("x_id")).agg(F.min(F.struct("best.d2", "a_id")).alias("best"))
+    chosen = nearest_per(pairs.select("a_id", "b_id", "d2"), "a_id", "b_id", "d2")
+    kept = nearest_per(chosen, "b_id", "a_id", "d2")
     return kept.select(
-        "x_id",
-        F.col("best.a_id").alias("y_id"),
-        F.degrees(separation_of_chord2(F.col("best.d2"))).alias("_deg"),
-        (F.sqrt("best.d2") / F.lit(limit)).alias("sep_rel"),
-    ).select("x_id", "y_id", (F.col("_deg") * 3600.0).alias("sep_arcsec"), "sep_rel")
+        F.col("b_id").alias("x_id"),
+        F.col("a_id").alias("y_id"),
+        (F.degrees(separation_of_chord2(F.col("d2"))) * 3600.0).alias("sep_arcsec"),
+        (F.sqrt("d2") / F.lit(limit)).alias("sep_rel"),
+    )
+
+
+def nearest_per(pairs: DataFrame, group: str, partner: str, distance: str) -> DataFrame:
+    """One row per `group`: the smallest `distance` and the smallest `partner` id at it.
+
+    Both steps are hash aggregates of plain numbers that combine on the map side (the minimum of a structure would sort all
+    pairs): first the smallest id at each distance, then, with no ties left, the id at the smallest distance.
+    """
+    single = pairs.groupBy(group, distance).agg(F.min(partner).alias(partner))
+    return single.groupBy(group).agg(F.min_by(partner, distance).alias(partner), F.min(distance).alias(distance))
+
+
+def narrowest_order(radius: float, finest: int = MAX_ORDER) -> int:
+    """Finest order whose cells are all at least `radius` radians wide, so a ball reaches no further than the next cell; -1 if none is.
+
+    Cells of 4^k x 12 have an area of pi / 3 / 4^k and sides below 1.5 / 2^k, hence are wider than 0.5 / 2^k everywhere.
+    """
+    return max(-1, min(finest, math.floor(math.log2(0.5 / radius)))) if radius > 0 else finest
 
 
 def distinct_cells(points: DataFrame, order: int, border_order: int | None = None) -> DataFrame:
@@ -58,10 +75,19 @@ def distinct_cells(points: DataFrame, order: int, border_order: int | None = Non
     return around.where("fine >= 0").select(nest_parent(F.col("fine"), border_order, order).alias("pix_nest")).distinct()
 
 
-def in_cells_of(y: DataFrame, x: DataFrame, order: int, border_order: int | None = None) -> DataFrame:
-    """Rows of y whose cell is one of `distinct_cells(x)`."""
+def in_cells_of(y: DataFrame, x: DataFrame, order: int, radius: float | None = None) -> DataFrame:
+    """Rows of y in a cell of this order that holds a row of x, or, with `radius` (radians), is within reach of one.
+
+    With a radius every row of y that has a row of x closer than it is kept, whatever the order: the cells around a row of x are
+    taken at the finest order that a ball of the radius cannot cross, and a coarser `order` is used where need be.
+    """
+    border = None if radius is None else narrowest_order(radius)
+    if border is not None:
+        order = min(order, border)
+        if order < 0:
+            return y
     tagged = with_nest(y, order, "pix_nest", vector=("x", "y", "z"))
-    return tagged.join(distinct_cells(x, order, border_order), "pix_nest", "left_semi").drop("pix_nest")
+    return tagged.join(distinct_cells(x, order, border), "pix_nest", "left_semi").drop("pix_nest")
 
 
 def compare_matches(mine: DataFrame, other: DataFrame) -> DataFrame:

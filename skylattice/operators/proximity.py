@@ -78,17 +78,18 @@ def split_hot_keys(
 
     The left rows of a hot key are dealt into strips by a hash of their identity columns, and so are the right rows;
     each strip is copied to every strip of the other side, so all pairs still meet exactly once.  A group holds
-    about `rows` x `rows` candidates at most.  Sizes are estimates: they decide the balance, not the result.
+    about `rows` x `rows` candidates at most.  Sizes are estimates: they decide the balance, not the result.  Rows that are
+    equal in all identity columns stay in one strip: catalogues need an id, or their copies merged.
     Returns both sides and the columns to join on.
     """
+    # A key may be large on one side only, and then be missing from the other side's sample: it counts as one strip there.
     sizes = (
         _estimated_sizes(left, key, left_identity, rows, "_nl")
-        .join(_estimated_sizes(right, key, right_identity, rows, "_nr"), key)
+        .join(_estimated_sizes(right, key, right_identity, rows, "_nr"), key, "full")
         .where((F.col("_nl") > rows) | (F.col("_nr") > rows))
         .select(
             F.col(key),
-            F.ceil(F.col("_nl") / F.lit(rows)).alias("_strips_l"),
-            F.ceil(F.col("_nr") / F.lit(rows)).alias("_strips_r"),
+            *[F.greatest(F.ceil(F.coalesce(f"_n{side}", F.lit(0)) / F.lit(rows)), F.lit(1)).alias(f"_strips_{side}") for side in "lr"],
         )
     )
 

@@ -78,8 +78,7 @@ def rank_label(rank: Column, size: Column, pieces: int = 32) -> Column:
 
     Integer division can leave up to twice as many labels as pieces; a table with fewer rows than pieces gets its rank.
     """
-    run = F.greatest(F.floor(size / F.lit(pieces)), F.lit(1))
-    return F.when(size < pieces, rank).otherwise(F.floor(rank / run))
+    return F.floor(rank / F.greatest(F.floor(size / F.lit(pieces)), F.lit(1)))
 
 
 def equal_runs(rank: Column, size: Column, pieces: int) -> Column:
@@ -88,26 +87,17 @@ def equal_runs(rank: Column, size: Column, pieces: int) -> Column:
 
 
 def contiguous_regions(mask: DataFrame, order: int, count: int, pix: str = "pix_nest") -> DataFrame:
-    """Mask cells in id order cut in `count` runs of equal length; (`pix_nest`, `region`) without the remainder.
-
-    Each run has size div count cells, so up to count - 1 last cells belong to no region.
-    """
+    """All mask cells in id order cut in `count` runs whose lengths differ by one at most; (`pix_nest`, `region`)."""
     cells = mask.select(F.col(pix).alias("pix_nest")).distinct()
     ranked = global_rank(cells, "pix_nest", 2 * order + 4)
     size = cells.agg(F.count("*")).scalar()
-    return (
-        ranked.withColumn("region", F.floor(F.col("rank") / F.greatest(F.floor(size / F.lit(count)), F.lit(1))))
-        .where(F.col("region") < count)
-        .select("pix_nest", F.col("region").cast("int").alias("region"))
-    )
+    return ranked.select("pix_nest", equal_runs(F.col("rank"), size, count).cast("int").alias("region"))
 
 
 def tile_shape(count: int) -> tuple[int, int]:
-    """(stripes, pieces per stripe) for a wanted number of regions, both powers of two."""
-    power = 0
-    while 2 ** (power + 2) < count:
-        power += 1
-    return 2 ** ((power + 1) // 2 + 1), 2 ** (power // 2 + 1)
+    """(stripes, pieces per stripe) whose product is the wanted number of regions, as near to a square as its divisors allow."""
+    pieces = next(n for n in range(math.isqrt(count), 0, -1) if count % n == 0)
+    return count // pieces, pieces
 
 
 def tiled_regions(mask: DataFrame, order: int, count: int, pix: str = "pix_nest") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.functions.angles import angle, chord_of
-from skylattice.functions.cells import MAX_ORDER, max_pixel_radius, with_centre
+from skylattice.functions.cells import nest_to_ring, MAX_ORDER, max_pixel_radius, with_centre
 from skylattice.operators.proximity import within_radius
 
 Vec = tuple[float, float, float]
@@ -225,8 +225,8 @@ class OneOf(Region):
         return self.left.contains(x, y, z) != self.right.contains(x, y, z)
 
     def zone(self, x, y, z, slack):
-        p, q = self.left.zone(x, y, z, slack), self.right.zone(x, y, z, slack)
-        return F.greatest(F.least(p, 3 - q), F.least(3 - p, q))
+        either = Both((self.left, Outside(self.right))), Both((Outside(self.left), self.right))
+        return Either(either).zone(x, y, z, slack)
 
 
 @dataclass(frozen=True)
@@ -301,8 +301,10 @@ def region_cells(spark: SparkSession, region: Region, order: int, finest: int |
     return _walk(_whole_sky(spark), region.zone, order, finest).drop("region_id")
 
 
-def at_order(cells: DataFrame, order: int) -> DataFrame:
-    """Cells of mixed orders written out at one order: `order` and `pix` replaced by `pix_nest`."""
+def at_order(cells: DataFrame, order: int, scheme: str = "nest") -> DataFrame:
+    """Cells of mixed orders written out at one order: `order` and `pix` replaced by `pix_nest` or, with scheme "ring", `pix_ring`."""
+    if scheme == "ring":
+        return nest_to_ring(at_order(cells, order), order, "pix_nest", "pix_ring").drop("pix_nest")
     shift = f"2 * ({order} - `order`)"
     # Large whole cells first become order-`mid` cells dealt to all tasks, so no task writes out a base face alone.
     mid = max(0, order - 6)
@@ -378,12 +380,16 @@ def ring_cells(centres: DataFrame, order: int, radii: Sequence[float]) -> DataFr
 def enclosing_cone(points: DataFrame, group: str) -> DataFrame:
     """(`group`, `cx`, `cy`, `cz`, `radius`, `n`): a cone around each group's mean direction that holds all its points.
 
-    Not the smallest one, but never more than twice as wide.
+    Not the smallest one, but never more than twice as wide.  Where the directions cancel, the cone is around the member with the largest
+    (x, y, z) instead.
     """
     mean = points.groupBy(group).agg(
-        F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("z").alias("mz"), F.count("*").alias("n"))
+        F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("z").alias("mz"), F.count("*").alias("n"),
+        F.max(F.struct("x", "y", "z")).alias("one"))
     size = F.expr("sqrt(mx * mx + my * my + mz * mz)")
-    centre = mean.select(group, "n", *[F.try_divide(F.col(m), size).alias(c) for m, c in (("mx", "cx"), ("my", "cy"), ("mz", "cz"))])
+    centre = mean.select(group, "n", *[
+        F.when(size > 1e-12, F.try_divide(F.col(f"m{v}"), size)).otherwise(F.col(f"one.{v}")).alias(f"c{v}") for v in "xyz"
+    ])
     # Separation by atan2 of cross and dot products: exact for tiny cones as well.
     a, b = tuple(F.col(c) for c in "xyz"), tuple(F.col(c) for c in ("cx", "cy", "cz"))
     spread = points.join(centre, group).withColumn("_sep", angle(a, b))

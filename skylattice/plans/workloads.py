@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.functions.bins import make_bins
-from skylattice.functions.cells import npix, with_nest
+from skylattice.functions.cells import npix, with_centre, with_nest
 from skylattice.operators import correlation, density, masks, match, paircount
 from skylattice.operators.ranking import contiguous_regions, global_rank, rank_label, tiled_regions
 from skylattice.session import checkpointed
@@ -20,10 +21,13 @@ def run_crossmatch(
     spark: SparkSession, x_path: str, y_path: str, out: str, radius_arcsec: float = 1.0, border: bool = True,
     cell_order: int = 5, prefilter_order: int | None = None,
 ) -> None:
-    """Match two `id,ra,dec` catalogues and write (`x_id`, `y_id`, `sep_rel`)."""
+    """Match two `id,ra,dec` catalogues and write (`x_id`, `y_id`, `sep_rel`).
+
+    `prefilter_order` drops rows of y that no row of x can match before they are joined; it never changes the result.
+    """
     x, y = catalogs.read_match_catalog(spark, x_path), catalogs.read_match_catalog(spark, y_path)
     if prefilter_order is not None:
-        y = match.in_cells_of(y, x, prefilter_order, border_order=18)
+        y = match.in_cells_of(y, x, prefilter_order, math.radians(radius_arcsec / 3600.0))
     results.write_matches(match.crossmatch(x, y, radius_arcsec, border, cell_order), out)
 
 
@@ -36,7 +40,7 @@ def make_mask(calibration: DataFrame, order: int, max_mean1: float = 0.1, min_me
     return ranked.withColumn("region", rank_label(F.col("rank"), size, pieces)).drop("rank")
 
 
-def run_createmask(spark: SparkSession, path: str, order: int, out: str, single_file: bool = True) -> None:
+def run_createmask(spark: SparkSession, path: str, order: int, out: str, single_file: bool = False) -> None:
     mask_files.write_mask(make_mask(catalogs.read_calibration(spark, path), order), order, out, single_file)
 
 
@@ -118,6 +122,21 @@ def run_summary(weights: DataFrame, settings: CorrelationSettings) -> DataFrame:
     )
 
 
+def random_catalogue(spark: SparkSession, size: float, settings: CorrelationSettings, regions: DataFrame | None) -> DataFrame:
+    """About `size` random points over the kept cells, or the whole sky.
+
+    With cells, and as many points as cells, each cell draws its own count; else points are made one by one.  Rows follow the kept area.
+    """
+    kept = npix(settings.order) if regions is None else regions.count()
+    seed = settings.seed + 1
+    if settings.use_cells and kept and size >= kept:
+        counts = randoms.random_cells(spark, settings.order, size, seed, regions, kept)
+        return with_centre(counts, settings.order, "pix").select("weight", "x", "y", "z")
+    if regions is not None:
+        return randoms.random_in_cells(regions.select("pix_nest"), settings.order, int(size), seed)
+    return randoms.random_sphere(spark, int(size), seed)
+
+
 def run_correlate(
     spark: SparkSession, settings: CorrelationSettings, data_path: str | None = None, rand_path: str | None = None,
     mask_path: str | None = None, out: str | None = None, regions_out: str | None = None,
@@ -137,11 +156,8 @@ def run_correlate(
     if rand_path:
         random = catalogs.read_catalog(spark, rand_path)
     else:
-        # Enough points over the whole sky that the kept part has rand_factor times the data.
-        kept = npix(settings.order) if regions is None else max(1, regions.count())
         weight = tagged(data, regions, settings.order).agg(F.sum("weight")).first()[0] or 0.0
-        random = randoms.random_sphere(
-            spark, int(weight * settings.rand_factor * npix(settings.order) / kept), settings.seed + 1)
+        random = random_catalogue(spark, weight * settings.rand_factor, settings, regions)
     tables = correlation_tables(data, random, settings, regions)
     if out:
         count = 0 if regions is None or not settings.jackknife else regions.select("region").distinct().count()

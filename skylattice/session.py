@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,10 @@ def get_session(app: str = "skylattice", master: str | None = None, **conf: str)
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or in a local session a temporary one."""
+    """The folder named by spark.checkpoint.dir; in a local session without one, a folder of its own below the warehouse.
+
+    The own folder is removed when the program ends.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -35,7 +39,10 @@ def _shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="skylattice-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+        own = os.path.join(warehouse, f"scratch-{uuid.uuid4().hex}")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
     return context.getCheckpointDir()
 
 

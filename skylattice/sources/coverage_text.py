@@ -14,24 +14,17 @@ def parse_coverage(texts: DataFrame, order: int = MAX_ORDER) -> DataFrame:
 
     Each order marker starts a section of its own; values before the first marker belong to order 0.
     """
-    tidy = F.col("text")
-    for pattern, replacement in (
-        (r"[\[\]{}\"]", ""),
-        (r",", " "),
-        (r"\s*-\s*", "-"),
-        (r"\s*[:/]\s*", "/ "),
-        (r"(\d+)/", "|$1/"),
-    ):
-        tidy = F.regexp_replace(tidy, pattern, replacement)
-    sections = texts.select("set_id", F.explode(F.split(tidy, r"\|")).alias("section"))
-    parts = F.split("section", "/")
-    sections = sections.select(
+    # Two kinds of token are looked for in the text as it stands: a number with a slash or colon behind it, and a number with
+    # perhaps a second one behind a dash.  Whatever else stands between them does not matter.
+    marker, value = r"(\d+)\"?\s*[/:]", r"(\d+)(?:\s*-\s*(\d+))?"
+    sections = F.split("text", rf"(?={marker})(?<!\d)")
+    tokens = texts.select("set_id", F.explode(sections).alias("section")).select(
         "set_id",
-        F.when(F.size(parts) > 1, F.get(parts, 0)).otherwise("0").cast("int").alias("order"),
-        F.when(F.size(parts) > 1, F.get(parts, 1)).otherwise(F.get(parts, 0)).alias("items"),
+        F.coalesce(F.nullif(F.regexp_extract("section", "^" + marker, 1), F.lit("")), F.lit("0")).cast("int").alias("order"),
+        F.regexp_replace("section", "^" + marker, "").alias("items"),
     )
-    items = sections.select("set_id", "order", F.explode(F.regexp_extract_all("items", F.lit(r"(\d+(?:-\d+)?)"), F.lit(1))).alias("item"))
-    ends = F.split("item", "-")
+    items = tokens.select("set_id", "order", F.explode(F.regexp_extract_all("items", F.lit(value), F.lit(0))).alias("item"))
+    ends = F.split("item", r"\s*-\s*")
     shift = F.lit(2) * (F.lit(MAX_ORDER) - F.col("order"))
     ranges = items.select("set_id", "order", F.get(ends, 0).cast("bigint").alias("first"),
                           F.coalesce(F.get(ends, 1), F.get(ends, 0)).cast("bigint").alias("last"))
@@ -42,8 +35,16 @@ def parse_coverage(texts: DataFrame, order: int = MAX_ORDER) -> DataFrame:
     ), order)
 
 
+#: Items of one piece of text.
+PIECE = 4096
+
+
 def format_coverage(ranges: DataFrame, json: bool = False, order: int = MAX_ORDER) -> DataFrame:
-    """(`set_id`, `text`): well-formed text of every non-empty set.  One text per set is the purpose, so a set must fit a row."""
+    """(`set_id`, `order`, `part`, `text`): text of every non-empty set in pieces of about PIECE items at most, each a map of its own.
+
+    A piece holds cells of one order that lie together, so any selection of pieces can be read by `parse_coverage`.
+    `join_pieces` makes one text of a set that is known to fit.
+    """
     merged = coalesce(ranges, order)
     if json:
         items = to_uniq(merged, order).select("set_id", "order", F.col("pix").alias("first"), F.col("pix").cast("string").alias("item"))
@@ -53,11 +54,21 @@ def format_coverage(ranges: DataFrame, json: bool = False, order: int = MAX_ORDE
             "set_id", "order", "first",
             F.when(single, F.col("first").cast("string"))
             .otherwise(F.concat_ws("-", F.col("first").cast("string"), (F.col("last") - 1).cast("string"))).alias("item"))
-    listed = items.groupBy("set_id", "order").agg(F.array_sort(F.collect_list(F.struct("first", "item"))).alias("items"))
+    # Pieces are stretches of the sky: PIECE cells of the order, whichever of them are in the set.
+    items = items.withColumn("part", F.floor(F.col("first") / F.lit(PIECE)).cast("bigint"))
+    listed = items.groupBy("set_id", "order", "part").agg(F.array_sort(F.collect_list(F.struct("first", "item"))).alias("items"))
     values = F.array_join(F.col("items.item"), ",")
-    head = F.concat(F.lit('"'), F.col("order").cast("string"), F.lit('":[')) if json else F.concat(F.col("order").cast("string"), F.lit("/"))
-    section = F.concat(head, values, F.lit("]")) if json else F.concat(head, values)
-    texts = listed.select("set_id", F.struct("order", section.alias("section")).alias("part")).groupBy("set_id").agg(
-        F.array_sort(F.collect_list("part")).alias("parts"))
-    joined = F.array_join(F.col("parts.section"), ", " if json else " ")
+    name = F.col("order").cast("string")
+    text = F.concat(F.lit('{"'), name, F.lit('":['), values, F.lit("]}")) if json else F.concat(name, F.lit("/"), values)
+    return listed.select("set_id", "order", "part", text.alias("text"))
+
+
+def join_pieces(pieces: DataFrame, json: bool = False) -> DataFrame:
+    """(`set_id`, `text`): one text per set, each order once.  The whole text of a set has to fit a row."""
+    body = F.regexp_extract("text", r"\[(.*)\]" if json else "/(.*)", 1)
+    by_order = pieces.groupBy("set_id", "order").agg(F.array_sort(F.collect_list(F.struct("part", body.alias("body")))).alias("parts"))
+    values, name = F.array_join(F.col("parts.body"), ","), F.col("order").cast("string")
+    section = F.concat(F.lit('"'), name, F.lit('":['), values, F.lit("]")) if json else F.concat(name, F.lit("/"), values)
+    texts = by_order.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("order", section.alias("section")))).alias("sections"))
+    joined = F.array_join(F.col("sections.section"), ", " if json else " ")
     return texts.select("set_id", (F.concat(F.lit("{"), joined, F.lit("}")) if json else joined).alias("text"))

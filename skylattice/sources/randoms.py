@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.functions.angles import phi_of_ra, ra_of_phi, theta_of_dec
-from skylattice.functions.cells import npix
+from skylattice.functions.cells import MAX_ORDER, npix, with_centre
+from skylattice.operators.ranking import global_rank
 
 # Largest Poisson mean drawn at once; larger means are sums of independent draws.
 _CHUNK_MEAN = 8.0
@@ -77,10 +78,10 @@ def random_counts(cells: DataFrame, mean: float, seed: int = 0, pix: str = "pix"
     A sum of m independent draws of mean mean/m has the same distribution; m keeps each draw's ladder short.
     """
     draws = max(1, math.ceil(mean / _CHUNK_MEAN))
-    each = cells.select(F.col(pix).alias("pix"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"))
-    counted = each.select("pix", _poisson(mean / draws, uniform(seed, 3, F.col("pix"), F.col("_draw"))).alias("_count"))
-    if draws > 1:
-        counted = counted.groupBy("pix").agg(F.sum("_count").alias("_count"))
+    # The draws are added up within the row: nothing is exploded or shuffled, whatever the mean.
+    one = lambda draw: _poisson(mean / draws, uniform(seed, 3, F.col(pix), draw))
+    count = F.aggregate(F.sequence(F.lit(1), F.lit(draws)), F.lit(0).cast("bigint"), lambda total, draw: total + one(draw))
+    counted = cells.select(F.col(pix).alias("pix"), count.alias("_count"))
     return counted.where("_count > 0").select("pix", F.col("_count").cast("double").alias("weight"))
 
 
@@ -91,3 +92,23 @@ def random_cells(spark: SparkSession, order: int, size: float, seed: int = 0, ma
         cells = spark.range(npix(order)).withColumnRenamed("id", "pix")
         return random_counts(cells, size / npix(order), seed)
     return random_counts(mask.select(F.col("pix_nest").alias("pix")), size / mask_cells, seed)
+
+
+def random_in_cells(cells: DataFrame, order: int, size: int, seed: int = 0) -> DataFrame:
+    """`size` points spread evenly over the given nested cells (`pix_nest`, each once): `id`, `weight`, `x`, `y`, `z`.
+
+    A point draws the place of its cell among all, and a cell of order 29 inside it.  Rows follow the masked area: nothing is
+    made outside.
+    """
+    spark = cells.sparkSession
+    listed = global_rank(cells.select("pix_nest"), "pix_nest", 2 * order + 4, out="_place")
+    n = cells.count()
+    if not n or size <= 0:
+        return spark.createDataFrame([], "id long, weight double, x double, y double, z double")
+    inside = 1 << (2 * (MAX_ORDER - order))
+    points = spark.range(size).select(
+        "id", F.least(F.floor(uniform(seed, 1, F.col("id")) * n), F.lit(n - 1)).alias("_place"),
+        F.floor(uniform(seed, 2, F.col("id")) * inside).alias("_sub"),
+    )
+    placed = points.join(listed, "_place").withColumn("_fine", F.col("pix_nest") * inside + F.col("_sub"))
+    return with_centre(placed, MAX_ORDER, "_fine").select("id", F.lit(1.0).alias("weight"), "x", "y", "z")

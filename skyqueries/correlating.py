@@ -186,8 +186,8 @@ def region_map(spark, sf_dir):
     return rows.select(rounded("ra").alias("ra"), rounded("dec").alias("dec"), "region")
 
 
-@query("w03_contiguous_regions", f"""SELECT pix_nest, (rank // (size // 12))::integer AS region FROM (
-    SELECT pix_nest, row_number() OVER (ORDER BY pix_nest) - 1 AS rank, count(*) OVER () AS size FROM {_BAND}) WHERE rank // (size // 12) < 12""")
+@query("w03_contiguous_regions", f"""SELECT pix_nest, (((rank + 1) * 12 - 1) // size)::integer AS region FROM (
+    SELECT pix_nest, row_number() OVER (ORDER BY pix_nest) - 1 AS rank, count(*) OVER () AS size FROM {_BAND})""")
 def contiguous(spark, sf_dir):
     return contiguous_regions(_band(spark, sf_dir), 4, 12)
 

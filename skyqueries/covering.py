@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.cells import npix, with_nest
 from skylattice.operators import coverage
-from skylattice.sources.coverage_text import format_coverage, parse_coverage
+from skylattice.sources.coverage_text import PIECE, format_coverage, join_pieces, parse_coverage
 from skyqueries import duck
 from skyqueries.fixtures import (
     COVER_ORDER, COVER_SQL, cover, cover_pixels_sql, cover_runs, islands_sql, r_sql, rounded, sky, sky_sql, table,
@@ -80,12 +80,12 @@ def contains_value(spark, sf_dir):
 
 @query("u06_contains_range", f"""SELECT set_id, probe_id, coalesce(n, 0) = len AS contains, coalesce(n, 0) > 0 AS overlaps FROM (
     SELECT p.set_id, p.probe_id, any_value(p.hi - p.lo) AS len, count(a.pix) AS n FROM (
-      SELECT set_id, lo * 100 + len AS probe_id, lo, lo + len AS hi, unnest(range(lo, lo + len)) AS pix FROM (
-        SELECT DISTINCT set_id, lo, CASE WHEN lo % 2 = 0 THEN hi - lo ELSE 3 END AS len FROM {COVER_SQL} WHERE status = 'F')) p
+      SELECT set_id, lo * 100 + len AS probe_id, lo, lo + len AS hi, unnest(CASE WHEN len = 0 THEN [-1] ELSE range(lo, lo + len) END) AS pix FROM (
+        SELECT DISTINCT set_id, lo, CASE WHEN lo % 7 = 0 THEN 0 WHEN lo % 2 = 0 THEN hi - lo ELSE 3 END AS len FROM {COVER_SQL} WHERE status = 'F')) p
     LEFT JOIN {_A} a ON a.set_id = p.set_id AND a.pix = p.pix GROUP BY p.set_id, p.probe_id)""")
 def contains_range(spark, sf_dir):
     a, _ = _sides(spark, sf_dir)
-    probes = cover_runs(spark, sf_dir).where("status = 'F'").withColumn("len", F.expr("CASE WHEN lo % 2 = 0 THEN hi - lo ELSE 3 END"))
+    probes = cover_runs(spark, sf_dir).where("status = 'F'").withColumn("len", F.expr("CASE WHEN lo % 7 = 0 THEN 0 WHEN lo % 2 = 0 THEN hi - lo ELSE 3 END"))
     probes = probes.select("set_id", F.expr("lo * 100 + len").alias("probe_id"), F.shiftleft("lo", _SHIFT).alias("lo"),
                            F.shiftleft(F.col("lo") + F.col("len"), _SHIFT).alias("hi")).distinct()
     return coverage.contains_ranges(a, probes, COVER_ORDER)
@@ -246,18 +246,24 @@ def read_coverage_json(spark, sf_dir):
 _RUNS_OF_CELLS = f"(SELECT set_id, ord, min(cell) AS first, max(cell) AS last FROM (SELECT *, cell - row_number() OVER (PARTITION BY set_id, ord ORDER BY cell) AS island FROM {_CELLS}) GROUP BY set_id, ord, island)"
 
 
-@query("s10_write_coverage_ascii", f"""SELECT set_id, string_agg(section, ' ' ORDER BY ord) AS text FROM (SELECT set_id, ord, ord || '/' || string_agg(
-    CASE WHEN first = last THEN first::varchar ELSE first || '-' || last END, ',' ORDER BY first) AS section FROM {_RUNS_OF_CELLS} GROUP BY set_id, ord) GROUP BY set_id""")
+@query("s10_write_coverage_ascii", f"""SELECT set_id, ord AS "order", first // {PIECE} AS part, ord || '/' || string_agg(
+    CASE WHEN first = last THEN first::varchar ELSE first || '-' || last END, ',' ORDER BY first) AS text FROM {_RUNS_OF_CELLS} GROUP BY set_id, ord, first // {PIECE}""")
 def write_coverage_ascii(spark, sf_dir):
     return format_coverage(cover(spark, sf_dir), order=COVER_ORDER)
 
 
-@query("s10_write_coverage_json", f"""SELECT set_id, '{{' || string_agg(section, ', ' ORDER BY ord) || '}}' AS text FROM (SELECT set_id, ord, '"' || ord || '":[' || string_agg(
-    cell::varchar, ',' ORDER BY cell) || ']' AS section FROM {_CELLS} GROUP BY set_id, ord) GROUP BY set_id""")
+@query("s10_write_coverage_json", f"""SELECT set_id, ord AS "order", cell // {PIECE} AS part, '{{"' || ord || '":[' || string_agg(
+    cell::varchar, ',' ORDER BY cell) || ']}}' AS text FROM {_CELLS} GROUP BY set_id, ord, cell // {PIECE}""")
 def write_coverage_json(spark, sf_dir):
     return format_coverage(cover(spark, sf_dir), json=True, order=COVER_ORDER)
 
 
+@query("s10_joined_text", f"""SELECT set_id, string_agg(section, ' ' ORDER BY ord) AS text FROM (SELECT set_id, ord, ord || '/' || string_agg(
+    CASE WHEN first = last THEN first::varchar ELSE first || '-' || last END, ',' ORDER BY first) AS section FROM {_RUNS_OF_CELLS} GROUP BY set_id, ord) GROUP BY set_id""")
+def joined_text(spark, sf_dir):
+    return join_pieces(format_coverage(cover(spark, sf_dir), order=COVER_ORDER))
+
+
 @query("s10_text_round_trip", f"SELECT set_id, lo, hi FROM {islands_sql(_ALL)}")
 def text_round_trip(spark, sf_dir):
     return parse_coverage(format_coverage(cover(spark, sf_dir), order=COVER_ORDER), COVER_ORDER)

@@ -5,26 +5,28 @@ from __future__ import annotations
 import math
 
 
+#: Middles of the twelve faces on the plane, eighths of a turn by 3/2 z.
+FACE_MIDDLES = [(2 * k + (row != 1), 1 - row) for row in range(3) for k in range(4)]
+
+
 def nest_sql(source: str, order: int, out: str = "pix_nest") -> str:
-    """Adds the nested id to rows with z, sth, phi."""
+    """Adds the nested id to rows with z, sth, phi.
+
+    Another route than the engine's: the projected point is compared with the middles of all faces, and belongs to the one that is
+    nearest by |dx| + |dy|; both coordinates in the face are then linear in dx and dy.
+    """
     n = 1 << order
     spread = lambda v, up: f"list_sum(list_transform(range(0, {max(order, 1)}), lambda i: ((({v}) >> i) & 1) << (2 * i + {up})))::bigint"
-    return f"""(SELECT * EXCLUDE (k_za, k_tt, k_ntt, k_tp, k_root, k_jp, k_jm, k_fp, k_fm, k_face, k_fx, k_fy, k_ix, k_iy) FROM (
-      SELECT *, {spread('k_ix', 0)} + {spread('k_iy', 1)} + (k_face << {2 * order}) AS {out} FROM (
-      SELECT *, least({n - 1}, floor(k_fx * {n}))::bigint AS k_ix, least({n - 1}, floor(k_fy * {n}))::bigint AS k_iy FROM (
-      SELECT *,
-        (CASE WHEN k_za <= 2/3::double THEN CASE WHEN k_fp = k_fm THEN k_fp | 4 WHEN k_fp < k_fm THEN k_fp ELSE k_fm + 8 END
-              WHEN z >= 0 THEN k_ntt::bigint ELSE k_ntt::bigint + 8 END)::bigint AS k_face,
-        CASE WHEN k_za <= 2/3::double THEN k_jm - k_fm WHEN z >= 0 THEN 1 - k_jm ELSE k_jp END AS k_fx,
-        CASE WHEN k_za <= 2/3::double THEN 1 - (k_jp - k_fp) WHEN z >= 0 THEN 1 - k_jp ELSE k_jm END AS k_fy FROM (
-      SELECT *, floor(k_jp)::bigint AS k_fp, floor(k_jm)::bigint AS k_fm FROM (
-      SELECT *,
-        CASE WHEN k_za <= 2/3::double THEN 0.5::double + k_tt - 0.75::double * z ELSE least(1::double, k_tp * k_root) END AS k_jp,
-        CASE WHEN k_za <= 2/3::double THEN 0.5::double + k_tt + 0.75::double * z ELSE least(1::double, (1::double - k_tp) * k_root) END AS k_jm FROM (
-      SELECT *, k_tt - k_ntt AS k_tp,
-        CASE WHEN k_za < 0.99::double THEN sqrt(3::double * (1::double - k_za)) ELSE sth / sqrt((1::double + k_za) / 3::double) END AS k_root FROM (
-      SELECT *, least(3::double, floor(k_tt)) AS k_ntt FROM (
-      SELECT *, abs(z) AS k_za, ((phi * {2 / math.pi!r}::double) % 4::double + 4::double) % 4::double AS k_tt FROM {source} q0) q1) q2) q3) q4) q5) q6) q7) q8)"""
+    middles = "[" + ", ".join(f"struct_pack(f := {face}, x := {x}::double, y := {y}::double)" for face, (x, y) in enumerate(FACE_MIDDLES)) + "]"
+    across = "(((k_px - m.x + 4::double) % 8::double + 8::double) % 8::double - 4::double)"
+    return f"""(SELECT * EXCLUDE (k_q, k_s, k_px, k_py, k_near, k_fx, k_fy, k_ix, k_iy) FROM (
+      SELECT *, {spread('k_ix', 0)} + {spread('k_iy', 1)} + (k_near.f::bigint << {2 * order}) AS {out} FROM (
+      SELECT *, least({n - 1}, greatest(0, floor(k_fx * {n})))::bigint AS k_ix, least({n - 1}, greatest(0, floor(k_fy * {n})))::bigint AS k_iy FROM (
+      SELECT *, (1::double + k_near.dx + k_near.dy) / 2 AS k_fx, (1::double - k_near.dx + k_near.dy) / 2 AS k_fy FROM (
+      SELECT *, list_sort(list_transform({middles}, lambda m: struct_pack(d := abs({across}) + abs(k_py - m.y), f := m.f, dx := {across}, dy := k_py - m.y)))[1] AS k_near FROM (
+      SELECT *, CASE WHEN abs(z) <= 2/3::double THEN 2 * k_q ELSE 2 * floor(k_q) + 1 + (2 * (k_q - floor(k_q)) - 1) * k_s END AS k_px,
+        CASE WHEN abs(z) <= 2/3::double THEN 1.5::double * z ELSE sign(z) * (2 - k_s) END AS k_py FROM (
+      SELECT *, ((phi * {2 / math.pi!r}::double) % 4::double + 4::double) % 4::double AS k_q, sth * sqrt(3::double / (1 + abs(z))) AS k_s FROM {source} q0) q1) q2) q3) q4) q5) q6)"""
 
 
 def ring_sql(source: str, order: int, out: str = "pix_ring") -> str:
@@ -51,15 +53,17 @@ def face_parts_sql(source: str, order: int, pix: str) -> str:
 
 
 def place_sql(source: str, fx: str, fy: str, prefix: str = "c") -> str:
-    """Adds {prefix}z, {prefix}sth, {prefix}phi, {prefix}x, {prefix}y of the point (fx, fy) of face k_face."""
-    return f"""(SELECT * EXCLUDE (k_jr, k_nr, k_turn), {prefix}sth * cos({prefix}phi) AS {prefix}x, {prefix}sth * sin({prefix}phi) AS {prefix}y FROM (
-      SELECT *,
-        CASE WHEN k_jr < 1 OR k_jr > 3 THEN sqrt(k_nr*k_nr/3 * (2 - k_nr*k_nr/3)) ELSE sqrt((1 - {prefix}z) * (1 + {prefix}z)) END AS {prefix}sth,
-        CASE WHEN k_nr < 1e-15 THEN 0 ELSE {math.pi / 4!r}::double * (k_turn + CASE WHEN k_turn < 0 THEN 8 WHEN k_turn >= 8 THEN -8 ELSE 0 END) / k_nr END AS {prefix}phi FROM (
-      SELECT *, CASE WHEN k_jr < 1 THEN 1 - k_nr*k_nr/3 WHEN k_jr > 3 THEN k_nr*k_nr/3 - 1 ELSE (2 - k_jr)*2/3 END::double AS {prefix}z,
-        (list_extract([1,3,5,7,0,2,4,6,1,3,5,7], k_face + 1) * k_nr + ({fx}) - ({fy}))::double AS k_turn FROM (
-      SELECT *, CASE WHEN k_jr < 1 THEN k_jr WHEN k_jr > 3 THEN 4 - k_jr ELSE 1 END::double AS k_nr FROM (
-      SELECT *, (k_face // 4 + 2 - ({fx}) - ({fy}))::double AS k_jr FROM {source} p0) p1) p2) p3) p4)"""
+    """Adds {prefix}z, {prefix}sth, {prefix}phi, {prefix}x, {prefix}y of the point (fx, fy) of face k_face.
+
+    The point is put on the plane, and colatitude and longitude are read off there.
+    """
+    middle = lambda place: "list_extract([" + ", ".join(str(pair[place]) for pair in FACE_MIDDLES) + "], k_face + 1)"
+    return f"""(SELECT * EXCLUDE (k_px, k_py, k_up), {prefix}sth * cos({prefix}phi) AS {prefix}x, {prefix}sth * sin({prefix}phi) AS {prefix}y FROM (
+      SELECT *, sqrt(greatest(0, CASE WHEN k_up > 0 THEN k_up * (2 - k_up) ELSE (1 - {prefix}z) * (1 + {prefix}z) END)) AS {prefix}sth FROM (
+      SELECT *, CASE WHEN k_up > 0 THEN sign(k_py) * (1 - k_up) WHEN abs(k_py) < 2 THEN k_py / 1.5::double ELSE sign(k_py) END::double AS {prefix}z,
+        CASE WHEN abs(k_py) >= 2 THEN 0 ELSE {math.pi / 4!r}::double * (({middle(0)} + k_px / least(1, 2 - abs(k_py)) + 8) % 8) END::double AS {prefix}phi FROM (
+      SELECT *, CASE WHEN abs(k_py) > 1 THEN (2 - abs(k_py)) * (2 - abs(k_py)) / 3 ELSE 0 END::double AS k_up FROM (
+      SELECT *, (({fx}) - ({fy}))::double AS k_px, ({middle(1)} + ({fx}) + ({fy}) - 1)::double AS k_py FROM {source} p0) p1) p2) p3) p4)"""
 
 
 def centre_sql(source: str, order: int, pix: str = "pix_nest", prefix: str = "c") -> str:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from skylattice.functions.angles import chord_of
 from skylattice.functions.cells import with_nest
 from skylattice.operators import match
-from skylattice.operators.proximity import within_radius
+from skylattice.operators.proximity import D2, candidate_sides, within_radius
+from skylattice.plans.workloads import run_crossmatch
 from skylattice.session import scratch_folder
 from skylattice.sources import catalogs, results
 from skyqueries import duck
@@ -145,8 +146,7 @@ def crossmatch_arcsecond(spark, sf_dir):
 @query("a16_closest_per_x", f"SELECT x_id, y_id FROM (SELECT *, row_number() OVER (PARTITION BY x_id ORDER BY d2, y_id) AS k FROM {_PAIRS}) WHERE k = 1")
 def closest_per_x(spark, sf_dir):
     pairs = within_radius(sky(spark, sf_dir, "part").select("id", "x", "y", "z"), sky(spark, sf_dir, "customer").select("id", "x", "y", "z"), _RADIUS)
-    best = pairs.groupBy(F.col("b_id").alias("x_id")).agg(F.min(F.struct("d2", "a_id")).alias("best"))
-    return best.select("x_id", F.col("best.a_id").alias("y_id"))
+    return match.nearest_per(pairs, "b_id", "a_id", "d2").select(F.col("b_id").alias("x_id"), F.col("a_id").alias("y_id"))
 
 
 @query("a17_distinct_cells", f"SELECT DISTINCT pix_nest FROM {duck.nest_sql(_ORDERS, 6)}")
@@ -159,21 +159,43 @@ def rows_in_cells_of(spark, sf_dir):
     return match.in_cells_of(sky(spark, sf_dir, "orders"), sky(spark, sf_dir, "customer"), 6).select("id")
 
 
+_RADII = (1.0, 10.0, 60.0)
+
+
+def _shifted_sql(radius: float) -> str:
+    return f"(SELECT id, sqrt(1-z*z) * cos(phi) AS x, sqrt(1-z*z) * sin(phi) AS y, z FROM (SELECT id, phi, sin(radians(\"dec\" + (id % 7) * {0.3 * radius!r}::double / 3600)) AS z FROM {_CUSTOMER}))"
+
+
+@query("f07_crossmatch_prefiltered", " UNION ALL ".join(f"SELECT {radius!r}::double AS radius, x_id, y_id FROM " + _matched_sql(
+    f"""(SELECT a.id AS x_id, b.id AS y_id, (a.x-b.x)^2 + (a.y-b.y)^2 + (a.z-b.z)^2 AS d2 FROM {_CUSTOMER} a JOIN {_shifted_sql(radius)} b
+    ON abs(a.z - b.z) < 0.001 AND (a.x-b.x)^2 + (a.y-b.y)^2 + (a.z-b.z)^2 < {chord_of(math.radians(radius / 3600)) ** 2!r}::double)""") for radius in _RADII))
+def crossmatch_prefiltered(spark, sf_dir):
+    """Through the workload: objects moved by 0, 0.3, ... 1.8 radii, with rows dropped first that are out of reach."""
+    found = []
+    for radius in _RADII:
+        folder = scratch_folder(spark, "prefilter")
+        x = sky(spark, sf_dir, "customer")
+        y = x.withColumn("dec", F.expr(f"dec + (id % 7) * {0.3 * radius!r}D / 3600D"))
+        for name, rows in (("x", x), ("y", y)):
+            rows.select(F.concat_ws(",", "id", "ra", "dec")).write.text(f"{folder}/{name}")
+        run_crossmatch(spark, f"{folder}/x", f"{folder}/y", f"{folder}/out", radius, prefilter_order=12)
+        found.append(results.read_matches(spark, f"{folder}/out").select(F.lit(radius).alias("radius"), "x_id", "y_id"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("f07_prefilter_keeps_matches", f"SELECT x_id, y_id FROM {_matched_sql(_ARCSEC_PAIRS)}")
 def prefilter_keeps_matches(spark, sf_dir):
     x, y = sky(spark, sf_dir, "customer"), _shifted(spark, sf_dir)
-    return match.crossmatch(x, match.in_cells_of(y, x, 11, border_order=17)).select("x_id", "y_id")
+    return match.crossmatch(x, match.in_cells_of(y, x, 11, math.radians(1.0 / 3600.0))).select("x_id", "y_id")
 
 
-@query("f04_home_cell_once", f"SELECT pix_nest, count(*)::bigint AS n FROM {duck.nest_sql(_ORDERS, 4)} GROUP BY pix_nest")
+@query("f04_home_cell_once", f"SELECT x_id AS id_1, y_id AS id_2, 1::bigint AS n FROM {_PAIRS}")
 def home_cell_once(spark, sf_dir):
-    """Of a table copied to cells around each row, the copies in a row's own cell are the table again."""
-    from skylattice.functions.cells import with_neighbours
-
-    home = with_nest(sky(spark, sf_dir, "orders").select("id", "theta", "phi"), 4)
-    copies = with_neighbours(home, 4).select("id", "pix_nest", F.explode(F.expr(
-        "CASE WHEN direction = 0 THEN array(pix_nest, neighbour) ELSE array(neighbour) END")).alias("cell"))
-    return copies.where("cell = pix_nest").groupBy("pix_nest").agg(F.count("*").alias("n"))
+    """One side stays in its home cell and the other is copied to all cells it reaches: every close pair still meets once."""
+    left, right = (sky(spark, sf_dir, name).select("id", "x", "y", "z") for name in ("customer", "part"))
+    a, b, keys = candidate_sides(left, right, _RADIUS, 2)
+    met = a.join(b, keys).where(F.expr(D2) < F.lit(chord_of(_RADIUS) ** 2))
+    return met.groupBy(F.col("a_id").alias("id_1"), F.col("b_id").alias("id_2")).agg(F.count("*").alias("n"))
 
 
 @query("s05_write_matches", f"SELECT x_id, y_id, {r_sql(f'sqrt(d2) / {_LIMIT!r}')} AS sep_rel FROM {_matched_sql(_PAIRS)}")

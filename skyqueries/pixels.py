@@ -194,6 +194,12 @@ def boundary_points(spark, sf_dir):
     return C.with_boundary(cells, 6, 3).select("pix_nest", "point", *[rounded(c).alias(c) for c in "xyz"])
 
 
+@query("p16_ring_boundary_points", f"SELECT pix_ring, point, {r_sql('b.cx')} AS x, {r_sql('b.cy')} AS y, {r_sql('b.cz')} AS z FROM {_BOUNDARY} b JOIN {duck.ring_of_nest_sql(f'(SELECT DISTINCT pix_nest, z, sth, phi FROM {duck.nest_sql(_ORDERS, 6)} QUALIFY row_number() OVER (PARTITION BY pix_nest ORDER BY z) = 1)', 6)} r USING (pix_nest)")
+def ring_boundary_points(spark, sf_dir):
+    cells = C.with_ring(sky(spark, sf_dir, "orders"), 6).select("pix_ring").distinct()
+    return C.with_boundary(cells, 6, 3, "pix_ring", "ring").select("pix_ring", "point", *[rounded(c).alias(c) for c in "xyz"])
+
+
 @query("p17_unique_ids", f"""SELECT id, uniq, ord AS "order", pix FROM (SELECT id, (id % 14)::integer AS ord, pix13 >> (2 * (13 - id % 14)) AS pix, (pix13 >> (2 * (13 - id % 14))) + 4 ** (id % 14 + 1)::bigint AS uniq FROM {_BOTH})"""
        .replace("4 ** (id % 14 + 1)::bigint", "(4::bigint << (2 * (id % 14)))"))
 def unique_ids(spark, sf_dir):

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from skylattice.functions.angles import chord_of
-from skylattice.functions.cells import max_pixel_radius, with_nest
+from skylattice.functions.cells import max_pixel_radius, with_nest, with_ring
 from skylattice.operators import coverage, regions
 from skylattice.operators.regions import Cap, Convex, Polygon, Strip, vector_of_degrees
 from skyqueries import duck
@@ -158,6 +158,15 @@ def cells_in_strip(spark, sf_dir):
     return _occupied(spark, sf_dir, Strip(_T1, _T2), 6)
 
 
+_STRIP_CELLS = f"(SELECT id, cz AS z, csth AS sth, cphi AS phi FROM {duck.centre_sql(f'(SELECT id, pix_nest FROM {duck.nest_sql(_ORDERS, 6)})', 6)})"
+
+
+@query("f13_ring_cells_in_strip", f"SELECT id, pix_ring FROM {duck.ring_sql(f'(SELECT * FROM {_STRIP_CELLS} WHERE {_STRIP_SQL})', 6)}")
+def ring_cells_in_strip(spark, sf_dir):
+    cells = regions.at_order(regions.region_cells(spark, Strip(_T1, _T2), 6), 6, "ring")
+    return with_ring(sky(spark, sf_dir, "orders"), 6).join(cells, "pix_ring").select("id", "pix_ring")
+
+
 @query("f13_cells_in_open_strip", _occupied_sql(f"(z < {math.cos(_T2)!r}::double OR z > {math.cos(_T1)!r}::double)", 6))
 def cells_in_open_strip(spark, sf_dir):
     return _occupied(spark, sf_dir, Strip(_T2, _T1), 6)

@@ -53,14 +53,16 @@ def test_regions_share_the_mask_evenly(spark):
     order = 3
     mask = spark.range(100, 500).withColumnRenamed("id", "pix_nest")
     tiles = tiled_regions(mask, order, 16).collect()
-    assert tile_shape(16) == (4, 4) and tile_shape(2) == (2, 2) and tile_shape(64) == (8, 8)
+    assert tile_shape(16) == (4, 4) and tile_shape(2) == (2, 1) and tile_shape(64) == (8, 8) and tile_shape(5) == (5, 1)
     sizes = {}
     for row in tiles:
         sizes[row.region] = sizes.get(row.region, 0) + 1
     assert sorted(sizes) == list(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
     runs = contiguous_regions(mask, order, 7).collect()
-    assert len(runs) == 7 * (400 // 7)
-    assert all(row.region == (row.pix_nest - 100) // 57 for row in runs)
+    assert len(runs) == 400
+    lengths = [sum(row.region == region for row in runs) for region in range(7)]
+    assert sum(lengths) == 400 and max(lengths) - min(lengths) == 1
+    assert [row.region for row in sorted(runs, key=lambda row: row.pix_nest)] == sorted(row.region for row in runs)
 
 
 def test_random_rows_do_not_depend_on_partitions(spark):
