@@ -11,7 +11,6 @@ between different groups is lost; pairs within a group need no further look.
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import keep_about, read, slices
+from skylattice.llm.common import keep_about, read, slices, stored
 from skylattice.llm.components import components
-from skylattice.session import checkpointed, scratch_folder
+from skylattice.session import checkpointed
 
 WORDS = 4
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-SIGNATURE_WORDS = 16
 TILE = 1024
+#: Meeting keys are hashes of so many bits: a clash makes a needless meeting, and short keys halve the shuffle.
+KEY_BITS = 48
 #: A shingle in so many of the about SAMPLE_ROWS sampled documents is common: it comes last in the order of shingles.
 SAMPLE_ROWS, COMMON = 5000, 10
 BLOOM_BITS = 26
@@ -90,12 +90,17 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    """Bitmap of SIGNATURE_WORDS * 64 bits with one bit for each hash."""
-    bits = np.zeros(SIGNATURE_WORDS * 64, bool)
-    bits[(_mixed(hashes) % np.uint64(len(bits))).astype(np.int64)] = True
+    """Bitmap with one bit for each hash; its width, a power of two, is two to four times their number."""
+    bits = np.zeros(max(64, 1 << (2 * len(hashes)).bit_length()), bool)
+    bits[(_mixed(hashes) & np.uint64(len(bits) - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def fold(bits: bytes, width: int) -> np.ndarray:
+    """A bitmap as 64-bit words, folded to `width` bytes by laying its parts on each other."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, width // 8), axis=0)
+
+
 def prefix_length(size: int) -> int:
     return size - -(-size * PERCENT // 100) + 1
 
@@ -136,7 +141,7 @@ def _described(rows: DataFrame, common: np.ndarray) -> DataFrame:
             place = np.minimum(np.searchsorted(common, one), max(len(common) - 1, 0))
             frequent = common[place] == one if len(common) else np.zeros(len(one), bool)
             ordered = np.concatenate((one[~frequent], one[frequent]))
-            keys.append(ordered[: prefix_length(len(one))].view(np.int64) if len(one) else np.zeros(0, np.int64))
+            keys.append((ordered[: prefix_length(len(one))] >> np.uint64(64 - KEY_BITS)).astype(np.int64) if len(one) else np.zeros(0, np.int64))
             mixed = _mixed(one)
             digests.append(int(mixed.sum(dtype=np.uint64) ^ np.uint64(len(one))).to_bytes(8, "big") + int(np.bitwise_xor.reduce(_mixed(mixed + np.uint64(1)))).to_bytes(8, "big"))
         return [ids, [len(one) for one in sets], digests, keys, [signature(one) for one in sets]]
@@ -161,10 +166,12 @@ def _with_bits(pairs: DataFrame, known: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            a, b = (np.frombuffer(b"".join(batch.column(f"bits_{name}").to_pylist()), np.uint64).reshape(-1, SIGNATURE_WORDS) for name in "ab")
-            good = _may_link(n_a, n_b, np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            columns = [batch.column(name).to_pylist() for name in ("n_a", "n_b", "bits_a", "bits_b")]
+            good = []
+            for n_a, n_b, bits_a, bits_b in zip(*columns):
+                a, b = (fold(bits, min(len(bits_a), len(bits_b))) for bits in (bits_a, bits_b))
+                good.append(bool(_may_link(n_a, n_b, np.bitwise_count(a & ~b).sum(dtype=np.int64), np.bitwise_count(b & ~a).sum(dtype=np.int64))))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return joined.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
 
@@ -203,7 +210,7 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 sets = shingle_sets(part.column("_text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array([one.tobytes() for one in sets])], names=["_id", "hashes"])
 
-    sets = placed.mapInArrow(arrays, "_id bigint, hashes binary").join(ids, "_id", "left_semi").dropDuplicates(["_id"])
+    sets = placed.mapInArrow(arrays, "_id bigint, hashes binary").join(ids, "_id", "left_semi")
     # The array of `a` goes to where the array of `b` is: many documents are compared with one.
     left = pairs.join(sets.withColumnRenamed("hashes", "x"), pairs["a"] == sets["_id"]).select("a", "b", "x")
     both = left.join(sets.withColumnRenamed("hashes", "y"), left["b"] == sets["_id"]).select("a", "b", "x", "y")
@@ -229,29 +236,45 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
     names = ["key", "low", "high", "side", "_id", "n", "group", "bits"]
 
     def compare(tile: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        bits, n, group, side = tile["bits"], tile["n"], tile["group"], tile["side"]
+        n, group, side = tile["n"], tile["group"], tile["side"]
+        none = np.zeros(0, np.int64)
+        if (group == group[0]).all():
+            return none, none
+        width = np.array([len(one) for one in tile["bits"]])
+        folded: dict[int, np.ndarray] = {}
+
+        def at_width(wanted: int) -> np.ndarray:
+            if wanted not in folded:
+                folded[wanted] = np.zeros((len(n), wanted // 8), np.uint64)
+                for i in np.flatnonzero(width >= wanted):
+                    folded[wanted][i] = fold(tile["bits"][i], wanted)
+            return folded[wanted]
+
         a_rows, b_rows = (np.arange(len(n)),) * 2 if side[0] < 0 else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         found_a, found_b = [], []
+        # Rows come by size, so those of a linkable size are one stretch.
+        sizes = n[b_rows]
         for a in a_rows:
-            b = b_rows[b_rows > a] if side[0] < 0 else b_rows
-            b = b[(group[b] != group[a]) & (100 * np.minimum(n[b], n[a]) >= PERCENT * np.maximum(n[b], n[a]))]
+            first = np.searchsorted(sizes, -(-PERCENT * n[a] // 100)) if side[0] >= 0 else np.searchsorted(b_rows, a, "right")
+            b = b_rows[first : np.searchsorted(sizes, 100 * n[a] // PERCENT, "right")]
+            b = b[group[b] != group[a]]
             if not len(b):
                 continue
+            # Linkable sizes differ so little that no bitmap is folded more than once or twice.
+            bits = at_width(int(min(width[a], width[b].min())))
             only_a = np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64)
             only_b = np.bitwise_count(bits[b] & ~bits[a]).sum(axis=1, dtype=np.int64)
             b = b[_may_link(n[a], n[b], only_a, only_b)]
             found_a.append(np.full(len(b), tile["_id"][a]))
             found_b.append(tile["_id"][b])
-        none = [np.zeros(0, np.int64)]
-        return np.concatenate(found_a or none), np.concatenate(found_b or none)
+        return np.concatenate(found_a or [none]), np.concatenate(found_b or [none])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = {name: batch.column(name).to_numpy() for name in names[:-1]}
-            now["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, SIGNATURE_WORDS)
+            now = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in names}
             if rest is not None:
                 now = {name: np.concatenate((rest[name], now[name])) for name in names}
             change = np.ones(len(now["key"]), bool)
@@ -265,7 +288,7 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
         if rest is not None:
             yield pa.RecordBatch.from_arrays([pa.array(side) for side in compare(rest)], names=["a", "b"])
 
-    tiles = members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "_id")
+    tiles = members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "_id")
     return tiles.select(*names).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -273,45 +296,42 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """(`key`, `n_shingles`, `component_id`): the size of each document's set, and the smallest key that links lead to.
 
     A text with fewer than four words has all its words as one shingle; one without words has an empty set and is linked with
-    nothing.  Keys are whole numbers; a NULL key gets a NULL component and links with nothing.  Rows that share a
-    key are taken as one document with the text that comes first.  Other columns are not read.
+    nothing.  Keys are whole numbers; rows with a NULL key have no place in the result.  Rows that share a key are
+    expected to be copies of one another, and stay as many.  Other columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    path = os.path.join(scratch_folder(spark, "jaccard"), "sets")
-    _described(rows, common_shingles(rows)).write.parquet(path)
-    described = spark.read.parquet(path)
+    described = stored(_described(rows, common_shingles(rows)), "sets")
     # One document stands for all with the same set.
     stand = described.where("n > 0").groupBy("digest", "n").agg(F.min("_id").alias("_id"))
-    known = described.where("n > 0").join(stand.select("_id"), "_id", "left_semi").dropDuplicates(["_id"])
-    known_path = os.path.join(os.path.dirname(path), "known")
-    known.drop("digest").write.parquet(known_path)
-    known = spark.read.parquet(known_path)
-    # Meetings: documents of about the same size under one of their first shingles.
-    band = F.floor(F.log("n") / math.log(100 / PERCENT)).cast("bigint")
-    meeting = known.select("_id", "n", band.alias("band"), F.explode("keys").alias("key"))
+    known = described.select("_id", "n", "bits")
+    # Meetings: documents under one of their first shingles.
+    meeting = described.select("_id", F.col("n").cast("int").alias("n"), "keys").join(stand.select("_id"), "_id", "left_semi")
+    meeting = meeting.select("_id", "n", F.explode("keys").alias("key"))
     shared = meeting.groupBy("key").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last")
-    members = checkpointed(meeting.join(shared.select("key"), "key"))
-    pivots = members.groupBy("key", "band").agg(F.min("_id").alias("b"))
-    stars = members.join(pivots, ["key", "band"]).where("_id <> b").select(F.col("_id").alias("a"), "b").distinct()
+    members = stored(meeting.join(shared.select("key"), "key"), "meetings")
+    # Each is compared with one of about its size.
+    banded = members.withColumn("band", F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int"))
+    pivots = banded.groupBy("key", "band").agg(F.min("_id").alias("b"))
+    stars = banded.join(pivots, ["key", "band"]).where("_id <> b").select(F.col("_id").alias("a"), "b").distinct()
     links = checkpointed(_verified(checkpointed(_with_bits(stars, known)), rows))
     groups = components(links)
     # Meetings that still hold several groups.
-    named = members.join(groups.withColumnRenamed("node", "_id"), "_id", "left").withColumn("group", F.coalesce("component", "_id")).drop("component")
-    named = checkpointed(named)
-    # Sizes are linked to those of the same band and of the one below, so a tile holds two neighbouring bands.
-    wide = named.withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
-    mixed_tiles = wide.groupBy("key", "tile").agg(
-        F.count("*").alias("rows"), F.min("group").alias("g0"), F.max("group").alias("g1")
-    ).where("g0 < g1")
-    open_rows = wide.join(mixed_tiles.select("key", "tile", F.ceil(F.col("rows") / TILE).cast("int").alias("cuts")), ["key", "tile"])
+    named = banded.join(groups.withColumnRenamed("node", "_id"), "_id", "left").select("key", "_id", "band", F.coalesce("component", "_id").alias("group"))
+    several = named.groupBy("key").agg(F.count("*").alias("rows"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1")
+    left = stored(named.join(several.select("key", "rows"), "key"), "open-meetings")
+    # A small meeting is one tile.  A larger one is banded: sizes are linked to those of the same band and of the one below, so a tile
+    # holds two neighbouring bands; and a tile of many rows is cut in blocks that are compared two by two.
+    bands = F.when(F.col("rows") <= TILE, F.array(F.lit(0))).otherwise(F.array("band", F.col("band") + 1))
+    wide = left.withColumn("tile", F.explode(bands)).drop("rows")
+    tiles = wide.groupBy("key", "tile").agg(F.count("*").alias("rows"), F.min("group").alias("g0"), F.max("group").alias("g1"))
+    tiles = tiles.where("g0 < g1").select("key", "tile", F.ceil(F.col("rows") / TILE).cast("int").alias("cuts"))
     own = F.pmod(F.xxhash64("_id"), F.col("cuts")).cast("int")
-    dealt = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    dealt = wide.join(tiles, ["key", "tile"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     dealt = dealt.select(
         F.xxhash64("key", "tile").alias("key"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
         F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "_id", "group",
     )
-    dealt = dealt.join(known.select("_id", "n", "bits"), "_id")
+    dealt = dealt.join(known, "_id")
     more = _verified(checkpointed(_tile_pairs(dealt)), rows)
     groups = components(links.union(more))
     whole = groups.select(F.col("node").alias("_id"), "component")
