@@ -29,7 +29,7 @@ TILE = 1024
 #: Meeting keys are hashes of so many bits: a clash makes a needless meeting, and short keys halve the shuffle.
 KEY_BITS = 48
 #: A shingle in so many of the about SAMPLE_ROWS sampled documents is common: it comes last in the order of shingles.
-SAMPLE_ROWS, COMMON = 5000, 10
+SAMPLE_ROWS, COMMON = 10_000, 10
 BLOOM_BITS = 26
 
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -270,7 +270,19 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
         return np.concatenate(found_a or [none]), np.concatenate(found_b or [none])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A pair may meet in many tiles of a task; it leaves the task once (once for every million found).
         rest: dict[str, np.ndarray] | None = None
+        found: list[np.ndarray] = []
+
+        def unique() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate([*found, np.zeros((0, 2), np.int64)]), axis=0)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        def add(tile: dict[str, np.ndarray]) -> None:
+            a, b = compare(tile)
+            found.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -280,13 +292,15 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
             change = np.ones(len(now["key"]), bool)
             change[1:] = (now["key"][1:] != now["key"][:-1]) | (now["low"][1:] != now["low"][:-1]) | (now["high"][1:] != now["high"][:-1])
             starts = np.flatnonzero(change)
-            done = [compare({name: now[name][s:e] for name in names}) for s, e in zip(starts, starts[1:])]
+            for start, end in zip(starts, starts[1:]):
+                add({name: now[name][start:end] for name in names})
             # The last tile may go on in the next batch.
             rest = {name: now[name][starts[-1] :] for name in names}
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*done)], names=["a", "b"])
+            if sum(map(len, found)) > 1_000_000:
+                yield unique()
         if rest is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(side) for side in compare(rest)], names=["a", "b"])
+            add(rest)
+        yield unique()
 
     tiles = members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "_id")
     return tiles.select(*names).mapInArrow(run, "a bigint, b bigint").distinct()
