@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylattice.operators import coverage, ranking
-from skylattice.sources.coverage_text import format_coverage, parse_coverage
+from skylattice.sources.coverage_text import format_coverage, join_pieces, parse_coverage
 
 SKY = coverage.SKY_END
 
@@ -131,6 +131,7 @@ def test_text_round_trip(spark, json):
     merged = rows_of(coverage.coalesce(frame(spark, a), 4))
     text = format_coverage(frame(spark, a), json, 4)
     assert rows_of(parse_coverage(text, 4)) == merged
+    assert rows_of(parse_coverage(join_pieces(text, json), 4)) == merged
 
 
 def test_untidy_text(spark):
@@ -145,7 +146,9 @@ def test_untidy_text(spark):
 
 def test_ascii_format(spark):
     rows = frame(spark, [(1, 0, 4**28), (1, 3 * 4**28, 4**29), (1, 17 * 4**27, 19 * 4**27), (2, 0, SKY)])
-    text = {row.set_id: row.text for row in format_coverage(rows).collect()}
+    pieces = {(row.set_id, row.order, row.part): row.text for row in format_coverage(rows).collect()}
+    assert pieces == {(1, 1, 0): "1/0,3", (1, 2, 0): "2/17-18", (2, 0, 0): "0/0-11"}
+    text = {row.set_id: row.text for row in join_pieces(format_coverage(rows)).collect()}
     assert text == {1: "1/0,3 2/17-18", 2: "0/0-11"}
 
 
