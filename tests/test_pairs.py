@@ -150,3 +150,14 @@ def test_undefined_estimates_are_null(spark):
     matrix = {(row.bin_i, row.bin_j): (row.cov, row["corr"]) for row in correlation.correlation_matrix(correlation.covariance(reals)).collect()}
     assert matrix[(0, 0)] == (None, None)
     assert matrix[(1, 1)] == (0.0, None)
+
+
+def test_key_that_is_hot_on_one_side_is_split(spark):
+    """Many rows of one table and few of the other in one cube: the many are dealt in strips, and each pair still meets once."""
+    from skylattice.operators.proximity import candidate_sides
+
+    place = lambda n: spark.range(n).selectExpr("id", "1D AS x", "id * 1e-9D AS y", "0D AS z")
+    a, b, keys = candidate_sides(place(6000), place(20), 0.01, 200)
+    groups = [row["count"] for row in a.groupBy(*keys).count().collect()]
+    assert max(groups) < 1200 and sum(groups) == 6000
+    assert a.join(b, keys).groupBy("a_id", "b_id").count().groupBy("count").count().collect() == [(1, 120000)]
