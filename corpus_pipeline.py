@@ -17,6 +17,8 @@ from skylattice.session import scratch_folder
 
 #: From this score on a document is toxic.
 TOXIC_FROM = 0.7
+#: Near copies share at least so many percent of their shingles of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +36,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents; rows that share an id are one document.
+    """The document with the smallest id of each group of near copies (links at NEAR_PERCENT % of shingles of NEAR_WORDS words); rows that share an id are one document.
 
     Documents without words and rows with a NULL id are linked with nothing and stay.
     """
-    groups = jaccard.join_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    groups = jaccard.join_groups(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     known = docs.where("doc_id IS NOT NULL").join(groups, F.col("doc_id") == F.col("_keep")).drop("_keep")
     return known.dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
 

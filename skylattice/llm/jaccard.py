@@ -1,4 +1,6 @@
-"""N-gram Jaccard join: which documents share at least 85 % of their 4-word shingles, and the groups that these links make.
+"""N-gram Jaccard join: the groups that links make, a link being two documents that share a percentage of their word shingles.
+
+`op8_jaccard` takes shingles of 4 words and 85 %; both are arguments.
 
 Copies with the same set of shingles stand for one document.  For a link two sets must share one of the few shingles that
 come first in a fixed order (prefix filter), so documents meet only under those.  First each document is compared with
@@ -22,9 +24,8 @@ from skylattice.llm.common import keep_about, read, slices, stored
 from skylattice.llm.components import components
 from skylattice.session import checkpointed
 
-WORDS = 4
-#: Linked when 100 * intersection >= PERCENT * union.
-PERCENT = 85
+#: The defaults, those of `op8_jaccard`: words of a shingle, and linked when 100 * intersection >= PERCENT * union.
+WORDS, PERCENT = 4, 85
 TILE = 1024
 #: Meeting keys are hashes of so many bits: a clash makes a needless meeting, and short keys halve the shuffle.
 KEY_BITS = 48
@@ -101,37 +102,37 @@ def fold(bits: bytes, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, width // 8), axis=0)
 
 
-def prefix_length(size: int) -> int:
-    return size - -(-size * PERCENT // 100) + 1
+def prefix_length(size: int, percent: int = PERCENT) -> int:
+    return size - -(-size * percent // 100) + 1
 
 
-def _each_text(df: DataFrame, schema: str, rows) -> DataFrame:
-    """`rows(ids, sets)` gives the columns for a part of (`_id`, `_text`)."""
+def _each_text(df: DataFrame, schema: str, rows, words: int) -> DataFrame:
+    """`rows(ids, sets)` gives the columns for a part of (`_id`, `_text`) with shingles of `words` words."""
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text", 1_000_000):
-                columns = rows(part.column("_id"), shingle_sets(part.column("_text").to_pylist()))
+                columns = rows(part.column("_id"), shingle_sets(part.column("_text").to_pylist(), words))
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=names)
 
     return df.mapInArrow(run, schema)
 
 
-def common_shingles(rows: DataFrame) -> np.ndarray:
+def common_shingles(rows: DataFrame, words: int = WORDS) -> np.ndarray:
     """Shingles that stand in many documents of a bounded sample; at most sample shingles / COMMON of them.
 
     They only decide the order of shingles, so what the sample misses costs time and changes no result.
     """
     total = rows.count()
     sample = rows.where(keep_about(F.col("_id"), F.lit(min(1.0, SAMPLE_ROWS / max(total, 1)))))
-    sets = _each_text(sample, "hashes array<bigint>", lambda ids, sets: [[one.view(np.int64) for one in sets]])
+    sets = _each_text(sample, "hashes array<bigint>", lambda ids, sets: [[one.view(np.int64) for one in sets]], words)
     counts = sets.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     return np.sort(counts.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def _described(rows: DataFrame, common: np.ndarray) -> DataFrame:
+def _described(rows: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
     """(`_id`, `n`, `digest`, `keys`, `bits`) of each row."""
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
@@ -141,25 +142,25 @@ def _described(rows: DataFrame, common: np.ndarray) -> DataFrame:
             place = np.minimum(np.searchsorted(common, one), max(len(common) - 1, 0))
             frequent = common[place] == one if len(common) else np.zeros(len(one), bool)
             ordered = np.concatenate((one[~frequent], one[frequent]))
-            keys.append((ordered[: prefix_length(len(one))] >> np.uint64(64 - KEY_BITS)).astype(np.int64) if len(one) else np.zeros(0, np.int64))
+            keys.append((ordered[: prefix_length(len(one), percent)] >> np.uint64(64 - KEY_BITS)).astype(np.int64) if len(one) else np.zeros(0, np.int64))
             mixed = _mixed(one)
             digests.append(int(mixed.sum(dtype=np.uint64) ^ np.uint64(len(one))).to_bytes(8, "big") + int(np.bitwise_xor.reduce(_mixed(mixed + np.uint64(1)))).to_bytes(8, "big"))
         return [ids, [len(one) for one in sets], digests, keys, [signature(one) for one in sets]]
 
-    return _each_text(rows, "_id bigint, n bigint, digest binary, keys array<bigint>, bits binary", describe)
+    return _each_text(rows, "_id bigint, n bigint, digest binary, keys array<bigint>, bits binary", describe, words)
 
 
-def _may_link(n_a: np.ndarray, n_b: np.ndarray, only_a: np.ndarray, only_b: np.ndarray) -> np.ndarray:
+def _may_link(n_a: np.ndarray, n_b: np.ndarray, only_a: np.ndarray, only_b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """False where the bits that only one side has leave too small an overlap."""
     overlap = np.minimum(n_a - only_a, n_b - only_b)
-    return (100 + PERCENT) * overlap >= PERCENT * (n_a + n_b)
+    return (100 + percent) * overlap >= percent * (n_a + n_b)
 
 
-def _with_bits(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def _with_bits(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """The pairs (`a`, `b`) whose sizes and bitmaps allow a link."""
     sides = [known.select(F.col("_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}")) for name in "ab"]
     joined = pairs.join(sides[0], "a").join(sides[1], "b").where(
-        (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
+        (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +171,7 @@ def _with_bits(pairs: DataFrame, known: DataFrame) -> DataFrame:
             good = []
             for n_a, n_b, bits_a, bits_b in zip(*columns):
                 a, b = (fold(bits, min(len(bits_a), len(bits_b))) for bits in (bits_a, bits_b))
-                good.append(bool(_may_link(n_a, n_b, np.bitwise_count(a & ~b).sum(dtype=np.int64), np.bitwise_count(b & ~a).sum(dtype=np.int64))))
+                good.append(bool(_may_link(n_a, n_b, np.bitwise_count(a & ~b).sum(dtype=np.int64), np.bitwise_count(b & ~a).sum(dtype=np.int64), percent)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return joined.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
@@ -191,7 +192,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (`a`, `b`) that are links, by the sorted arrays of their shingles.
 
     Arrays are made again from the texts of those documents that are in a pair: a bitmap of fixed size leaves out most others
@@ -207,7 +208,7 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             bucket, bit = batch.column("_bucket").to_numpy(), batch.column("_bit").to_numpy()
             inside = bloom.value[bucket, bit // 8] >> (bit % 8).astype(np.uint8) & 1
             for part in slices(batch.filter(pa.array(inside.astype(bool))), "_text", 1_000_000):
-                sets = shingle_sets(part.column("_text").to_pylist())
+                sets = shingle_sets(part.column("_text").to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array([one.tobytes() for one in sets])], names=["_id", "hashes"])
 
     sets = placed.mapInArrow(arrays, "_id bigint, hashes binary").join(ids, "_id", "left_semi")
@@ -222,13 +223,13 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 place = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 shared = int((b[place] == a).sum())
-                good.append(100 * shared >= PERCENT * (len(a) + len(b) - shared))
+                good.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
-def _tile_pairs(members: DataFrame) -> DataFrame:
+def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different groups within a tile whose sizes and bitmaps allow a link.
 
     `members` has `key`, `low`, `high` (the tile), `side` (-1: compare all, else 0 against 1), `_id`, `n`, `group`, `bits`.
@@ -255,8 +256,8 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
         # Rows come by size, so those of a linkable size are one stretch.
         sizes = n[b_rows]
         for a in a_rows:
-            first = np.searchsorted(sizes, -(-PERCENT * n[a] // 100)) if side[0] >= 0 else np.searchsorted(b_rows, a, "right")
-            b = b_rows[first : np.searchsorted(sizes, 100 * n[a] // PERCENT, "right")]
+            first = np.searchsorted(sizes, -(-percent * n[a] // 100)) if side[0] >= 0 else np.searchsorted(b_rows, a, "right")
+            b = b_rows[first : np.searchsorted(sizes, 100 * n[a] // percent, "right")]
             b = b[group[b] != group[a]]
             if not len(b):
                 continue
@@ -264,7 +265,7 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
             bits = at_width(int(min(width[a], width[b].min())))
             only_a = np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64)
             only_b = np.bitwise_count(bits[b] & ~bits[a]).sum(axis=1, dtype=np.int64)
-            b = b[_may_link(n[a], n[b], only_a, only_b)]
+            b = b[_may_link(n[a], n[b], only_a, only_b, percent)]
             found_a.append(np.full(len(b), tile["_id"][a]))
             found_b.append(tile["_id"][b])
         return np.concatenate(found_a or [none]), np.concatenate(found_b or [none])
@@ -306,15 +307,16 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
     return tiles.select(*names).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(`key`, `n_shingles`, `component_id`): the size of each document's set, and the smallest key that links lead to.
 
-    A text with fewer than four words has all its words as one shingle; one without words has an empty set and is linked with
+    Two documents are linked when they share at least `percent` % of the different shingles of `words` words that either has.
+    A text with fewer words has all its words as one shingle; one without words has an empty set and is linked with
     nothing.  Keys are whole numbers; rows with a NULL key have no place in the result.  Rows that share a key are
     expected to be copies of one another, and stay as many.  Other columns are not read.
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    described = stored(_described(rows, common_shingles(rows)), "sets")
+    described = stored(_described(rows, common_shingles(rows, words), words, percent), "sets")
     # One document stands for all with the same set.
     stand = described.where("n > 0").groupBy("digest", "n").agg(F.min("_id").alias("_id"))
     known = described.select("_id", "n", "bits")
@@ -324,10 +326,10 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     shared = meeting.groupBy("key").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last")
     members = stored(meeting.join(shared.select("key"), "key"), "meetings")
     # Each is compared with one of about its size.
-    banded = members.withColumn("band", F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int"))
+    banded = members.withColumn("band", F.floor(F.log("n") / math.log(100 / percent)).cast("int"))
     pivots = banded.groupBy("key", "band").agg(F.min("_id").alias("b"))
     stars = banded.join(pivots, ["key", "band"]).where("_id <> b").select(F.col("_id").alias("a"), "b").distinct()
-    links = checkpointed(_verified(checkpointed(_with_bits(stars, known)), rows))
+    links = checkpointed(_verified(checkpointed(_with_bits(stars, known, percent)), rows, words, percent))
     groups = components(links)
     # Meetings that still hold several groups.
     named = banded.join(groups.withColumnRenamed("node", "_id"), "_id", "left").select("key", "_id", "band", F.coalesce("component", "_id").alias("group"))
@@ -346,7 +348,7 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "_id", "group",
     )
     dealt = dealt.join(known, "_id")
-    more = _verified(checkpointed(_tile_pairs(dealt)), rows)
+    more = _verified(checkpointed(_tile_pairs(dealt, percent)), rows, words, percent)
     groups = components(links.union(more))
     whole = groups.select(F.col("node").alias("_id"), "component")
     classes = stand.join(whole, "_id", "left").select("digest", "n", F.coalesce("component", "_id").alias("_component"))
