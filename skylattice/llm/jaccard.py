@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import keep_about, read, slices, stored
+from skylattice.llm.common import keep_about, ranked, read, slices, stored
 from skylattice.llm.components import components
 from skylattice.session import checkpointed
 
@@ -307,15 +307,75 @@ def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
     return tiles.select(*names).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """`docs` with `_id`, a whole number for each key and text; and (`_id`, `_key`) of those whose number is not their key.
+
+    The number is the key where all rows of a key have the same text.  Other texts, and those without a key, are numbered behind
+    the largest key (before the smallest where there is no room).  Without such rows the second is None.
+    """
+    marked = docs.withColumns({"_key": F.col(key).cast("bigint"), "_mark": F.xxhash64(text)})
+    keys = marked.groupBy("_key").agg(F.min("_mark").alias("_m0"), F.max("_mark").alias("_m1"))
+    odd = checkpointed(keys.where("_key IS NULL OR _m0 <> _m1").select("_key"))
+    if not odd.limit(1).count():
+        return marked.withColumn("_id", F.col("_key")).drop("_key", "_mark"), None
+    texts = marked.select("_key", "_mark").join(odd.withColumnRenamed("_key", "_o"), F.col("_key").eqNullSafe(F.col("_o")), "left_semi").distinct()
+    order = ranked(texts, [F.col("_key").asc_nulls_last(), F.col("_mark").asc()])
+    count, (low, high) = order.count(), marked.agg(F.coalesce(F.min("_key"), F.lit(0)), F.coalesce(F.max("_key"), F.lit(0))).head()
+    base = high + 1 if high + count < 1 << 63 else low - count
+    order = checkpointed(order.select((F.lit(base) + F.col("rank")).cast("bigint").alias("_id"), F.col("_key").alias("_o"), F.col("_mark").alias("_m")))
+    found = marked.join(order, F.col("_key").eqNullSafe(F.col("_o")) & (F.col("_mark") == F.col("_m")), "left")
+    found = found.withColumn("_id", F.coalesce("_id", "_key")).drop("_key", "_mark", "_o", "_m")
+    return found, order.select("_id", F.col("_o").alias("_key"))
+
+
 def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(`key`, `n_shingles`, `component_id`): the size of each document's set, and the smallest key that links lead to.
+    """(`key`, `n_shingles`, `component_id`): the size of each row's set, and the smallest key that links lead to.
 
     Two documents are linked when they share at least `percent` % of the different shingles of `words` words that either has.
     A text with fewer words has all its words as one shingle; one without words has an empty set and is linked with
-    nothing.  Keys are whole numbers; rows with a NULL key have no place in the result.  Rows that share a key are
-    expected to be copies of one another, and stay as many.  Other columns are not read.
+    nothing.  Keys are whole numbers.  Rows with a NULL key are compared like others; their `component_id` is NULL where no linked
+    row has a key.  Rows that share a key but not the text are documents of their own.  Other columns are not read.
+
+    The result is the groups and not the pairs of the join: links within a group that others already join are not looked for.
+    """
+    rows, names = _numbered(docs.select(key, text), key, text)
+    found = _components_of(rows.select("_id", F.coalesce(F.col(text), F.lit("")).alias("_text")), words, percent)
+    if names is not None:
+        found = _with_keys(found, names)
+        least = found.groupBy("_component").agg(F.min("_key").alias("_least"))
+        found = found.join(least, "_component").select(F.col("_key").alias("_id"), "n", F.col("_least").alias("_component"))
+    return found.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.col("_component").alias("component_id"))
+
+
+def _with_keys(found: DataFrame, names: DataFrame) -> DataFrame:
+    joined = found.join(names.select(F.col("_id").alias("_o"), "_key"), F.col("_id") == F.col("_o"), "left")
+    return joined.withColumn("_key", F.when(F.col("_o").isNull(), F.col("_id")).otherwise(F.col("_key"))).drop("_o")
+
+
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs` with the smallest key of each group of `join_groups`, one of each; a row without a key only where none has one.
+
+    Between rows of that key in the group a fixed order of their contents decides.  Rows without words are linked with nothing: of those
+    that share a key and the text one stays, and all that have no key.
     """
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows, names = _numbered(docs, key, text)
+    found = _components_of(rows.select("_id", F.coalesce(F.col(text), F.lit("")).alias("_text")), words, percent)
+    alone = None
+    if names is None:
+        kept = found.where("_id = _component").select("_id").distinct()
+    else:
+        found = _with_keys(found, names)
+        nothing = F.col("_key").isNull() & (F.col("n") == 0)
+        alone = found.where(nothing).select("_id").distinct()
+        first = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_id")).alias("_first")
+        kept = found.where(~nothing).groupBy("_component").agg(first).select("_first._id")
+    columns = F.struct(*docs.columns)
+    one = rows.join(kept, "_id").groupBy("_id").agg(F.min_by(columns, F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    return one if alone is None else one.union(rows.join(alone, "_id", "left_semi").select(*docs.columns))
+
+
+def _components_of(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(`_id`, `n`, `_component`) for each row (`_id`, `_text`): the size of its set, and the smallest `_id` that links lead to."""
     described = stored(_described(rows, common_shingles(rows, words), words, percent), "sets")
     # One document stands for all with the same set.
     stand = described.where("n > 0").groupBy("digest", "n").agg(F.min("_id").alias("_id"))
@@ -352,10 +412,9 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     groups = components(links.union(more))
     whole = groups.select(F.col("node").alias("_id"), "component")
     classes = stand.join(whole, "_id", "left").select("digest", "n", F.coalesce("component", "_id").alias("_component"))
-    result = described.select("_id", "n", "digest").join(classes, ["digest", "n"], "left").select(
-        F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("_component", "_id").alias("component_id")
+    return described.select("_id", "n", "digest").join(classes, ["digest", "n"], "left").select(
+        "_id", "n", F.coalesce("_component", "_id").alias("_component")
     )
-    return result
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

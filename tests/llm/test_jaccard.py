@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from skylattice.llm import jaccard
 from skylattice.llm.components import components
@@ -90,3 +91,26 @@ def test_edges(edges, nothing):
     by = {row.doc_id: row for row in found}
     assert [by[i].n_shingles for i in range(4)] == [0, 0, 0, 1] and by[10].component_id == 9 and by[2].component_id == 2
     assert jaccard.join_groups(nothing).count() == 0
+
+
+def test_rows_without_a_key_and_repeated_keys(spark, prose):
+    one, two, three = prose(1, 40), prose(2, 40), prose(3, 40)
+    data = [(5, one), (None, one + " more"), (None, two), (None, two + " more"), (None, two), (None, ""), (None, ""), (7, three), (7, one), (3, three), (9, None), (None, None)]
+    docs = spark.createDataFrame([(i, text, k) for k, (i, text) in enumerate(data)], "doc_id bigint, text string, place int")
+    found = jaccard.join_groups(docs.repartition(3)).collect()
+    key = lambda row: tuple(-1 if x is None else x for x in row)
+    wanted = [
+        (5, 37, 5), (None, 38, 5), (None, 37, None), (None, 38, None), (None, 37, None), (None, 0, None), (None, 0, None), (7, 37, 3), (7, 37, 5), (3, 37, 3),
+        (9, 0, 9), (None, 0, None),
+    ]
+    sizes = {text: len(one) for text, one in zip((t for _, t in data), jaccard.shingle_sets([t for _, t in data]))}
+    assert sorted(map(key, found)) == sorted(key((i, sizes[text], group)) for (i, text), (_, _, group) in zip(data, wanted))
+    # Near the ends of the 64 bits there is still room on one side.
+    high = docs.withColumn("doc_id", F.col("doc_id") + ((1 << 63) - 10))
+    shift = (1 << 63) - 10
+    shifted = jaccard.join_groups(high).collect()
+    assert sorted(key([x and i != 1 and x - shift or x for i, x in enumerate(row)]) for row in shifted) == sorted(map(key, found))
+    kept = [sorted(row.place for row in jaccard.one_of_each_group(docs.repartition(n)).collect()) for n in (1, 4)]
+    assert kept[0] == kept[1]
+    # One of each group; of the group without a key any one text; all without words and key.
+    assert {0, 9, 10, 5, 6, 11} <= set(kept[0]) and len(kept[0]) == 7 and set(kept[0]) - {0, 9, 10, 5, 6, 11} <= {2, 3, 4}
