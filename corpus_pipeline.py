@@ -36,13 +36,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (links at NEAR_PERCENT % of shingles of NEAR_WORDS words); rows that share an id are one document.
+    """The document with the smallest id of each group of near copies (links at NEAR_PERCENT % of shingles of NEAR_WORDS words).
 
-    Documents without words and rows with a NULL id are linked with nothing and stay.
+    Documents without words are linked with nothing and stay.  Rows that share an id are one document only where their texts
+    belong to one group; NULL ids come last, and of groups without an id one document stays.
     """
-    groups = jaccard.join_groups(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    known = docs.where("doc_id IS NOT NULL").join(groups, F.col("doc_id") == F.col("_keep")).drop("_keep")
-    return known.dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+    return jaccard.one_of_each_group(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

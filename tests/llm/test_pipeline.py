@@ -81,3 +81,14 @@ def test_near_copies_by_five_words_and_four_fifths(spark, prose):
                 group[a] = group[b] = min(group[a], group[b])
     kept = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows(texts), SCHEMA), "")
     assert sorted(row.doc_id for row in kept.collect()) == sorted(set(group))
+
+
+def test_repeated_and_missing_ids(spark, prose):
+    one, two, three, four = (prose(i, 60) for i in range(4))
+    data = [(4, one), (4, two), (4, one + " end"), (None, three), (None, three), (None, three + " end"), (None, two), (6, four), (6, four)]
+    docs = spark.createDataFrame([(i, text, "en", "s", len(text)) for i, text in data], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    runs = [sorted(map(str, corpus_pipeline.keep_one_of_each_group(spark, docs.repartition(n), "").collect())) for n in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 4
+    kept = [(row.doc_id, row.text) for row in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()]
+    assert (4, two) in kept and (6, four) in kept and len({(4, one), (4, one + " end")} & set(kept)) == 1
+    assert len({(None, three), (None, three + " end")} & set(kept)) == 1
