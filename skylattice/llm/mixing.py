@@ -99,7 +99,12 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     NULL is a source of its own, the last one.  Repeated rows are rows of their own.  Other columns are not read.
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), words(F.col(text)).alias("size"))
-    rows = checkpointed(rows.withColumn("_hash", seeded(F.col("_key"), seed)))
+    taken = _mix(checkpointed(rows.withColumn("_hash", seeded(F.col("_key"), seed))), block, epochs)
+    return taken.select(F.col("_key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "taken")
+
+
+def _mix(rows: DataFrame, block: int, epochs: int) -> DataFrame:
+    """Add `source_size`, `target` and `taken` to rows (`source`, `size`, `_hash`, ...)."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     sized = with_targets(sizes, epochs)
     # Sources get whole blocks of the mix.
@@ -128,18 +133,33 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     passes = F.when(F.col("_shard_size") > 0, F.floor(F.col("_words") / F.col("_shard_size"))).otherwise(0)
     rest = F.col("_words") - passes * F.col("_shard_size")
     part = F.greatest(F.least(rest - F.col("_before"), F.col("size")), F.lit(0))
-    return placed.select(
-        F.col("_key").alias(key), F.col("source").alias(source), "size", "source_size", "target", (passes * F.col("size") + part).cast("bigint").alias("taken")
-    )
+    return placed.select(*rows.columns, "source_size", "target", (passes * F.col("size") + part).cast("bigint").alias("taken"))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **settings: int) -> DataFrame:
+def mixed(
+    docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED, block: int = BLOCK, epochs: int = EPOCHS
+) -> DataFrame:
     """The documents of the mix, with the columns of `docs`: each as often as it is taken whole, and once cut after the words of a part.
 
-    Rows that share a key share their fate: each gets what the first of them takes.
+    Every row gets what `mix` takes of it, also where rows share a key or have none.
     """
-    taken = mix(docs, key, source, text, **settings).groupBy(F.col(key).alias("_key")).agg(F.max(F.struct("taken", "size")).alias("_mix"))
-    joined = docs.join(taken, docs[key].eqNullSafe(taken["_key"])).where(F.col("_mix.taken") > 0)
+    # A row is known by key, source and text; rows that are equal in all three are counted.
+    names = ["_key", "_source", "_same"]
+    own = {"_key": F.col(key), "_source": F.col(source), "_same": F.xxhash64(text)}
+    rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), words(F.col(text)).alias("size"), own["_same"].alias("_same"))
+    rows = checkpointed(rows.withColumn("_hash", seeded(F.col("_key"), seed)))
+    taken = _mix(rows, block, epochs).select("_key", F.col("source").alias("_source"), "_same", F.struct("taken", "size").alias("_mix"))
+    known = docs.withColumns(own)
+    if rows.groupBy("_key", "source", "_same").count().where("count > 1").limit(1).count():
+        equal = Window.partitionBy(*names)
+        taken = taken.withColumn("_n", F.row_number().over(equal.orderBy(F.col("_mix").desc())))
+        known = known.withColumn("_n", F.row_number().over(equal.orderBy(F.xxhash64(*docs.columns))))
+        names = [*names, "_n"]
+    taken = taken.where("_mix.taken > 0").withColumnsRenamed({name: f"{name}_t" for name in names})
+    same = F.lit(True)
+    for name in names:
+        same &= F.col(name).eqNullSafe(F.col(f"{name}_t"))
+    joined = known.join(taken, same)
     whole = F.floor(F.col("_mix.taken") / F.col("_mix.size"))
     part = (F.col("_mix.taken") - whole * F.col("_mix.size")).cast("int")
     # Cut behind each word: the pieces put together again are the text itself.

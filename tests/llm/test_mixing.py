@@ -68,3 +68,22 @@ def test_edges(edges, nothing):
     assert mixing.mixed(edges).columns == edges.columns and mixing.mixed(nothing).count() == 0
     words = F.length("text")
     assert mixing.mixed(edges).where(words.isNull()).count() == 0
+
+
+def test_rows_that_share_a_key_or_have_none(spark, prose):
+    texts = [prose(i, 3 + i % 40) for i in range(300)]
+    texts[7] = texts[8] = texts[9]
+    ids = [None if i % 3 else i // 30 for i in range(300)]
+    ids[7] = ids[8] = ids[9] = None
+    data = [(ids[i], text, "en", "abc"[i % 7 % 3] if i not in (7, 8, 9) else "a", len(text)) for i, text in enumerate(texts)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    wanted, found = {}, {}
+    for row in mixing.mix(docs).collect():
+        wanted[row.source] = wanted.get(row.source, 0) + row.taken
+    most = {}
+    for row in mixing.mixed(docs.repartition(4)).collect():
+        found[row.source] = found.get(row.source, 0) + len(row.text.split())
+        most[row.doc_id, row.source, row.text] = most.get((row.doc_id, row.source, row.text), 0) + 1
+    assert found == {source: taken for source, taken in wanted.items() if taken}
+    whole = {(i, source, text) for i, text, _, source, _ in data}
+    assert all(n <= mixing.EPOCHS * sum((i, source, text) == row for i, text, _, source, _ in data for row in [one]) for one, n in most.items() if one in whole)
