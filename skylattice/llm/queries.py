@@ -13,6 +13,9 @@ from skylattice.llm.licenses import op3_licenses
 from skylattice.llm.mixing import OP2_SQL, op2_mixing
 from skylattice.llm.neighbours import op9_neighbours
 from skylattice.llm.packing import op4_packing
+from skylattice.llm.pieces import op11_pieces
+from skylattice.llm.prefixes import OP12_SQL, op12_prefixes
+from skylattice.llm.runs import op13_runs
 from skylattice.llm.secrets import op10_secrets
 from skylattice.llm.toxicity import op5_toxicity
 from skylattice.llm.urls import op6_urls
@@ -28,7 +31,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_neighbours": op9_neighbours,
     "op10_secrets": op10_secrets,
+    "op11_pieces": op11_pieces,
+    "op12_prefixes": op12_prefixes,
+    "op13_runs": op13_runs,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,
+    "op12_prefixes": OP12_SQL,
 }

@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_jaccard": ["doc_id", "n_shingles", "component_id"],
     "op9_neighbours": ["query_id", "rank", "vec_id", "score"],
     "op10_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    "op11_pieces": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op12_prefixes": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op13_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
 
 
