@@ -63,15 +63,15 @@ class Text:
         return low
 
 
-def _chosen(codes: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Places of pairs to replace, none touching another: the better rank first, in a row of equal pairs every second from the left.
+def _chosen(codes: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs to replace, and which of `codes` they are, none touching another: the better rank first, in a row of equal pairs every second from the left.
 
     `codes` are the places (increasing) of candidates, `rank` their order.
     """
     touch = np.flatnonzero(np.diff(codes) == 1)
     keep = np.ones(len(codes), bool)
     if not len(touch):
-        return codes
+        return codes, keep
     before, after = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
     before[touch + 1] = True
     after[touch] = True
@@ -85,46 +85,57 @@ def _chosen(codes: np.ndarray, rank: np.ndarray) -> np.ndarray:
     start = np.flatnonzero(~joined)
     within = np.arange(len(codes)) - np.repeat(start, np.diff(np.append(start, len(codes))))
     keep &= within % 2 == 0
-    return codes[keep]
+    return codes[keep], keep
 
 
 def repair(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over whole numbers `words`; pairs across two texts (`text` numbers them) are none.
 
     Returns for each replacement the rule's number, and the first word, boundary and end of what it covers, and at last the first
-    words of the symbols that are left.  A round replaces the pairs at least half as frequent as the most frequent one, those first that are
+    words of the symbols that are left.  A round replaces the pairs at least a quarter as frequent as the most frequent one, those first that are
     more frequent; the rounds end when no pair is left twice.
     """
     symbols, starts = words.astype(np.int64), np.arange(len(words))
-    ends_text = np.append(text[1:] != text[:-1], True) if len(words) else np.zeros(0, bool)
+    # Places whose pair crosses a text's end or stands once: it will never stand twice, unless one of its symbols is replaced.
+    over = np.append(text[1:] != text[:-1], True) if len(words) else np.zeros(0, bool)
+    once = over.copy()
     size, rules, next_symbol = len(words), [], int(words.max(initial=-1)) + 1
     first_rule = next_symbol
-    while len(symbols) > 1:
-        code = symbols[:-1] * next_symbol + symbols[1:]
-        inside = np.flatnonzero(~ends_text[:-1])
+    while True:
+        places = np.flatnonzero(~once)
+        code = symbols[places] * next_symbol + symbols[places + 1]
         # A pair alone in its bucket stands once; the others are counted exactly.
-        bucket = (_mixed(code[inside]) & np.uint64((1 << 20) - 1)).astype(np.int64)
-        inside = inside[np.bincount(bucket, minlength=1 << 20)[bucket] > 1]
-        pairs, number, count = np.unique(code[inside], return_inverse=True, return_counts=True)
-        if not len(pairs) or count.max() < 2:
+        buckets = 1 << max(10, min(20, len(places).bit_length() + 1))
+        bucket = (_mixed(code) & np.uint64(buckets - 1)).astype(np.int64)
+        several = np.bincount(bucket, minlength=buckets)[bucket] > 1
+        once[places[~several]] = True
+        places, code = places[several], code[several]
+        pairs, number, count = np.unique(code, return_inverse=True, return_counts=True)
+        once[places[count[number] == 1]] = True
+        most = int(count.max(initial=0))
+        if most < 2:
             break
-        often = count >= max(2, int(count.max() + 1) // 2)
+        often = count >= max(2, most // 4)
         rank_of = np.empty(len(pairs), np.int64)
         rank_of[np.lexsort((pairs, -count))] = np.arange(len(pairs))
         wanted = often[number]
-        places = _chosen(inside[wanted], rank_of[number[wanted]])
+        rank = rank_of[number[wanted]]
+        chosen, kept = _chosen(places[wanted], rank)
         # Each chosen pair has a rule of its own.
-        named, rule = np.unique(code[places], return_inverse=True)
-        stop = np.append(starts, size)
-        rules.append((rule + next_symbol, starts[places], starts[places + 1], stop[places + 2]))
-        symbols[places] = rule + next_symbol
-        ends_text[places] = ends_text[places + 1]
+        named, rule = np.unique(rank[kept], return_inverse=True)
+        behind = np.append(starts, size)[chosen + 2]
+        rules.append((rule + next_symbol, starts[chosen], starts[chosen + 1], behind))
+        symbols[chosen] = rule + next_symbol
+        over[chosen] = over[chosen + 1]
+        once[chosen] = over[chosen]
+        before = chosen[chosen > 0] - 1
+        once[before] = over[before]
         left = np.ones(len(symbols), bool)
-        left[places + 1] = False
-        symbols, starts, ends_text = symbols[left], starts[left], ends_text[left]
+        left[chosen + 1] = False
+        symbols, starts, over, once = symbols[left], starts[left], over[left], once[left]
         next_symbol += len(named)
         if next_symbol > 1 << 31:
-            break
+            raise ValueError("more than 2 ** 31 symbols in one batch")
     parts = [np.concatenate([part[i] for part in rules]) if rules else np.zeros(0, np.int64) for i in range(4)]
     return parts[0] - first_rule, parts[1], parts[2], parts[3], starts
 
