@@ -3,15 +3,17 @@
 The characters of a text are symbols at first.  An agenda holds every adjacent pair of symbols that makes a piece, ordered by
 score and then by place; the first pair is merged, the pairs it makes with its neighbours join the agenda, and so on until it is
 empty.  What is no piece then is spelt in byte pieces.  Two neighbouring characters that stand next to each other in no piece can never be
-merged, so a text is parted there, and parts are remembered.  In the same Arrow batch the result can be held against the library.
+merged, so a text is parted at blanks, line breaks and such final marks, and parts are remembered.  The agendas of all new parts of a batch are worked
+off side by side in arrays, a step of each at a time; a long part has a heap of its own.  In the same Arrow batch the result can be held against the library.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,10 @@ from pyspark.sql import functions as F
 from skylattice.llm.common import read, slices
 
 #: Bytes of parts that a worker remembers in each of two generations, an entry being counted with its overhead.
-MOST_BYTES, ENTRY_BYTES, LONGEST = 64_000_000, 170, 64
+MOST_BYTES, ENTRY_BYTES, LONGEST = 128_000_000, 170, 64
 _PLACE = (1 << 32) - 1
-_PART = re.compile(" +[^ \n]*|\n|[^ \n]+")
+_PART = re.compile("▁+[^▁\n]*|\n|[^▁\n]+")
+_NEVER = np.int64(1 << 40)
 
 
 class PieceCoder:
@@ -44,6 +47,11 @@ class PieceCoder:
         self.unknown, self.end = model.unk_id(), model.eos_id()
         self._check(names, plain)
         self.adjacent = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
+        self._character = np.full(0x110000, -1, np.int64)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self._character[ord(piece)] = i
+        self._codes, self._ranks, self._made = self._pairs()
         values = [
             b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i)
             else bytes([int(names[i][3:-1], 16)]) if model.is_byte(i) else names[i].replace("▁", " ").encode()
@@ -103,7 +111,72 @@ class PieceCoder:
                     heappush(agenda, rank << 32 | ahead)
         return [symbol for symbol in symbols if symbol]
 
-    def _encoded(self, part: str) -> bytes:
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted codes of the pairs of ids that make a piece, with its rank and its id."""
+        rows = sorted(
+            (self.ids[piece[:i]] << 32 | self.ids[piece[i:]], self.order[piece], whole)
+            for piece, whole in self.ids.items() for i in range(1, len(piece)) if piece[:i] in self.ids and piece[i:] in self.ids
+        )
+        return tuple(np.array(column, np.int64) for column in zip(*[*rows, (1 << 62, int(_NEVER), -1)]))
+
+    def _agenda(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of what pairs of ids make; _NEVER where they make none."""
+        code = left << 32 | right
+        place = np.searchsorted(self._codes, code)
+        made = (self._codes[place] == code) & (left >= 0) & (right >= 0)
+        return np.where(made, self._ranks[place], _NEVER), self._made[place]
+
+    def _side_by_side(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part: a round takes the first pair of every agenda."""
+        point = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(len(parts)), [len(part) for part in parts])
+        symbol = self._character[point]
+        done: list[tuple[np.ndarray, ...]] = []
+        rank, made = self._agenda(symbol[:-1], symbol[1:])
+        rank, made = np.append(rank, _NEVER), np.append(made, -1)
+        rank[:-1][owner[1:] != owner[:-1]] = _NEVER
+        while len(symbol):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            sizes = np.diff(np.append(starts, len(symbol)))
+            # The smallest rank of a part, and of equal ones the first.
+            first = np.minimum.reduceat(rank << 22 | np.arange(len(symbol)), starts)
+            going = first >> 22 < _NEVER
+            if not going.all():
+                over = np.repeat(~going, sizes)
+                done.append((owner[over], symbol[over], point[over]))
+                owner, symbol, point, rank, made = (x[~over] for x in (owner, symbol, point, rank, made))
+                if not len(symbol):
+                    break
+                shift = np.cumsum(over)
+                at = first[going] & ((1 << 22) - 1)
+                at -= shift[at]
+            else:
+                at = first & ((1 << 22) - 1)
+            symbol[at] = made[at]
+            left = np.ones(len(symbol), bool)
+            left[at + 1] = False
+            at = at - np.arange(len(at))  # one symbol goes from every part
+            owner, symbol, point, rank, made = (x[left] for x in (owner, symbol, point, rank, made))
+            for place in (at - 1, at):
+                inside = (place >= 0) & (place + 1 < len(symbol))
+                inside[inside] = owner[place[inside]] == owner[place[inside] + 1]
+                rank[place[~inside & (place >= 0)]] = _NEVER
+                place = place[inside]
+                rank[place], made[place] = self._agenda(symbol[place], symbol[place + 1])
+        owner, symbol, point = (np.concatenate([one[i] for one in done]) for i in range(3))
+        order = np.argsort(owner, kind="stable")
+        owner, symbol, point = owner[order], symbol[order], point[order]
+        times = np.ones(len(symbol), np.int64)
+        strange = np.flatnonzero(symbol < 0)
+        spelt = [[self.spelt[byte] for byte in chr(x).encode()] for x in point[strange].tolist()]
+        times[strange] = [len(one) for one in spelt]
+        ids = np.repeat(symbol, times)
+        ids[np.repeat(symbol < 0, times)] = [i for one in spelt for i in one]
+        ends = np.cumsum(np.bincount(owner, times, len(parts)).astype(np.int64)) * 4
+        raw = ids.astype("<i4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+    def _with_heap(self, part: str) -> bytes:
         found: list[int] = []
         for symbol in self.merged(part):
             one = self.ids.get(symbol)
@@ -113,38 +186,53 @@ class PieceCoder:
                 found.extend(self.spelt[byte] for byte in symbol.encode())
         return np.array(found, "<i4").tobytes()
 
-    def _remembered(self, part: str, make: Callable[[str], bytes]) -> bytes:
-        known = self._young.get(part)
-        if known is None:
-            known = self._old.get(part)
-            if known is None:
-                known = make(part)
-            if len(part) <= LONGEST:
-                self._young[part] = known
-                self._used += ENTRY_BYTES + 2 * len(part) + len(known)
-                if self._used > MOST_BYTES:
-                    self._young, self._old, self._used = {}, self._young, 0
-        return known
-
-    def _word(self, word: str) -> bytes:
-        """A word: parted where two characters are never neighbours in a piece."""
-        word, adjacent = word.replace(" ", "▁"), self.adjacent
-        cuts = [i + 1 for i in range(len(word) - 1) if word[i : i + 2] not in adjacent]
-        if not cuts:
-            return self._encoded(word)
-        return b"".join(self._remembered(word[a:b], self._encoded) for a, b in zip([0, *cuts], [*cuts, len(word)]))
+    def _keep(self, part: str, ids: bytes) -> None:
+        if len(part) <= LONGEST:
+            self._young[part] = ids
+            self._used += ENTRY_BYTES + 2 * len(part) + len(ids)
+            if self._used > MOST_BYTES:
+                self._young, self._old, self._used = {}, self._young, 0
+
+    def _ids(self, parts: set[str], whole: bool = True) -> dict[str, bytes]:
+        """The ids of parts; `whole` ones may still end in marks that no piece joins to what is before them."""
+        found: dict[str, bytes] = {}
+        new = []
+        for part in parts:
+            ids = self._young.get(part)
+            if ids is None:
+                ids = self._old.get(part)
+                if ids is None:
+                    new.append(part)
+                    continue
+                self._keep(part, ids)
+            found[part] = ids
+        if whole:
+            cut = []
+            for part in new:
+                size = len(part.rstrip(punctuation))
+                if 0 < size < len(part) and part[size - 1 : size + 1] not in self.adjacent:
+                    cut.append((part, part[:size], part[size:]))
+            roots = self._ids({one for _, *two in cut for one in two}, False) if cut else {}
+            made = {part: roots[root] + roots[marks] for part, root, marks in cut}
+            new = [part for part in new if part not in made]
+        else:
+            made = {}
+        short = [part for part in new if len(part) <= LONGEST]
+        for i in range(0, len(short), 1 << 15):
+            some = short[i : i + (1 << 15)]
+            made.update(zip(some, self._side_by_side(some)))
+        made.update((part, self._with_heap(part)) for part in new if len(part) > LONGEST)
+        for part, ids in made.items():
+            self._keep(part, ids)
+        found.update(made)
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text with the end id last; None is an empty text."""
-        end, found = np.array([self.end], "<i4").tobytes(), []
-        words: dict[str, bytes] = {}
-        for text in texts:
-            parts = _PART.findall(" " + text.replace("▁", " ")) if text else []
-            for part in parts:
-                if part not in words:
-                    words[part] = self._remembered(part, self._word)
-            found.append(np.frombuffer(b"".join([*map(words.__getitem__, parts), end]), "<i4"))
-        return found
+        end = np.array([self.end], "<i4").tobytes()
+        parted = [_PART.findall("▁" + text.replace(" ", "▁")) if text else [] for text in texts]
+        known = self._ids({part for parts in parted for part in parts})
+        return [np.frombuffer(b"".join([*map(known.__getitem__, parts), end]), "<i4") for parts in parted]
 
     def decode(self, rows: list[np.ndarray]) -> list[str]:
         """The text of each row of ids; bytes that are no UTF-8 become U+FFFD each."""
