@@ -2,36 +2,42 @@
 
 Documents arrive one after the other.  Full windows are cut off a long one; the rest is placed whole: among all fill levels that have an open window with room, and a
 new window, the one is taken that makes the sum of the squared numbers of open windows per level smallest (ties: the fuller
-window).  A level array holds those numbers.  The open windows of a task are at most `max_open`: when one more
-would be opened, the document is cut to fill the fullest instead, so memory is bounded and nothing is left out.  At the
-end of a task the emptiest open windows fill up the fullest, and the last one is cut at powers of two, which need no
+window).  A level array holds those numbers.  The rule keeps few windows at a level, so a task has at most some windows for each of
+the levels open, of four bytes a token.  At the end of a task the emptiest open windows fill up the fullest, and the last one is cut at powers of two, which need no
 padding.  Every task packs what it reads, on its own: there is no shuffle.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm.common import read, slices
 
-#: Words whose ids a worker remembers; beyond that it starts afresh.
-MOST_WORDS = 1_200_000
+#: Bytes of words that a worker remembers in each of two generations, an entry being counted with its overhead; longer words are not remembered.
+MOST_BYTES, ENTRY_BYTES, LONGEST = 56_000_000, 190, 64
+#: The rules under which blanks and line breaks part words, and a mark behind a letter is on its own: those of word_bpe_49k.json.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Encoder:
     """Token ids of a text as little-endian 32-bit bytes.
 
-    Blanks and line breaks part words in the vocabulary's pre-tokeniser too, so each word between them is encoded once and
-    remembered.  Small words and the full stop or comma behind them are joined from their parts.
+    Under the rules above each word between blanks and line breaks is encoded on its own and remembered.  Words of ASCII in small letters, and
+    marks behind a letter or digit, are encoded once for all words that have them.  With a file of other rules whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -39,46 +45,71 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self._known = {"": b""}
-        self._learn({".", ","})
-
-    def _learn(self, words: set[str]) -> None:
-        ordered = list(words)
-        for word, found in zip(ordered, self._tokenizer.encode_batch_fast(ordered, add_special_tokens=False)):
-            self._known[word] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        parted = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        found = [list(map(self._known.get, words)) for words in parted]
-        new = {word for words, ids in zip(parted, found) if None in ids for word, one in zip(words, ids) if one is None}
-        if new:
-            if len(self._known) > MOST_WORDS:
-                self._forget()
-            roots = {word: self._root(word) for word in new}
-            self._learn({root for root, _ in roots.values() if root not in self._known})
-            for word, (root, mark) in roots.items():
-                self._known[word] = self._known[root] + self._known[mark]
-            for i, words in enumerate(parted):
-                if None in found[i]:
-                    try:
-                        found[i] = [self._known[word] for word in words]
-                    except KeyError:  # it was known before the worker started afresh
-                        self._learn({word for word in words if word not in self._known})
-                        found[i] = [self._known[word] for word in words]
-        return [b"".join(ids) for ids in found]
-
-    @staticmethod
-    def _root(word: str) -> tuple[str, str]:
-        """(the word in small letters without a final mark, the mark): their ids in a row are the word's."""
+        rules = json.loads(self._tokenizer.to_str())
+        normalizer, parts = rules.get("normalizer") or {}, (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_words = [one["type"] for one in normalizer.get("normalizers", [])] == NORMALIZERS and parts[0].get("pattern") == {"Regex": PATTERN}
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._used = 0
+        self._parts_marks: dict[str, bool] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", found.ids).tobytes() for found in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _recalled(self, words: set[str]) -> set[str]:
+        """The words that are not remembered; those of the older generation are carried to the younger."""
+        new = words.difference(self._young)
+        again = {word: self._old[word] for word in new if word in self._old}
+        self._add(again)
+        return new.difference(again)
+
+    def _add(self, ids: dict[str, bytes]) -> None:
+        self._young.update(ids)
+        self._used += len(ids) * ENTRY_BYTES + 2 * sum(map(len, ids)) + sum(map(len, ids.values()))
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not self.by_words:
+            return self._encode([text or "" for text in texts.to_pylist()])
+        parted = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        coded = parted.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := self._recalled(set(words)):
+            rooted = {word: self._root(word) for word in new}
+            missing = list(self._recalled({one for two in rooted.values() for one in two}))
+            self._add(dict(zip(missing, self._encode(missing))))
+            self._add({word: self._young[root] + self._young[marks] for word, (root, marks) in rooted.items() if word != root})
+        known = list(map(self._young.__getitem__, words))
+        for word in [word for word in new if len(word) > LONGEST]:
+            self._used -= ENTRY_BYTES + 2 * len(word) + len(self._young.pop(word))
+        if self._used > MOST_BYTES:
+            self._young, self._old, self._used = {}, self._young, 0
+        # The ids of the different words, laid out in the order of the texts.
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        of = coded.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes[of])))
+        ids = flat[np.repeat(starts[of] - ends[:-1], sizes[of]) + np.arange(ends[-1])].tobytes()
+        bounds = (ends[np.concatenate(([0], np.cumsum(parted.value_lengths().to_numpy())))] * 4).tolist()
+        return [ids[first:last] for first, last in zip(bounds, bounds[1:])]
+
+    def _root(self, word: str) -> tuple[str, str]:
+        """(the word in small letters without final marks, the marks): their ids in a row are the word's."""
         root = word.lower() if word.isascii() else word
-        if len(root) > 1 and root[-1] in ".," and root[-2].isalnum():
-            return root[:-1], root[-1]
+        size = len(root.rstrip(punctuation))
+        if 0 < size < len(root) and "<|" not in root and self._stands_alone(root[size - 1]):
+            return root[:size], root[size:]
         return root, ""
 
+    def _stands_alone(self, character: str) -> bool:
+        """Whether a mark behind this character is no part of its word: the character may have become another by the rules."""
+        known = self._parts_marks.get(character)
+        if known is None:
+            spelt = self._tokenizer.normalizer.normalize_str(character + ".")
+            known = len(spelt) > 1 and self._tokenizer.pre_tokenizer.pre_tokenize_str(spelt)[-1][1] == (len(spelt) - 1, len(spelt))
+            self._parts_marks[character] = known
+        return known
+
 
 @functools.cache
 def _encoder(path: str | None) -> Encoder:
@@ -110,19 +141,17 @@ class Piece:
 class Packer:
     """Packs pieces into windows; `add` and `finish` return the sequences that are complete."""
 
-    def __init__(self, window: int = 4096, max_open: int = 256):
-        self.window, self.max_open, self.n_open = window, max_open, 0
+    def __init__(self, window: int = 4096):
+        self.window = window
         self.level = np.zeros(window + 1, np.int64)
         self.windows: list[list[list[Piece]]] = [[] for _ in range(window + 1)]
 
     def _take(self, fill: int) -> list[Piece]:
         self.level[fill] -= 1
-        self.n_open -= 1
         return self.windows[fill].pop()
 
     def _put(self, fill: int, pieces: list[Piece]) -> None:
         self.level[fill] += 1
-        self.n_open += 1
         self.windows[fill].append(pieces)
 
     def best(self, size: int) -> int:
@@ -140,19 +169,14 @@ class Packer:
         while piece.size >= self.window:
             full, piece = piece.cut(self.window)
             done.append([full])
-        while piece.size:
+        if piece.size:
             fill = self.best(piece.size)
-            if fill == 0 and self.n_open >= self.max_open:
-                fill = int(np.flatnonzero(self.level)[-1])
-                head, piece = piece.cut(min(piece.size, self.window - fill))
-            else:
-                head, piece = piece, piece.cut(piece.size)[1]
             pieces = self._take(fill) if fill else []
-            pieces.append(head)
-            if fill + head.size == self.window:
+            pieces.append(piece)
+            if fill + piece.size == self.window:
                 done.append(pieces)
             else:
-                self._put(fill + head.size, pieces)
+                self._put(fill + piece.size, pieces)
         return done
 
     def finish(self) -> list[list[Piece]]:
@@ -192,7 +216,7 @@ class Packer:
 
 def pack(
     docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 4096, end_id: int = 2, vocabulary: str | None = None,
-    max_open: int = 256, with_ids: bool = False,
+    with_ids: bool = False,
 ) -> DataFrame:
     """One row for each piece of a document: `key`, `start`, `length`, `ids_crc32`, `doc_tokens`, `sequence_id`, `offset`.
 
@@ -204,7 +228,7 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, number, key_type = _encoder(vocabulary), Packer(window, max_open), TaskContext.get().partitionId() << 40, None
+        encoder, packer, number, key_type = _encoder(vocabulary), Packer(window), TaskContext.get().partitionId() << 40, None
 
         def written(sequences: list[list[Piece]]) -> pa.RecordBatch:
             nonlocal number
@@ -224,7 +248,7 @@ def pack(
         for batch in batches:
             for part in slices(batch, "_text", 1_000_000):
                 key_type, done = part.schema.field(0).type, []
-                for row, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                for row, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                     ids += end
                     done += packer.add(Piece(row, 0, ids, len(ids) // 4))
                 if done:

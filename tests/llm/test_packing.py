@@ -42,9 +42,8 @@ def whole(found, texts, tokenizer, window):
 def test_round_trip(spark, prose, tokenizer):
     texts = [prose(i, 3 + i * 17 % 400) for i in range(120)] + ["don't <|endoftext|> it's. A.b, c..", "Ä́ ﬁ́ ..., x", None, ""]
     docs = spark.createDataFrame(rows(texts), SCHEMA).repartition(2)
-    for most in (4, 256):
-        found = packing.pack(docs, window=512, max_open=most, with_ids=True).collect()
-        assert whole(found, dict(enumerate(texts)), tokenizer, 512) == 0
+    found = packing.pack(docs, window=512, with_ids=True).collect()
+    assert whole(found, dict(enumerate(texts)), tokenizer, 512) == 0
 
 
 def test_level_is_the_one_with_the_smallest_sum_of_squares():
@@ -73,3 +72,49 @@ def test_edges(spark, edges, nothing, tokenizer):
     assert whole(found, rows_, tokenizer, 4096) == 0
     assert packing.pack(edges).groupBy("doc_id").sum("length").count() == len(rows_)
     assert packing.pack(nothing).count() == 0
+
+
+def test_marks_behind_every_character(tokenizer):
+    encoder = packing._encoder(None)
+    assert encoder.by_words
+    points = [point for point in range(1, 0x30000) if not 0xD800 <= point < 0xE000]
+    for mark in (".", ",%%"):
+        texts = [f"ab{chr(point)}{mark} x" for point in points]
+        expected = [found.ids for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == expected
+
+
+def test_words_are_forgotten_in_generations(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_BYTES", 3000)
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for i in range(60):
+        texts = [f"Word{i}. other{i % 5}, {'long' * 40}... x", None, ""]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == [tokenizer.encode(text or "", add_special_tokens=False).ids for text in texts]
+        assert len(encoder._young) < 30 and len(encoder._old) < 30 and not any(len(word) > 64 for word in encoder._young)
+
+
+def test_a_file_with_other_rules_encodes_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, other = packing.Encoder(path), Tokenizer.from_file(path)
+    texts = ["A  B\nc, d.", "", "x"]
+    assert not encoder.by_words
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == [other.encode(text).ids for text in texts]
+
+
+def test_every_placement_of_a_whole_table_has_the_least_sum_of_squares():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    packer, most_open = packing.Packer(), 0
+    for ids in packing._encoder(None).encode(texts):
+        size = (len(ids) // 4 + 1) % 4096
+        if size:
+            level = packer.level.copy()
+            changes = {0: 2 * level[size] + 1}
+            for fill in np.flatnonzero(level[: 4097 - size]).tolist():
+                if fill:
+                    changes[fill] = -2 * level[fill] + 1 + (2 * level[fill + size] + 1 if fill + size < 4096 else 0)
+            assert changes[packer.best(size)] == min(changes.values())
+            packer.add(packing.Piece(0, 0, b"\0" * 4 * size, size))
+        most_open = max(most_open, int(packer.level.sum()))
+    assert packer.level.max() <= 4 and most_open < 1000
