@@ -74,13 +74,14 @@ class Encoder:
         parted = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
         coded = parted.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if new := self._recalled(set(words)):
+        new, missing = self._recalled(set(words)), []
+        if new:
             rooted = {word: self._root(word) for word in new}
             missing = list(self._recalled({one for two in rooted.values() for one in two}))
             self._add(dict(zip(missing, self._encode(missing))))
             self._add({word: self._young[root] + self._young[marks] for word, (root, marks) in rooted.items() if word != root})
         known = list(map(self._young.__getitem__, words))
-        for word in [word for word in new if len(word) > LONGEST]:
+        for word in {word for word in (*new, *missing) if len(word) > LONGEST}:
             self._used -= ENTRY_BYTES + 2 * len(word) + len(self._young.pop(word))
         if self._used > MOST_BYTES:
             self._young, self._old, self._used = {}, self._young, 0
