@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.cells import MAX_ORDER, npix, order_of_uniq
 from skylattice.operators.ranking import prefix_sum
+from skylattice.operators.rings import totals_at
 
 SKY_END = npix(MAX_ORDER)
 
@@ -292,12 +293,39 @@ def contains_values(ranges: DataFrame, values: DataFrame, order: int = MAX_ORDER
     return _looked_up(values, "value", orders).join(cells, ["set_id", "order", "pix"], "left_semi").select("set_id", "value")
 
 
+def _signed_totals(ranges: DataFrame, pixel_values: DataFrame, values_order: int) -> DataFrame:
+    """`ranges` twice, with the number and the sum of the values before the end of each and, negative, before its start."""
+    shift = 2 * (MAX_ORDER - values_order)
+    value = F.coalesce(F.col("value").cast("double"), F.lit(0.0))
+    strange = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+    cells = pixel_values.where("pix IS NOT NULL").select(
+        F.shiftleft("pix", shift).alias("pix29"), F.when(strange, 0.0).otherwise(value).alias("value"), strange.cast("bigint").alias("strange"),
+        F.lit(1).cast("bigint").alias("one"))
+    ends = F.explode(F.expr("array(struct(hi AS at, 1 AS sign), struct(lo AS at, -1 AS sign))"))
+    places = ranges.where("lo < hi").withColumn("_end", ends).selectExpr("set_id", "lo", "hi", "_end.at", "_end.sign")
+    found = totals_at(cells, "pix29", {"total": "value", "cells": "one", "odd": "strange"}, places, "at")
+    return found.select("set_id", "lo", "hi", *[(F.col("sign") * F.col(name)).alias(name) for name in ("total", "cells", "odd")])
+
+
+def _total() -> Column:
+    return F.when(F.sum("odd") > 0, F.lit(float("nan"))).otherwise(F.sum("total")).alias("total")
+
+
+def range_sums(ranges: DataFrame, pixel_values: DataFrame, values_order: int) -> DataFrame:
+    """(`set_id`, `lo`, `hi`, `cells`, `total`): number and sum of the cells of a pixel map (`pix`, `value`) whose first sub-cell lies in each different range.
+
+    Ranges may overlap; each is two look-ups in the running totals of the map, whatever its length.  A range with a value that is not finite has NaN; NULLs count as
+    0.  Sums of whole numbers are exact; others carry the rounding of the map's running total.
+    """
+    return _signed_totals(ranges.select("set_id", "lo", "hi").distinct(), pixel_values, values_order).groupBy("set_id", "lo", "hi").agg(
+        F.sum("cells").alias("cells"), _total())
+
+
 def weighted_sum(ranges: DataFrame, pixel_values: DataFrame, values_order: int, order: int = MAX_ORDER) -> DataFrame:
     """(`set_id`, `total`): sum of a pixel map (`pix`, `value`) over each set, cells counted by their first sub-cell.
 
-    With sets no finer than the map this is the sum over the covered cells, in doubles.
+    With sets no finer than the map this is the sum over the covered cells, in doubles; see `range_sums` for NULLs and rounding.  Sets
+    without cells of the map are left out.
     """
-    shift = 2 * (MAX_ORDER - values_order)
-    points = pixel_values.select(F.shiftleft("pix", shift).alias("pix29"), "value")
-    return points_in_sets(points, ranges, "pix29", order).groupBy("set_id").agg(
-        F.sum(F.col("value").cast("double")).alias("total"))
+    found = _signed_totals(coalesce(ranges, order), pixel_values, values_order).groupBy("set_id").agg(F.sum("cells").alias("cells"), _total())
+    return found.where("cells > 0").select("set_id", "total")

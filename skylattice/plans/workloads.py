@@ -12,6 +12,7 @@ from skylattice.functions.bins import make_bins
 from skylattice.functions.cells import npix, with_centre, with_nest
 from skylattice.operators import correlation, density, masks, match, paircount
 from skylattice.operators.ranking import contiguous_regions, global_rank, rank_label, tiled_regions
+from skylattice.operators.pyramid import pyramid_sums
 from skylattice.session import checkpointed
 from skylattice.sources import catalogs, randoms, results
 from skylattice.sources import masks as mask_files
@@ -64,6 +65,8 @@ class CorrelationSettings:
     data_size: int = 1000
     rand_factor: float = 10.0
     seed: int = 0
+    #: Count pairs by the count pyramid: for catalogues that are too dense to meet all pairs within the greatest radius.
+    pyramid: bool = False
 
 
 def tagged(points: DataFrame, regions: DataFrame | None, order: int) -> DataFrame:
@@ -97,7 +100,10 @@ def correlation_tables(
         data, random = place(data), place(random)
     data, random = tagged(data, regions, settings.order), tagged(random, regions, settings.order)
     points = paircount.as_points(data, False, F.col("region")).unionByName(paircount.as_points(random, True, F.col("region")))
-    sums = checkpointed(paircount.pair_sums(points, bins, upper_closed=settings.use_cells))
+    if settings.pyramid:
+        sums = checkpointed(pyramid_sums(points, bins, upper_closed=settings.use_cells).sums)
+    else:
+        sums = checkpointed(paircount.pair_sums(points, bins, upper_closed=settings.use_cells))
     weights = checkpointed(points.groupBy("is_random", "region").agg(F.sum("weight").alias("weight")))
     listed = spark.range(1).select(F.lit(0).alias("region")) if regions is None else regions.select("region").distinct()
     reals = checkpointed(correlation.realisations(sums, weights, listed, bins))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.bins import make_bins
 from skylattice.functions.cells import nest_to_ring, with_nest
-from skylattice.operators import correlation, density, masks, paircount
+from skylattice.operators import correlation, density, masks, paircount, pyramid, rings
 from skylattice.operators.ranking import contiguous_regions, global_rank, tiled_regions
 from skylattice.plans.workloads import CorrelationSettings, correlation_tables, make_mask, run_summary, tagged
 from skylattice.session import scratch_folder
@@ -284,6 +284,37 @@ def cell_histogram(spark, sf_dir):
     return paircount.cell_histogram(left, right, 4, _CELL_BINS).select("bin", "weighted")
 
 
+@query("a06_pyramid_auto", _histogram_sql(_CUSTOMER, _CUSTOMER, _BINS))
+def pyramid_histogram_auto(spark, sf_dir):
+    """The counts of a06_pair_histogram_auto by the count pyramid."""
+    return pyramid.pyramid_auto(sky(spark, sf_dir, "customer"), _BINS)
+
+
+@query("a06_pyramid_from_zero", _histogram_sql(_DOUBLED, _DOUBLED, _FROM_ZERO))
+def pyramid_histogram_from_zero(spark, sf_dir):
+    rows = sky(spark, sf_dir, "customer").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    return pyramid.pyramid_auto(rows, _FROM_ZERO)
+
+
+@query("a08_pyramid_counts", f"SELECT bin, pairs FROM ({_COUNTS})")
+def pyramid_counts(spark, sf_dir):
+    return pyramid.pyramid_cross(sky(spark, sf_dir, "customer"), sky(spark, sf_dir, "part"), _BINS).select("bin", "pairs")
+
+
+@query("a06_pyramid_account", f"SELECT sum(n * n)::bigint AS pairs FROM (SELECT count(*) AS n FROM {_CUSTOMER})")
+def pyramid_account(spark, sf_dir):
+    """Pairs counted by nodes, dismissed by nodes and met as points are all pairs."""
+    found = pyramid.pyramid_sums(paircount.as_points(sky(spark, sf_dir, "customer")), _BINS, kinds=("dd",))
+    return found.account.agg(F.sum("pairs").alias("pairs"))
+
+
+@query("a07_cell_histogram_ranges", f"SELECT bin, weighted, pairs FROM ({_histogram_sql(_cells_at_centres_sql(_CUSTOMER, 4), _cells_at_centres_sql(_PART, 4), _CELL_BINS, True)})")
+def cell_histogram_ranges(spark, sf_dir):
+    """The sums of a07_cell_histogram by ranges of ring numbers and running totals."""
+    left, right = (density.density_map(sky(spark, sf_dir, name), 4) for name in ("customer", "part"))
+    return rings.cell_histogram_by_ranges(left, right, 4, _CELL_BINS)
+
+
 @query("j05_cell_pairs", f"""SELECT {_bin_sql('d2', _CELL_BINS, True)} AS bin, count(*)::bigint AS cell_pairs FROM (SELECT (a.x-b.x)^2 + (a.y-b.y)^2 + (a.z-b.z)^2 AS d2
     FROM {_cells_at_centres_sql(_CUSTOMER, 3)} a, {_cells_at_centres_sql(_PART, 3)} b) GROUP BY 1 HAVING bin IS NOT NULL""")
 def cell_pairs(spark, sf_dir):
@@ -321,6 +352,11 @@ def dd_dr_rr(spark, sf_dir):
     return paircount.pair_sums(_regioned(spark, sf_dir), _XI_BINS).drop("pairs")
 
 
+@query("j04_pyramid_sums", f"{_WITH} SELECT kind, bin, least(r1, r2) AS region_1, greatest(r1, r2) AS region_2, sum(weighted)::double AS weighted FROM sums GROUP BY ALL")
+def dd_dr_rr_by_pyramid(spark, sf_dir):
+    return pyramid.pyramid_sums(_regioned(spark, sf_dir), _XI_BINS).sums.drop("pairs")
+
+
 _REALISED = f"""{_WITH}, taken AS (SELECT unnest(range(0, 13))::integer AS k), left_out AS (SELECT CASE WHEN k < 12 THEN k END AS region FROM taken),
     bins AS (SELECT unnest(range(0, {_XI_BINS.count}))::integer AS bin),
     norms AS (SELECT l.region, sum(weight) FILTER (WHERE is_random = 1) / sum(weight) FILTER (WHERE is_random = 0) AS norm
@@ -332,11 +368,12 @@ _REALISED = f"""{_WITH}, taken AS (SELECT unnest(range(0, 13))::integer AS k), l
         FROM norms n CROSS JOIN bins b LEFT JOIN kinds k ON k.bin = b.bin AND k.region IS NOT DISTINCT FROM n.region)"""
 
 
-def _realised(spark, sf_dir, bins=_XI_BINS):
+def _realised(spark, sf_dir, bins=_XI_BINS, by_pyramid=False):
     points = _regioned(spark, sf_dir)
+    sums = pyramid.pyramid_sums(points, bins).sums if by_pyramid else paircount.pair_sums(points, bins)
     weights = points.groupBy("is_random", "region").agg(F.sum("weight").alias("weight"))
     listed = spark.range(12).select(F.col("id").cast("int").alias("region"))
-    return correlation.realisations(paircount.pair_sums(points, bins), weights, listed, bins)
+    return correlation.realisations(sums, weights, listed, bins)
 
 
 @query("a09_correlation_estimate", f"{_REALISED} SELECT bin, dd, dr, rr, {r_sql('norm')} AS norm, {r_sql('xi')} AS xi FROM reals WHERE region IS NULL")
@@ -360,6 +397,12 @@ def jackknife_realisations(spark, sf_dir):
     return reals.select("region", "bin", "dd", "dr", "rr", rounded("norm").alias("norm"), rounded("xi").alias("xi"))
 
 
+@query("a10_jackknife_by_pyramid", f"{_REALISED} SELECT region, bin, dd, dr, rr, {r_sql('norm')} AS norm, {r_sql('xi')} AS xi FROM reals WHERE region IS NOT NULL")
+def jackknife_by_pyramid(spark, sf_dir):
+    reals = _realised(spark, sf_dir, by_pyramid=True).where("region IS NOT NULL")
+    return reals.select("region", "bin", "dd", "dr", "rr", rounded("norm").alias("norm"), rounded("xi").alias("xi"))
+
+
 @query("a11_jackknife_mean", f"{_REALISED} SELECT bin, {r_sql('avg(xi)')} AS xi_jk_mean FROM reals WHERE region IS NOT NULL GROUP BY bin")
 def jackknife_mean(spark, sf_dir):
     found = correlation.jackknife_mean(_realised(spark, sf_dir))

@@ -200,6 +200,14 @@ def weighted_sum(spark, sf_dir):
     return coverage.weighted_sum(cover(spark, sf_dir), cells, COVER_ORDER, COVER_ORDER)
 
 
+@query("u14_range_sums", f"""SELECT set_id, (lo << {2 * (29 - COVER_ORDER)})::bigint AS lo, (hi << {2 * (29 - COVER_ORDER)})::bigint AS hi, count(value)::bigint AS cells,
+    coalesce(sum(value), 0)::double AS total FROM (SELECT DISTINCT set_id, lo, hi, unnest(range(lo, hi)) AS pix FROM {COVER_SQL}) LEFT JOIN {_SKY_PIXELS} USING (pix) GROUP BY set_id, lo, hi""")
+def range_sums(spark, sf_dir):
+    """Each run on its own, overlapping ones too."""
+    cells = with_nest(sky(spark, sf_dir, "orders"), COVER_ORDER, "pix").groupBy("pix").agg(F.sum("weight").alias("value"))
+    return coverage.range_sums(cover(spark, sf_dir), cells, COVER_ORDER)
+
+
 @query("u15_from_pixel_ranges", f"SELECT set_id, lo, hi FROM {islands_sql(_ALL)}")
 def from_pixel_ranges(spark, sf_dir):
     return coverage.from_pixel_ranges(cover_runs(spark, sf_dir), COVER_ORDER)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.angles import chord_of
 from skylattice.functions.cells import max_pixel_radius, with_nest, with_ring
-from skylattice.operators import coverage, regions
+from skylattice.operators import coverage, regions, rings
 from skylattice.operators.regions import Cap, Convex, Polygon, Strip, vector_of_degrees
 from skyqueries import duck
 from skyqueries.fixtures import VECTORS_SQL, r_sql, rounded, sky, sky_sql, table, vectors
@@ -62,6 +62,20 @@ def inclusive_cone_cover(spark, sf_dir):
     return covered.join(far, "disc_id").select("disc_id", "n_points", "n_covered", "small_excess")
 
 
+_RING_CELLS = lambda order: duck.ring_of_nest_sql(_cells_sql(order).replace("pix, cx", "pix, pix AS pix_nest, cx"), order)
+
+
+def _ring_ranges_sql(keys: str, cells: str) -> str:
+    """Ranges of a query with `keys`, `z` and `pix_ring`: runs of neighbouring numbers of one height."""
+    return f"""SELECT {keys}, min(pix_ring)::bigint AS lo, (max(pix_ring) + 1)::bigint AS hi FROM (
+        SELECT *, pix_ring - row_number() OVER (PARTITION BY {keys}, round(z, 9) ORDER BY pix_ring) AS island FROM {cells}) GROUP BY {keys}, round(z, 9), island"""
+
+
+@query("f08_ring_ranges_of_cones", _ring_ranges_sql("disc_id", f"(SELECT disc_id, p.z, pix_ring FROM {_CONES} c JOIN {_RING_CELLS(5)} p ON {_INSIDE})"))
+def ring_ranges_of_cones(spark, sf_dir):
+    return rings.disc_ring_ranges(_cones(spark, sf_dir), 5).select("disc_id", "lo", "hi")
+
+
 _RADII = [math.radians(deg) for deg in (1.013, 2.527, 4.891)]
 _RING = f"CASE WHEN d2 > {chord_of(_RADII[1]) ** 2!r}::double THEN 1 ELSE 0 END"
 
@@ -158,6 +172,20 @@ def cells_in_strip(spark, sf_dir):
     return _occupied(spark, sf_dir, Strip(_T1, _T2), 6)
 
 
+_STRIPS = "(SELECT id AS strip_id, radians((id * 37 % 1800) / 10::double + 0.0123::double) AS theta1, radians((id * 53 % 1800) / 10::double + 0.0123::double) AS theta2 FROM supplier_sky)"
+
+
+@query("f13_ring_ranges_of_strips", f"""WITH supplier_sky AS MATERIALIZED {sky_sql('supplier')}, inside AS (SELECT strip_id, pix_ring FROM {_STRIPS} s JOIN {_RING_CELLS(4)} p
+    ON CASE WHEN theta1 < theta2 THEN z < cos(theta1) AND z > cos(theta2) ELSE z < cos(theta1) OR z > cos(theta2) END)
+    SELECT strip_id, min(pix_ring)::bigint AS lo, (max(pix_ring) + 1)::bigint AS hi FROM (
+        SELECT *, pix_ring - row_number() OVER (PARTITION BY strip_id ORDER BY pix_ring) AS island FROM inside) GROUP BY strip_id, island""")
+def ring_ranges_of_strips(spark, sf_dir):
+    """A table of strips, some of them around both poles."""
+    strips = sky(spark, sf_dir, "supplier").select(
+        F.col("id").alias("strip_id"), F.expr("radians((id * 37 % 1800) / 10D + 0.0123D)").alias("theta1"), F.expr("radians((id * 53 % 1800) / 10D + 0.0123D)").alias("theta2"))
+    return rings.strip_ring_ranges(strips, 4).select("strip_id", "lo", "hi")
+
+
 _STRIP_CELLS = f"(SELECT id, cz AS z, csth AS sth, cphi AS phi FROM {duck.centre_sql(f'(SELECT id, pix_nest FROM {duck.nest_sql(_ORDERS, 6)})', 6)})"
 
 
