@@ -229,12 +229,21 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> Da
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
+def _share(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted arrays have a number in common."""
+    if not len(x) or not len(y):
+        return False
+    place = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    return bool((x[place] == y).any())
+
+
 def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups within a tile whose sizes and bitmaps allow a link.
+    """Pairs of different groups within a tile whose sizes and bitmaps allow a link, and that meet in no tile of an earlier meeting.
 
-    `members` has `key`, `low`, `high` (the tile), `side` (-1: compare all, else 0 against 1), `_id`, `n`, `group`, `bits`.
+    `members` has `key`, `low`, `high` (the tile), `side` (-1: compare all, else 0 against 1), `_id`, `n`, `group`, `bits`, `before` (the open meetings
+    with a smaller key that the document is in, ascending).
     """
-    names = ["key", "low", "high", "side", "_id", "n", "group", "bits"]
+    names = ["key", "low", "high", "side", "_id", "n", "group", "bits", "before"]
 
     def compare(tile: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         n, group, side = tile["n"], tile["group"], tile["side"]
@@ -266,6 +275,9 @@ def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
             only_a = np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64)
             only_b = np.bitwise_count(bits[b] & ~bits[a]).sum(axis=1, dtype=np.int64)
             b = b[_may_link(n[a], n[b], only_a, only_b, percent)]
+            before = tile["before"]
+            if len(b) and len(before[a]):
+                b = b[[not _share(before[a], before[other]) for other in b]]
             found_a.append(np.full(len(b), tile["_id"][a]))
             found_b.append(tile["_id"][b])
         return np.concatenate(found_a or [none]), np.concatenate(found_b or [none])
@@ -307,17 +319,19 @@ def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
     return tiles.select(*names).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """`docs` with `_id`, a whole number for each key and text; and (`_id`, `_key`) of those whose number is not their key.
+def _numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None, bool]:
+    """`docs` with `_id`, a whole number for each key and text; (`_id`, `_key`) of those whose number is not their key; whether a key is repeated.
 
     The number is the key where all rows of a key have the same text.  Other texts, and those without a key, are numbered behind
     the largest key (before the smallest where there is no room).  Without such rows the second is None.
     """
     marked = docs.withColumns({"_key": F.col(key).cast("bigint"), "_mark": F.xxhash64(text)})
-    keys = marked.groupBy("_key").agg(F.min("_mark").alias("_m0"), F.max("_mark").alias("_m1"))
-    odd = checkpointed(keys.where("_key IS NULL OR _m0 <> _m1").select("_key"))
-    if not odd.limit(1).count():
-        return marked.withColumn("_id", F.col("_key")).drop("_key", "_mark"), None
+    keys = marked.groupBy("_key").agg(F.min("_mark").alias("_m0"), F.max("_mark").alias("_m1"), F.count("*").alias("_n"))
+    several = checkpointed(keys.where("_key IS NULL OR _n > 1"))
+    odd = several.where("_key IS NULL OR _m0 <> _m1").select("_key")
+    repeated = several.limit(1).count() > 0
+    if not repeated or not odd.limit(1).count():
+        return marked.withColumn("_id", F.col("_key")).drop("_key", "_mark"), None, repeated
     texts = marked.select("_key", "_mark").join(odd.withColumnRenamed("_key", "_o"), F.col("_key").eqNullSafe(F.col("_o")), "left_semi").distinct()
     order = ranked(texts, [F.col("_key").asc_nulls_last(), F.col("_mark").asc()])
     count, (low, high) = order.count(), marked.agg(F.coalesce(F.min("_key"), F.lit(0)), F.coalesce(F.max("_key"), F.lit(0))).head()
@@ -325,7 +339,13 @@ def _numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     order = checkpointed(order.select((F.lit(base) + F.col("rank")).cast("bigint").alias("_id"), F.col("_key").alias("_o"), F.col("_mark").alias("_m")))
     found = marked.join(order, F.col("_key").eqNullSafe(F.col("_o")) & (F.col("_mark") == F.col("_m")), "left")
     found = found.withColumn("_id", F.coalesce("_id", "_key")).drop("_key", "_mark", "_o", "_m")
-    return found, order.select("_id", F.col("_o").alias("_key"))
+    return found, order.select("_id", F.col("_o").alias("_key")), repeated
+
+
+def _one_each(rows: DataFrame, text: str, repeated: bool) -> DataFrame:
+    """(`_id`, `_text`), one row for each number: rows that share it have the same text."""
+    found = rows.select("_id", F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return found.groupBy("_id").agg(F.min("_text").alias("_text")) if repeated else found
 
 
 def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -338,8 +358,10 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     The result is the groups and not the pairs of the join: links within a group that others already join are not looked for.
     """
-    rows, names = _numbered(docs.select(key, text), key, text)
-    found = _components_of(rows.select("_id", F.coalesce(F.col(text), F.lit("")).alias("_text")), words, percent)
+    rows, names, repeated = _numbered(docs.select(key, text), key, text)
+    found = _components_of(_one_each(rows, text, repeated), words, percent)
+    if repeated:
+        found = rows.select("_id").join(found, "_id")
     if names is not None:
         found = _with_keys(found, names)
         least = found.groupBy("_component").agg(F.min("_key").alias("_least"))
@@ -358,8 +380,8 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Between rows of that key in the group a fixed order of their contents decides.  Rows without words are linked with nothing: of those
     that share a key and the text one stays, and all that have no key.
     """
-    rows, names = _numbered(docs, key, text)
-    found = _components_of(rows.select("_id", F.coalesce(F.col(text), F.lit("")).alias("_text")), words, percent)
+    rows, names, repeated = _numbered(docs, key, text)
+    found = _components_of(_one_each(rows, text, repeated), words, percent)
     alone = None
     if names is None:
         kept = found.where("_id = _component").select("_id").distinct()
@@ -384,7 +406,10 @@ def _components_of(rows: DataFrame, words: int, percent: int) -> DataFrame:
     meeting = described.select("_id", F.col("n").cast("int").alias("n"), "keys").join(stand.select("_id"), "_id", "left_semi")
     meeting = meeting.select("_id", "n", F.explode("keys").alias("key"))
     shared = meeting.groupBy("key").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last")
-    members = stored(meeting.join(shared.select("key"), "key"), "meetings")
+    met = stored(meeting.join(shared.select("key"), "key"), "meetings")
+    # Meetings of the same members are one.
+    sets = met.groupBy("key").agg(F.count("*").alias("rows"), *[F.bit_xor(F.xxhash64(F.lit(seed), "_id")).alias(f"h{seed}") for seed in (1, 2)])
+    members = met.join(sets.groupBy("rows", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "key")
     # Each is compared with one of about its size.
     banded = members.withColumn("band", F.floor(F.log("n") / math.log(100 / percent)).cast("int"))
     pivots = banded.groupBy("key", "band").agg(F.min("_id").alias("b"))
@@ -403,8 +428,11 @@ def _components_of(rows: DataFrame, words: int, percent: int) -> DataFrame:
     tiles = tiles.where("g0 < g1").select("key", "tile", F.ceil(F.col("rows") / TILE).cast("int").alias("cuts"))
     own = F.pmod(F.xxhash64("_id"), F.col("cuts")).cast("int")
     dealt = wide.join(tiles, ["key", "tile"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    # A pair is reported at the first of the meetings that both are in.
+    others = left.groupBy("_id").agg(F.collect_list("key").alias("open"))
+    dealt = dealt.join(others, "_id").withColumn("before", F.sort_array(F.filter("open", lambda one: one < F.col("key"))))
     dealt = dealt.select(
-        F.xxhash64("key", "tile").alias("key"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        F.xxhash64("key", "tile").alias("key"), "before", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
         F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "_id", "group",
     )
     dealt = dealt.join(known, "_id")

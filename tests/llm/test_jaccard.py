@@ -114,3 +114,24 @@ def test_rows_without_a_key_and_repeated_keys(spark, prose):
     assert kept[0] == kept[1]
     # One of each group; of the group without a key any one text; all without words and key.
     assert {0, 9, 10, 5, 6, 11} <= set(kept[0]) and len(kept[0]) == 7 and set(kept[0]) - {0, 9, 10, 5, 6, 11} <= {2, 3, 4}
+
+
+def test_many_equal_rows_are_one_document(spark, prose):
+    words = prose(90, 60).split()
+    other = words.copy()
+    other[-1] = "changed"
+    data = [(1, " ".join(words))] * 200 + [(2, " ".join(other))] * 200 + [(3, prose(91, 60))] + [(None, " ".join(words))] * 50
+    docs = spark.createDataFrame(data, "doc_id bigint, text string").repartition(4)
+    found = jaccard.join_groups(docs).collect()
+    assert len(found) == len(data)
+    assert {(row["doc_id"], row["component_id"]) for row in found} == {(1, 1), (2, 1), (None, 1), (3, 3)}
+    assert sorted(row["doc_id"] for row in jaccard.one_of_each_group(docs, words=4, percent=85).collect()) == [1, 3]
+
+
+def test_a_pair_leaves_the_first_tile_it_meets_in_alone(spark):
+    a, b = (jaccard.shingle_sets([text])[0] for text in ("a b c d e f g h", "a b c d e f g x"))
+    rows = [(key, 0, 0, -1, i, len(one), i, jaccard.signature(one), before) for key, before in ((5, []), (6, [5]), (7, [5, 6])) for i, one in ((1, a), (2, b))]
+    members = spark.createDataFrame(rows, "key bigint, low int, high int, side int, _id bigint, n bigint, group bigint, bits binary, before array<bigint>")
+    assert [tuple(row) for row in jaccard._tile_pairs(members, 50).collect()] == [(1, 2)]
+    apart = members.where("key > 5")
+    assert jaccard._tile_pairs(apart, 50).count() == 0
