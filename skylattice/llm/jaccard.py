@@ -116,6 +116,7 @@ def _each_text(df: DataFrame, schema: str, rows, words: int) -> DataFrame:
                 columns = rows(part.column("_id"), shingle_sets(part.column("_text").to_pylist(), words))
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=names)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -314,6 +315,7 @@ def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
         if rest is not None:
             add(rest)
         yield unique()
+        pa.default_memory_pool().release_unused()
 
     tiles = members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "_id")
     return tiles.select(*names).mapInArrow(run, "a bigint, b bigint").distinct()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skylattice.llm.common import read, slices
 
 #: Bytes of words that a worker remembers in each of two generations, an entry being counted with its overhead; longer words are not remembered.
-MOST_BYTES, ENTRY_BYTES, LONGEST = 56_000_000, 190, 64
+MOST_BYTES, ENTRY_BYTES, LONGEST = 20_000_000, 190, 64
 #: The rules under which blanks and line breaks part words, and a mark behind a letter is on its own: those of word_bpe_49k.json.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -256,6 +256,7 @@ def pack(
                     yield written(done)
         if key_type is not None:
             yield written(packer.finish())
+        pa.default_memory_pool().release_unused()
 
     names = ["_key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     schema = f"_key {kind.simpleString()}, " + ", ".join(f"{name} bigint" for name in names[1:7]) + ", ids array<int>" * with_ids
