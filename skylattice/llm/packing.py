@@ -256,6 +256,8 @@ def pack(
                     yield written(done)
         if key_type is not None:
             yield written(packer.finish())
+        # A worker that goes on with other stages keeps neither the vocabulary nor the words.
+        _encoder.cache_clear()
         pa.default_memory_pool().release_unused()
 
     names = ["_key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
