@@ -68,6 +68,15 @@ def map_texts(
     return df.mapInArrow(run, ", ".join(fields + [f"{name} {kind}" for name, kind in pieces]))
 
 
+def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows with their columns named by place (`in0`, `in1`, ...), and those names by the columns' own.
+
+    Working columns start with `_`, so none can clash with a column of the table; `toDF` with the old names puts them back.
+    """
+    names = {name: f"in{place}" for place, name in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def pa_type(kind: str) -> pa.DataType:
     simple = {
         "string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import keep_about, ranked, read, slices, stored
+from skylattice.llm.common import keep_about, numbered_columns, ranked, read, slices, stored
 from skylattice.llm.components import components
 from skylattice.session import checkpointed
 
@@ -360,8 +360,9 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     The result is the groups and not the pairs of the join: links within a group that others already join are not looked for.
     """
-    rows, names, repeated = _numbered(docs.select(key, text), key, text)
-    found = _components_of(_one_each(rows, text, repeated), words, percent)
+    read = docs.select(F.col(key).alias("in_key"), F.col(text).alias("in_text"))
+    rows, names, repeated = _numbered(read, "in_key", "in_text")
+    found = _components_of(_one_each(rows, "in_text", repeated), words, percent)
     if repeated:
         found = rows.select("_id").join(found, "_id")
     if names is not None:
@@ -380,8 +381,11 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """The rows of `docs` with the smallest key of each group of `join_groups`, one of each; a row without a key only where none has one.
 
     Between rows of that key in the group a fixed order of their contents decides.  Rows without words are linked with nothing: of those
-    that share a key and the text one stays, and all that have no key.
+    that share a key and the text one stays, and all that have no key.  Columns may have any names.
     """
+    order = docs.columns
+    docs, own = numbered_columns(docs)
+    key, text = own[key], own[text]
     rows, names, repeated = _numbered(docs, key, text)
     found = _components_of(_one_each(rows, text, repeated), words, percent)
     alone = None
@@ -395,7 +399,7 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
         kept = found.where(~nothing).groupBy("_component").agg(first).select("_first._id")
     columns = F.struct(*docs.columns)
     one = rows.join(kept, "_id").groupBy("_id").agg(F.min_by(columns, F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
-    return one if alone is None else one.union(rows.join(alone, "_id", "left_semi").select(*docs.columns))
+    return (one if alone is None else one.union(rows.join(alone, "_id", "left_semi").select(*docs.columns))).toDF(*order)
 
 
 def _components_of(rows: DataFrame, words: int, percent: int) -> DataFrame:

@@ -143,7 +143,8 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     """Add `lang_pred` and `score` (the posterior probability, 0 to 1); the text column is left out.
 
     NULL, empty and letterless texts get `und` with score 0, and so does everything if nothing could be learned.  Ties go
-    to the label that sorts first.  Repeated rows stay repeated, further columns stay as they are.
+    to the label that sorts first.  Repeated rows stay repeated, further columns stay as they are, but for columns of these two
+    names, which are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")

@@ -121,7 +121,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels, score and spans; the text column is left out.
 
     `spans` lists label:start:end:edits of the verified notices.  `score` is 1 with a fixed phrase, else the largest likeness of a notice, else 0.
-    A NULL text counts as empty: no words, no labels, score 0.  Repeated rows stay repeated.
+    A NULL text counts as empty: no words, no labels, score 0.  Repeated rows stay repeated.  Columns that already have one of these
+    names are replaced.
     """
     kinds = {
         "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string",

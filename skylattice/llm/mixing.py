@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import BLANK, ranked, read
+from skylattice.llm.common import BLANK, numbered_columns, ranked, read
 from skylattice.session import checkpointed
 
 EPOCHS = 3
@@ -141,8 +141,12 @@ def mixed(
 ) -> DataFrame:
     """The documents of the mix, with the columns of `docs`: each as often as it is taken whole, and once cut after the words of a part.
 
-    Every row gets what `mix` takes of it, also where rows share a key or have none.
+    Every row gets what `mix` takes of it, also where rows share a key or have none; the copies of a row are equal rows.  A NULL text has
+    no words and is never taken.  A column `n_chars` follows the text; columns may have any names.
     """
+    order = docs.columns
+    docs, own_names = numbered_columns(docs)
+    key, source, text, length = own_names[key], own_names[source], own_names[text], own_names.get("n_chars")
     # A row is known by key, source and text; rows that are equal in all three are counted.
     names = ["_key", "_source", "_same"]
     own = {"_key": F.col(key), "_source": F.col(source), "_same": F.xxhash64(text)}
@@ -169,8 +173,8 @@ def mixed(
         F.array_repeat(F.col(text), whole.cast("int")), F.when(part > 0, F.array(start)).otherwise(F.array().cast("array<string>"))
     )
     rows = joined.withColumn("_copy", F.explode(copies))
-    columns = [F.col("_copy").alias(name) if name == text else F.length("_copy").cast("bigint").alias(name) if name == "n_chars" else F.col(name) for name in docs.columns]
-    return rows.select(*columns)
+    columns = [F.col("_copy").alias(name) if name == text else F.length("_copy").cast("bigint").alias(name) if name == length else F.col(name) for name in docs.columns]
+    return rows.select(*columns).toDF(*order)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

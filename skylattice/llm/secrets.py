@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import map_texts, read, slices
+from skylattice.llm.common import map_texts, numbered_columns, read, slices
 
 #: Fixed patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(
@@ -225,7 +225,8 @@ def _all_spans(one: Found, least: list[int]) -> list[tuple[int, int, int]]:
 def scan(docs: DataFrame, least: list[int], text: str = "text") -> DataFrame:
     """Add `n_assign`, `n_access`, `n_hex`, `n_random`, `base_sha256` and `spans`; the text column is left out.
 
-    A NULL text counts as empty: no spans, and the digest of the empty string.  Repeated rows stay repeated.
+    A NULL text counts as empty: no spans, and the digest of the empty string.  Repeated rows stay repeated.  Columns that already have
+    one of these names are replaced.
     """
     names = ["n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"]
 
@@ -244,8 +245,13 @@ def scan(docs: DataFrame, least: list[int], text: str = "text") -> DataFrame:
 
 
 def masked(docs: DataFrame, least: list[int], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The same rows with every span replaced by `mark`; overlapping spans become one.  A NULL text stays NULL."""
+    """The same rows with every span replaced by `mark`; overlapping spans become one.
+
+    A NULL text stays NULL, repeated rows stay repeated, columns may have any names.
+    """
     order = docs.columns
+    docs, own = numbered_columns(docs)
+    names, text = docs.columns, own[text]
 
     def work(texts: list[str | None]) -> list:
         changed = []
@@ -259,7 +265,7 @@ def masked(docs: DataFrame, least: list[int], text: str = "text", mark: str = "[
         return [changed]
 
     renamed = docs.withColumnRenamed(text, "_raw")
-    return map_texts(renamed, f"{text} string", work, "_raw").select(*order)
+    return map_texts(renamed, f"{text} string", work, "_raw").select(*names).toDF(*order)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

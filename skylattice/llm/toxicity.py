@@ -306,7 +306,8 @@ def _peaks(sums: np.ndarray, least: float, most: int) -> list[int]:
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep_text: bool = False) -> DataFrame:
     """Add `score`, 0 to 1; the text column is left out unless `keep_text`.
 
-    NULL, empty and letterless texts are scored like any other, as one window without features.  Repeated rows stay repeated.
+    NULL, empty and letterless texts are scored like any other, as one window without features.  Repeated rows stay repeated.  A
+    column `score` is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(docs.drop("score"), "score double", lambda texts: [shared.value.score(texts)], text, keep_text)

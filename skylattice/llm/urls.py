@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import map_texts, read
+from skylattice.llm.common import map_texts, numbered_columns, read
 
 BUCKETS = 1 << 15
 SHORTEST, LONGEST = 3, 5
@@ -129,9 +129,12 @@ def judge(
 
     A rule is (verdict, `host/path`).  It fits its host and all subdomains if the path starts with its own; the longest
     fitting rule decides and is named in `rule`.  Without one (`rule` NULL) the model's probability decides: `block`
-    from `block_from` on.  A NULL or malformed URL has an empty host and path and gets the model's verdict for those.
+    from `block_from` on.  A NULL or malformed URL has an empty host and path and gets the model's verdict for those.  Columns that
+    already have one of the names of the results are replaced; others may have any names.
     """
-    pages = pages.drop("host", "path", "rule", "score", "verdict").withColumnRenamed(url, "_url")
+    results = ["host", "path", "rule", "score", "verdict"]
+    pages, own = numbered_columns(pages.select(*[name for name in pages.columns if name.lower() not in results or name == url]))
+    pages = pages.withColumnRenamed(own[url], "_url")
     host, path = url_parts(F.col("_url"))
     # The longest rule comes first, so the first that fits decides; equal rules are taken in the order given.
     order = sorted(rules, key=lambda rule: -len(rule[1]))
@@ -151,7 +154,8 @@ def judge(
     both = F.concat(F.translate("host", "\n", " "), F.lit("\n"), F.col("path"))
     scored = map_texts(judged.withColumn("_both", both), "score double", work, "_both")
     verdict = F.coalesce("_decided", F.when(F.col("score") >= block_from, "block").otherwise("allow"))
-    return scored.withColumn("verdict", verdict).drop("_decided")
+    kept = [name for name in own if name != url]
+    return scored.withColumn("verdict", verdict).select(*[own[name] for name in kept], *results).toDF(*kept, *results)
 
 
 RULES = [
