@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.llm import jaccard, mixing, packing, secrets, toxicity
-from skylattice.llm.common import read
+from skylattice.llm.common import numbered_columns, read
 from skylattice.session import scratch_folder
 
 #: From this score on a document is toxic.
@@ -24,15 +24,13 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC_FROM, unchanged; learned from the labels outside the held-out third.
 
-    NULL and empty texts are scored like others.  Without labels nothing is toxic.
+    NULL and empty texts are scored like others, repeated rows stay repeated.  Without labels nothing is toxic.
     """
-    order = docs.columns
     labels = toxicity.sampled_labels(read(spark, sf_dir, "labels"))
     model = toxicity.fit(toxicity.labelled(docs, labels))
-    renamed = docs.withColumnRenamed("score", "_own_score") if "score" in order else docs
-    kept = toxicity.score(renamed, model, keep_text=True).where(F.col("score") < TOXIC_FROM).drop("score")
-    kept = kept.withColumnRenamed("_own_score", "score") if "score" in order else kept
-    return kept.select(*order)
+    rows, names = numbered_columns(docs)
+    kept = toxicity.score(rows, model, names["text"], keep_text=True).where(F.col("score") < TOXIC_FROM)
+    return kept.select(*rows.columns).toDF(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,18 +43,23 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in the place of every secret; n_chars follows the text."""
+    """All documents, with a mark in the place of every secret; n_chars, where there is one, follows the text.  A NULL text stays NULL."""
     masked = secrets.masked(docs, secrets.thresholds(docs))
+    if "n_chars" not in docs.columns:
+        return masked
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it whole, and once cut where it takes a part; n_chars follows the text."""
+    """Each document as often as the mix takes it whole, and once cut where it takes a part; n_chars follows the text.
+
+    Copies of a document are equal rows with its doc_id, and documents of their own in packing.  NULL texts hold no words and are not taken.
+    """
     return mixing.mixed(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document in its sequence."""
+    """One row for each piece of a document in its sequence; a NULL text is the end id alone."""
     return packing.pack(docs)
 
 
