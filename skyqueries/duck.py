@@ -48,7 +48,8 @@ def ring_sql(source: str, order: int, out: str = "pix_ring") -> str:
 
 def face_parts_sql(source: str, order: int, pix: str) -> str:
     """Adds k_face, k_ix, k_iy of a nested id."""
-    gather = lambda down: f"list_sum(list_transform(range(0, {max(order, 1)}), lambda i: ((({pix}) >> (2 * i + {down})) & 1) << i))::bigint"
+    # A cell of order 0 is its face, and has no bits of its own.
+    gather = lambda down: f"list_sum(list_transform(range(0, {order}), lambda i: ((({pix}) >> (2 * i + {down})) & 1) << i))::bigint" if order else "0::bigint"
     return f"""(SELECT *, (({pix}) >> {2 * order})::bigint AS k_face, {gather(0)} AS k_ix, {gather(1)} AS k_iy FROM {source} f0)"""
 
 
