@@ -7,7 +7,10 @@ and when a lost task is repeated.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +97,65 @@ def random_cells(spark: SparkSession, order: int, size: float, seed: int = 0, ma
     return random_counts(mask.select(F.col("pix_nest").alias("pix")), size / mask_cells, seed)
 
 
+def _split(level: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Arrow function: rows (`pix`, `n`, `w`) become the children of each node with the points they get.
+
+    A node's draws come from its own generator, keyed by seed, level and node, so they do not depend on the batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            children, counts = [], []
+            for pix, n, weights in zip(*(column.to_pylist() for column in batch.columns)):
+                draw = np.random.Generator(np.random.Philox(key=[(seed * 64 + level) % 2**64, pix]))
+                left, open_weight = n, sum(weights)
+                for place, weight in enumerate(weights):
+                    # The last child with a weight takes what is left.
+                    given = left if weight == open_weight else int(draw.binomial(left, weight / open_weight)) if weight else 0
+                    left, open_weight = left - given, open_weight - weight
+                    if given:
+                        children.append(pix * len(weights) + place)
+                        counts.append(given)
+            yield pa.RecordBatch.from_arrays([pa.array(children, pa.int64()), pa.array(counts, pa.int64())], names=["pix", "n"])
+
+    return run
+
+
+def random_counts_of_total(spark: SparkSession, order: int, size: int, seed: int = 0, cells: DataFrame | None = None) -> DataFrame:
+    """(`pix`, `weight`): how many of exactly `size` points, spread evenly, fall in each nested cell of `order`; empty cells left out.
+
+    The total is split down the pixel tree by binomial draws in proportion to the kept cells (`cells`: `pix_nest`, repeats count once; None:
+    the whole sky) below each child, so no point is ever made and the work follows the cells that get some.  A node's draw depends on
+    the seed and the node alone: results are the same under any partitioning.  Without kept cells or points there are no rows;
+    a negative `size` is an error.
+    """
+    if size < 0:
+        raise ValueError("a number of points is not negative")
+    kept = []
+    if cells is not None:
+        # Kept cells below each node, level by level, as one row for the four children of a node.
+        level = cells.select(F.col("pix_nest").alias("pix")).where("pix IS NOT NULL").distinct().withColumn("k", F.lit(1).cast("bigint"))
+        for _ in range(order):
+            share = [F.coalesce(F.sum(F.when(F.col("pix") % 4 == place, F.col("k"))), F.lit(0)) for place in range(4)]
+            level = level.groupBy(F.shiftright("pix", 2).alias("pix")).agg(F.array(*share).alias("w"))
+            kept.insert(0, level)
+            level = level.select("pix", F.expr("w[0] + w[1] + w[2] + w[3]").alias("k"))
+        faces = {row["pix"]: row["k"] for row in level.collect()}
+        roots = [faces.get(face, 0) for face in range(12)]
+    else:
+        roots = [1] * 12
+    if not any(roots) or not size:
+        return spark.createDataFrame([], "pix long, weight double")
+    # The root has the twelve faces as children; their table has at most twelve rows.
+    found = spark.createDataFrame([(0, size, roots)], "pix long, n long, w array<long>").mapInArrow(_split(0, seed), "pix long, n long")
+    for depth in range(1, order + 1):
+        if depth == 3:
+            found = found.repartition("pix")
+        found = found.join(kept[depth - 1], "pix").select("pix", "n", "w") if kept else found.withColumn("w", F.expr("array(1L, 1L, 1L, 1L)"))
+        found = found.mapInArrow(_split(depth, seed), "pix long, n long")
+    return found.select("pix", F.col("n").cast("double").alias("weight"))
+
+
 def random_in_cells(cells: DataFrame, order: int, size: int, seed: int = 0) -> DataFrame:
     """`size` points spread evenly over the given nested cells (`pix_nest`, each once): `id`, `weight`, `x`, `y`, `z`.
 

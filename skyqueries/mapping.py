@@ -157,3 +157,13 @@ def random_counts(spark, sf_dir):
     return per_cell.agg(
         n.alias("n_cells"), close(F.avg("small"), 2.5, 2.5**0.5).alias("mean_ok"), close(F.var_pop("small"), 2.5, 3.9).alias("variance_ok"),
         (close(F.avg("large"), 40.0, 40.0**0.5) & close(F.var_pop("large"), 40.0, 57.0)).alias("large_ok"))
+
+
+@query("s13_random_counts_of_total", f"""SELECT (SELECT count(*) * 1000 FROM orders)::bigint AS n_points, count(DISTINCT pix_nest >> 4)::bigint AS n_cells_hit
+    FROM {duck.nest_sql(_ORDERS, 5)}""")
+def random_counts_of_total(spark, sf_dir):
+    """A thousand points for every order, in the cells that hold one: all of them, and coarse cells hit are those with a kept cell."""
+    orders = sky(spark, sf_dir, "orders")
+    cells = with_nest(orders, 5).select("pix_nest").distinct()
+    counts = randoms.random_counts_of_total(spark, 5, 1000 * orders.count(), 9, cells)
+    return counts.agg(F.sum("weight").cast("bigint").alias("n_points"), F.count_distinct(F.shiftright("pix", 4)).alias("n_cells_hit"))

@@ -159,3 +159,35 @@ def test_density_sums_do_not_depend_on_the_scheme(spark):
     points = randoms.random_sphere(spark, 5000, seed=9)
     both = with_ring(with_nest(points, 3), 3)
     assert both.groupBy("pix_nest").agg(F.countDistinct("pix_ring").alias("n")).where("n > 1").count() == 0
+
+
+def _chi_squared(counts, cells, size):
+    mean = size / len(cells)
+    return sum((counts.get(cell, 0.0) - mean) ** 2 / mean for cell in cells)
+
+
+@pytest.mark.parametrize("size", [0, 1, 50_000, 10**15])
+def test_random_counts_of_a_total(spark, size):
+    found = {row.pix: row.weight for row in randoms.random_counts_of_total(spark, 3, size, 4).collect()}
+    assert sum(map(int, found.values())) == size and set(found) <= set(range(768))
+    if size > 1000:
+        # 767 degrees of freedom: six standard deviations around the mean.
+        assert abs(_chi_squared(found, range(768), size) - 767) < 6 * (2 * 767) ** 0.5
+
+
+def test_random_counts_of_a_total_in_kept_cells(spark):
+    cells = [cell for cell in range(768) if cell % 7 == 3 or 100 <= cell < 164]
+    table = spark.createDataFrame([(cell,) for cell in cells + cells[:9]] + [(None,)], "pix_nest long")
+    runs = [
+        {row.pix: row.weight for row in randoms.random_counts_of_total(spark, 3, 200_000, 5, table.repartition(parts)).collect()} for parts in (1, 6)
+    ]
+    assert runs[0] == runs[1] and set(runs[0]) == set(cells) and sum(runs[0].values()) == 200_000
+    assert abs(_chi_squared(runs[0], cells, 200_000) - len(cells) + 1) < 6 * (2 * len(cells)) ** 0.5
+    other = {row.pix: row.weight for row in randoms.random_counts_of_total(spark, 3, 200_000, 6, table).collect()}
+    assert other != runs[0] and sum(other.values()) == 200_000
+    assert randoms.random_counts_of_total(spark, 3, 10, 5, table.where("false")).count() == 0
+    # Neighbouring cells are not tied: the spread of a parent's children is binomial too.
+    pairs = [(runs[0][cell], runs[0][cell + 1]) for cell in range(100, 164, 2)]
+    assert abs(sum((a - b) ** 2 / (a + b) for a, b in pairs) - len(pairs)) < 6 * (2 * len(pairs)) ** 0.5
+    with pytest.raises(ValueError):
+        randoms.random_counts_of_total(spark, 3, -1)
