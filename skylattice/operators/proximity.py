@@ -38,12 +38,20 @@ def _cube_id(x: str, y: str, z: str) -> Column:
     return F.expr(f"coalesce({cube}, -1L)")
 
 
-def in_home_cube(points: DataFrame, side: float, x: str = "x", y: str = "y", z: str = "z", out: str = "cube") -> DataFrame:
-    return points.withColumn(out, _cube_id(*(f"floor({v} / {side!r}D)" for v in (x, y, z))))
+def _hashed_id(x: str, y: str, z: str) -> Column:
+    """For cubes of any size.  Two cubes may share an id: pairs then meet that are far apart, or meet twice."""
+    return F.xxhash64(F.expr(x), F.expr(y), F.expr(z))
+
+
+def in_home_cube(
+    points: DataFrame, side: float, x: str = "x", y: str = "y", z: str = "z", out: str = "cube", hashed: bool = False
+) -> DataFrame:
+    name = _hashed_id if hashed else _cube_id
+    return points.withColumn(out, name(*(f"floor({v} / {side!r}D)" for v in (x, y, z))))
 
 
 def in_touched_cubes(
-    points: DataFrame, side: float, chord: float, x: str = "x", y: str = "y", z: str = "z", out: str = "cube"
+    points: DataFrame, side: float, chord: float, x: str = "x", y: str = "y", z: str = "z", out: str = "cube", hashed: bool = False
 ) -> DataFrame:
     """One copy per cube that the ball of this chord around the point reaches."""
     reach = chord * (1.0 + 1e-9) + 1e-15
@@ -55,7 +63,7 @@ def in_touched_cubes(
     gaps = [f"greatest(_g{a} * {side!r}D - {v}, {v} - (_g{a} + 1) * {side!r}D, 0D)" for a, v in zip("xyz", (x, y, z))]
     return (
         points.where(F.expr(" + ".join(f"{gap} * {gap}" for gap in gaps) + f" <= {(reach * 1.000001) ** 2!r}D"))
-        .withColumn(out, _cube_id("_gx", "_gy", "_gz"))
+        .withColumn(out, (_hashed_id if hashed else _cube_id)("_gx", "_gy", "_gz"))
         .drop("_gx", "_gy", "_gz")
     )
 
@@ -64,7 +72,7 @@ def in_touched_cubes(
 _SAMPLE = 64
 
 
-def _estimated_sizes(side: DataFrame, key: str, identity: list[str], rows: int, out: str) -> DataFrame:
+def estimated_sizes(side: DataFrame, key: str, identity: list[str], rows: int, out: str) -> DataFrame:
     fraction = _SAMPLE if rows >= 16 * _SAMPLE else 1
     if fraction > 1:
         side = side.where(F.pmod(F.xxhash64(*identity), F.lit(fraction)) == 0)
@@ -84,8 +92,8 @@ def split_hot_keys(
     """
     # A key may be large on one side only, and then be missing from the other side's sample: it counts as one strip there.
     sizes = (
-        _estimated_sizes(left, key, left_identity, rows, "_nl")
-        .join(_estimated_sizes(right, key, right_identity, rows, "_nr"), key, "full")
+        estimated_sizes(left, key, left_identity, rows, "_nl")
+        .join(estimated_sizes(right, key, right_identity, rows, "_nr"), key, "full")
         .where((F.col("_nl") > rows) | (F.col("_nr") > rows))
         .select(
             F.col(key),

@@ -42,6 +42,37 @@ def test_within_radius(spark, radius, hot_rows):
     assert set(found) == expected
 
 
+def _field(rng, n, width):
+    """Separate positions around one direction, unevenly dense."""
+    v = np.array([0.3, 0.2, 0.9]) + rng.normal(size=(n, 3)) * width * rng.uniform(0.02, 1.0, size=(n, 1))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_crowded_field_is_matched_in_rounds(spark, monkeypatch):
+    """20,000 x and 20,000 y within one radius: equal to all pairs, at a small share of their number."""
+    rng, n, arcsec = np.random.default_rng(11), 20_000, math.radians(1.0 / 3600.0)
+    a, b = (np.concatenate([_field(rng, n, 0.15 * arcsec), sphere(300, seed)]) for seed in (21, 22))
+    b[-100:] = a[-100:]
+    limit = (2 * math.sin(arcsec / 2)) ** 2
+    chosen = {}
+    for start in range(0, len(b), 500):
+        d2 = sum((b[start : start + 500, None, k] - a[None, :, k]) ** 2 for k in range(3))
+        for j, i in enumerate(d2.argmin(axis=1)):
+            if d2[j, i] < limit:
+                chosen[int(i)] = min(chosen.get(int(i), (9.0, 0)), (float(d2[j, i]), start + j))
+    met, plain = [], match._meetings
+
+    def counted(*args):
+        pairs = plain(*args)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(match, "_meetings", counted)
+    found = match.crossmatch(frame(spark, a), frame(spark, b), 1.0)
+    assert {(row.x_id, row.y_id) for row in found.collect()} == {(i, j) for i, (_, j) in chosen.items()}
+    assert len(met) > 2 and sum(met) < n * n / 50
+
+
 def nearest(a, b, limit):
     d2 = chord2(b, a)
     chosen = {}
@@ -54,12 +85,12 @@ def nearest(a, b, limit):
     return {(i, j) for i, (_, j) in chosen.items()}
 
 
-@pytest.mark.parametrize("hot_rows", [4, 20000])
-def test_crossmatch_with_copies_and_clump(spark, hot_rows):
+@pytest.mark.parametrize("hot_rows, crowd", [(4, 2000), (20000, 2000), (4, 5), (None, 1)])
+def test_crossmatch_with_copies_and_clump(spark, hot_rows, crowd):
     a, b = sphere(200, 5, clump=60), sphere(250, 6, clump=80)
     limit = (2 * math.sin(RADIUS / 2)) ** 2
     expected = nearest(a, b, limit)
-    found = match.crossmatch(frame(spark, a, copies=3), frame(spark, b, copies=2), 4.0 * 3600, hot_rows=hot_rows)
+    found = match.crossmatch(frame(spark, a, copies=3), frame(spark, b, copies=2), 4.0 * 3600, hot_rows=hot_rows, crowd=crowd)
     assert {(row.x_id, row.y_id) for row in found.collect()} == expected
     assert found.where("sep_rel < 0 OR sep_rel >= 1").count() == 0
 
