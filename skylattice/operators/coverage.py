@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from skylattice.functions.cells import MAX_ORDER, npix, order_of_uniq
 from skylattice.operators.ranking import prefix_sum
 from skylattice.operators.rings import totals_at
+from skylattice.session import checkpointed
 
 SKY_END = npix(MAX_ORDER)
 
@@ -251,24 +252,51 @@ def expand(ranges: DataFrame, chunk: int = 65536) -> DataFrame:
 # --- points and values against coverage -------------------------------------------------------------
 
 
-#: Orders at which points are looked up; a cell is cut into cells of the next one of these, 4^6 at most and mostly up to 4^3.
-_LOOKUP_ORDERS = (6, 10, 14, 18, 22, 26, 29)
+#: No key is coarser than a cell of this order, one in 12,288 of the sky.
+_COARSEST_LOOKUP = 5
 
 
-def _lookup_cells(ranges: DataFrame, order: int) -> tuple[DataFrame, list[int]]:
-    """(`set_id`, `order`, `pix`) with few orders only, none coarser than the first of them, and the orders that occur.
+def lookup_orders(cells_by_order: dict[int, int], points: int) -> dict[int, int]:
+    """For each order that occurs the order its cells are written out to, so that keys of cells and of points are fewest in all.
 
-    The coarsest key is so one cell in 49,152 of the sky, and a point has as many keys as there are orders in the map, seven at most.
+    Every order looked up costs one key a point; a cell taken down by k orders becomes 4^k keys.
     """
-    cells = to_uniq(coalesce(ranges, order), order).select("set_id", "order", "pix")
-    level = F.lit(_LOOKUP_ORDERS[-1])
-    for one in reversed(_LOOKUP_ORDERS[:-1]):
-        level = F.when(F.col("order") <= one, one).otherwise(level)
+    counts: dict[int, int] = {}
+    for order, cells in cells_by_order.items():
+        level = max(order, _COARSEST_LOOKUP)
+        counts[level] = counts.get(level, 0) + cells * 4 ** (level - order)
+    levels = sorted(counts)
+    # From the finest order up: the least cost of the orders from place i on, and the first order looked up then.
+    best: list[tuple[int, int]] = [(0, 0)] * (len(levels) + 1)
+    for i in reversed(range(len(levels))):
+        ways = []
+        for j in range(i, len(levels)):
+            written = sum(counts[level] * 4 ** (levels[j] - level) for level in levels[i : j + 1])
+            ways.append((points + written + best[j + 1][0], j))
+        best[i] = min(ways)
+    target, i = {}, 0
+    while i < len(levels):
+        j = best[i][1]
+        target.update({level: levels[j] for level in levels[i : j + 1]})
+        i = j + 1
+    return {order: target[max(order, _COARSEST_LOOKUP)] for order in cells_by_order}
+
+
+def _lookup_cells(ranges: DataFrame, order: int, points: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(`set_id`, `order`, `pix`) with few orders only, and those orders, chosen by the numbers of cells and of points.
+
+    The map's cells are made once; their numbers by order come from that table.
+    """
+    cells = checkpointed(to_uniq(coalesce(ranges, order), order).select("set_id", "order", "pix"))
+    by_order = {row["order"]: row["count"] for row in cells.groupBy("order").count().collect()}
+    if not by_order:
+        return cells, []
+    target = lookup_orders(by_order, points.count())
+    level = F.create_map(*[F.lit(part) for pair in target.items() for part in pair])[F.col("order")]
     cells = cells.withColumn("level", level)
     first = F.expr("shiftleft(pix, 2 * (level - `order`))")
     parts = F.sequence(first, first + F.expr("shiftleft(1L, 2 * (level - `order`))") - 1)
-    present = [row[0] for row in cells.select("level").distinct().collect()]
-    return cells.select("set_id", F.col("level").alias("order"), F.explode(parts).alias("pix")), sorted(present)
+    return cells.select("set_id", F.col("level").alias("order"), F.explode(parts).alias("pix")), sorted(set(target.values()))
 
 
 def _looked_up(points: DataFrame, pix29: str, orders: list[int]) -> DataFrame:
@@ -280,16 +308,16 @@ def _looked_up(points: DataFrame, pix29: str, orders: list[int]) -> DataFrame:
 def points_in_sets(points: DataFrame, ranges: DataFrame, pix29: str = "pix29", order: int = MAX_ORDER) -> DataFrame:
     """Rows of `points` (with a nested id at order 29) joined to every set that covers them: adds `set_id`.
 
-    The map becomes cells of a few orders; a point lies in one cell per order, so each point is looked up once per order
-    that occurs, by equality.
+    The map becomes cells of a few orders, chosen by cost (`lookup_orders`); a point lies in one cell per order, so each point is
+    looked up once per order, by equality.
     """
-    cells, orders = _lookup_cells(ranges, order)
+    cells, orders = _lookup_cells(ranges, order, points)
     return _looked_up(points, pix29, orders).join(cells, ["order", "pix"]).drop("order", "pix")
 
 
 def contains_values(ranges: DataFrame, values: DataFrame, order: int = MAX_ORDER) -> DataFrame:
     """(`set_id`, `value`) rows of `values` that lie in their own set."""
-    cells, orders = _lookup_cells(ranges, order)
+    cells, orders = _lookup_cells(ranges, order, values)
     return _looked_up(values, "value", orders).join(cells, ["set_id", "order", "pix"], "left_semi").select("set_id", "value")
 
 

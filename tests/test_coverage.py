@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,42 @@ def test_prefix_sum_groups_stay_small(spark, monkeypatch):
     found = ranking.prefix_sum(rows, [], "p", {"before": "one"}, 12)
     expected = sorted({i * 7 % 4096 for i in range(3000)})
     assert [tuple(row) for row in found.orderBy("p").select("p", "before").collect()] == [(p, i) for i, p in enumerate(expected)]
+
+
+def test_lookup_orders_are_the_cheapest():
+    """Against every way to choose orders; the cells of the registered query become fewer than four keys each."""
+    from itertools import combinations
+
+    draw = np.random.default_rng(3)
+    for _ in range(60):
+        orders = sorted(draw.choice(np.arange(0, 14), size=int(draw.integers(1, 7)), replace=False).tolist())
+        cells, points = {o: int(draw.integers(1, 10**6)) for o in orders}, int(10 ** draw.uniform(0, 9))
+
+        def cost(chosen):
+            level = {o: min(c for c in chosen if c >= o) for o in orders}
+            return points * len(set(level.values())) + sum(cells[o] * 4 ** (level[o] - o) for o in orders)
+
+        floors = sorted({max(o, 5) for o in orders})
+        ways = [c + (floors[-1],) for k in range(len(floors)) for c in combinations(floors[:-1], k)]
+        found = coverage.lookup_orders(cells, points)
+        assert set(found) == set(orders) and all(found[o] >= o for o in orders)
+        assert cost(sorted(set(found.values()))) == min(map(cost, ways))
+    assert coverage.lookup_orders({}, 5) == {}
+
+
+def test_lookup_writes_few_keys(spark):
+    """Many cells of neighbouring orders and few points: cells stay as they are."""
+    size = lambda order: 1 << (2 * (29 - order))
+    ranges = spark.range(20_000).selectExpr(
+        "id % 7 AS set_id", f"pmod(id * 7919, 49152) * {size(9)}L AS lo").selectExpr("set_id", "lo", f"lo + (1 + lo % 37) * {size(9)}L AS hi")
+    points = spark.range(500).selectExpr("id", f"pmod(id * 104729, 49152) * {size(9)}L AS pix29")
+    cells, orders = coverage._lookup_cells(ranges, 9, points)
+    made = coverage.to_uniq(coverage.coalesce(ranges, 9), 9).count()
+    assert cells.count() < 4 * made and max(orders) <= 9
+    inside = {(row.set_id, row.id) for row in coverage.points_in_sets(points, ranges, order=9).select("set_id", "id").collect()}
+    spans = [(row.set_id, row.lo, row.hi) for row in ranges.collect()]
+    by_set = {}
+    for one, lo, hi in spans:
+        by_set.setdefault(one, []).append((lo, hi))
+    assert inside == {(one, row.id) for row in points.collect() for one, own in by_set.items() if any(lo <= row.pix29 < hi for lo, hi in own)}
+    assert coverage.points_in_sets(points, ranges.where("false"), order=9).count() == 0
