@@ -192,3 +192,15 @@ def test_key_that_is_hot_on_one_side_is_split(spark):
     groups = [row["count"] for row in a.groupBy(*keys).count().collect()]
     assert max(groups) < 1200 and sum(groups) == 6000
     assert a.join(b, keys).groupBy("a_id", "b_id").count().groupBy("count").count().collect() == [(1, 120000)]
+
+
+def test_copies_of_a_hot_key_follow_its_rows(spark):
+    """One cube with everything, at a few rows a strip: rows are copied for as many groups as the tasks can use, not for each strip."""
+    from skylattice.operators.proximity import candidate_sides
+
+    copies = []
+    for n in (2000, 8000):
+        left, right = (frame(spark, sphere(n, seed, clump=n)) for seed in (71, 72))
+        a, b, _ = candidate_sides(left, right, 1.0, 2)
+        copies.append((a.count() + b.count()) / n)
+    assert copies[1] < 1.3 * copies[0]  # every strip with every strip would make it four times as much
