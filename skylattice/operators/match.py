@@ -13,7 +13,7 @@ from skylattice.operators.proximity import D2, cube_side, estimated_sizes, in_ho
 from skylattice.session import checkpointed
 
 #: A cube with more rows than this of the searched side is crowded: its rows are looked up in rounds.
-CROWD = 2000
+CROWD = 256
 #: Each round's radius is this share of the next one's, and none is below a chord that doubles resolve.
 _SHRINK, _LEAST_CHORD = 4.0, 1e-12
 
@@ -36,16 +36,12 @@ def crossmatch(
     Both tables need `id`, `x`, `y`, `z`.  Ties go to the smaller id.  Output: `x_id`, `y_id`, `sep_arcsec`, and
     `sep_rel` = chord over the limiting chord, in [0, 1).  Not symmetric, and not mutual nearest neighbours.
 
-    Where more than `crowd` positions lie in one cube of the join (about two radii wide), the radius grows in rounds from
-    a small one; without `border` such fields are compared pair by pair.
+    Where more than `crowd` positions lie in one cube of the join (about two radii wide), or in one cell without `border`, the
+    radius grows in rounds from a small one.
     """
     radius = math.radians(radius_arcsec / 3600.0)
     limit = chord_of(radius)
-    if border:
-        chosen = nearest_within(distinct_positions(y), distinct_positions(x), radius, hot_rows, crowd)
-    else:
-        pairs = within_radius(distinct_positions(y), distinct_positions(x), radius, hot_rows, cell_order)
-        chosen = nearest_per(pairs.select("a_id", "b_id", "d2"), "a_id", "b_id", "d2")
+    chosen = nearest_within(distinct_positions(y), distinct_positions(x), radius, hot_rows, crowd, None if border else cell_order)
     kept = nearest_per(chosen, "b_id", "a_id", "d2")
     return kept.select(
         F.col("b_id").alias("x_id"),
@@ -56,41 +52,49 @@ def crossmatch(
 
 
 def _meetings(left: DataFrame, right: DataFrame, chord: float, hot_rows: int | None) -> DataFrame:
-    """Pairs that share a cube for this chord, with `d2`: all closer ones, others, and in rare cases a pair twice."""
-    prefixed = lambda df, prefix: df.select(*[F.col(name).alias(prefix + name) for name in ("id", "x", "y", "z")])
+    """Pairs of one `cell` that share a cube for this chord, with `d2`: all closer ones, others, and in rare cases a pair twice."""
+    prefixed = lambda df, prefix: df.select(*[F.col(name).alias(prefix + name) for name in ("id", "x", "y", "z", "cell")])
     a = in_home_cube(prefixed(left, "a_"), 2.0 * chord, "a_x", "a_y", "a_z", hashed=True)
     b = in_touched_cubes(prefixed(right, "b_"), 2.0 * chord, chord, "b_x", "b_y", "b_z", hashed=True)
+    a, b = (rows.withColumn("cube", F.xxhash64("cube", f"{prefix}cell")) for rows, prefix in ((a, "a_"), (b, "b_")))
     keys = ["cube"]
     if hot_rows:
         a, b, keys = split_hot_keys(a, b, "cube", hot_rows, ["a_id", "a_x", "a_y", "a_z"], ["b_id", "b_x", "b_y", "b_z"])
-    return a.join(b, keys).select("a_id", "b_id", F.expr(D2).alias("d2"))
+    # The size of a checkpointed table is not known to the planner: without the hint it may send a whole side through the driver.
+    return a.hint("merge").join(b, keys).where("a_cell = b_cell").select("a_id", "b_id", F.expr(D2).alias("d2"))
 
 
-def nearest_within(left: DataFrame, right: DataFrame, radius: float, hot_rows: int | None = 2000, crowd: int = CROWD) -> DataFrame:
+def nearest_within(
+    left: DataFrame, right: DataFrame, radius: float, hot_rows: int | None = 2000, crowd: int = CROWD, cell_order: int | None = None
+) -> DataFrame:
     """(`a_id`, `b_id`, `d2`): for each left row the nearest right row closer than `radius` radians; ties to the smaller id.
 
     Both sides are (`id`, `x`, `y`, `z`), each position once.  Left rows in cubes with more than `crowd` right rows are
     looked up in rounds: first within a radius at which no cube is crowded, then four times as far, up to `radius`.  A row
     that has found one is settled, as all nearer ones were seen, so work follows the distance to the nearest and not the
-    number of rows within the radius.
+    number of rows within the radius.  With `cell_order` only rows that share a nested cell of that order meet, and crowds are
+    those of cells.
     """
     chord = chord_of(min(radius, math.pi))
     side = cube_side(chord)
-    touched = in_touched_cubes(right, side, chord)
+    if cell_order is None:
+        touched, homed = in_touched_cubes(right, side, chord), in_home_cube(left, side)
+    else:
+        touched, homed = (with_nest(rows, cell_order, "cube", vector=("x", "y", "z")) for rows in (right, left))
     # Estimated on a sample of a large table: what counts as crowded decides speed alone.
     crowded = estimated_sizes(touched, "cube", ["id"], crowd, "_n").where(F.col("_n") > crowd).select("cube")
     nearest = lambda pairs: nearest_per(pairs.select("a_id", "b_id", "d2"), "a_id", "b_id", "d2")
     if crowded.limit(1).count() == 0:
-        return nearest(within_radius(left, right, radius, hot_rows))
+        return nearest(within_radius(left, right, radius, hot_rows, cell_order))
     crowded = checkpointed(crowded)
-    homed = in_home_cube(left, side)
-    found = nearest(within_radius(homed.join(crowded, "cube", "left_anti").drop("cube"), right, radius, hot_rows))
-    waiting = checkpointed(homed.join(crowded, "cube", "left_semi").drop("cube"))
-    near = checkpointed(touched.join(crowded, "cube", "left_semi").select("id", "x", "y", "z").distinct())
+    found = nearest(within_radius(homed.join(crowded, "cube", "left_anti").drop("cube"), right, radius, hot_rows, cell_order))
+    cell = (F.lit(0) if cell_order is None else F.col("cube")).cast("bigint").alias("cell")
+    waiting = checkpointed(homed.join(crowded, "cube", "left_semi").select("id", "x", "y", "z", cell))
+    near = checkpointed(touched.join(crowded, "cube", "left_semi").select("id", "x", "y", "z", cell).distinct())
     chords = [chord]
     while chords[-1] / _SHRINK > _LEAST_CHORD:
         size = 2.0 * chords[-1]
-        most = in_home_cube(near, size, hashed=True).groupBy("cube").count().agg(F.max("count")).head()[0]
+        most = in_home_cube(near, size, hashed=True).groupBy("cube", "cell").count().agg(F.max("count")).head()[0]
         # Few enough, so that even all pairs of such a cube are cheap.
         if most <= min(crowd, 64):
             break
@@ -99,7 +103,7 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float, hot_rows: i
         pairs = _meetings(waiting, near, step, hot_rows).where(F.col("d2") < F.lit(step * step))
         settled = checkpointed(nearest(pairs))
         found = found.unionByName(settled)
-        waiting = checkpointed(waiting.join(settled.select(F.col("a_id").alias("id")), "id", "left_anti"))
+        waiting = checkpointed(waiting.join(settled.select(F.col("a_id").alias("id")).hint("merge"), "id", "left_anti"))
     return found
 
 

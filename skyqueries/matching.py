@@ -145,8 +145,9 @@ def crossmatch_arcsecond(spark, sf_dir):
 
 @query("a16_closest_per_x", f"SELECT x_id, y_id FROM (SELECT *, row_number() OVER (PARTITION BY x_id ORDER BY d2, y_id) AS k FROM {_PAIRS}) WHERE k = 1")
 def closest_per_x(spark, sf_dir):
-    pairs = within_radius(sky(spark, sf_dir, "part").select("id", "x", "y", "z"), sky(spark, sf_dir, "customer").select("id", "x", "y", "z"), _RADIUS)
-    return match.nearest_per(pairs, "b_id", "a_id", "d2").select(F.col("b_id").alias("x_id"), F.col("a_id").alias("y_id"))
+    x, y = (sky(spark, sf_dir, name).select("id", "x", "y", "z") for name in ("customer", "part"))
+    found = match.nearest_within(x, match.distinct_positions(y), _RADIUS)
+    return match.nearest_per(found, "a_id", "b_id", "d2").select(F.col("a_id").alias("x_id"), F.col("b_id").alias("y_id"))
 
 
 @query("a17_distinct_cells", f"SELECT DISTINCT pix_nest FROM {duck.nest_sql(_ORDERS, 6)}")

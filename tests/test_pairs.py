@@ -204,3 +204,20 @@ def test_copies_of_a_hot_key_follow_its_rows(spark):
         a, b, _ = candidate_sides(left, right, 1.0, 2)
         copies.append((a.count() + b.count()) / n)
     assert copies[1] < 1.3 * copies[0]  # every strip with every strip would make it four times as much
+
+
+@pytest.mark.parametrize("crowd", [3, 10**6])
+def test_crowded_cells_without_border(spark, crowd):
+    """Rounds within a nested cell find what all pairs of the cell give."""
+    from skylattice.functions.cells import with_nest
+
+    a, b = (frame(spark, sphere(300, seed, clump=120)) for seed in (81, 82))
+    found = match.crossmatch(a, b, 12.0 * 3600, border=False, cell_order=2, crowd=crowd)
+    cells = [{row.id: (row.pix_nest, np.array([row.x, row.y, row.z])) for row in with_nest(df, 2, vector=("x", "y", "z")).collect()} for df in (a, b)]
+    limit, chosen = (2 * math.sin(math.radians(12.0) / 2)) ** 2, {}
+    for j, (cell, at) in cells[1].items():
+        near = [(((at - v) ** 2).sum(), i) for i, (other, v) in cells[0].items() if other == cell]
+        if near and min(near)[0] < limit:
+            d2, i = min(near)
+            chosen[i] = min(chosen.get(i, (9.0, 0)), (d2, j))
+    assert {(row.x_id, row.y_id) for row in found.collect()} == {(i, j) for i, (_, j) in chosen.items()}
