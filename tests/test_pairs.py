@@ -221,3 +221,9 @@ def test_crowded_cells_without_border(spark, crowd):
             d2, i = min(near)
             chosen[i] = min(chosen.get(i, (9.0, 0)), (d2, j))
     assert {(row.x_id, row.y_id) for row in found.collect()} == {(i, j) for i, (_, j) in chosen.items()}
+
+
+def test_rounds_send_no_side_through_the_driver(spark):
+    points = frame(spark, sphere(50, 91)).select("id", "x", "y", "z", F.lit(0).cast("bigint").alias("cell"))
+    plan = match._meetings(points, points, 0.1, None)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
