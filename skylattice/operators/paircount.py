@@ -1,8 +1,8 @@
 """Weighted pair counts per separation bin.
 
 Exact copies of a position are merged first (their weights add up), which keeps the result and removes the worst
-skew.  The pair join then meets every unordered pair once and doubles same-catalogue pairs, and its output goes
-straight into a partial aggregate: pairs are never stored or shuffled.
+skew.  Points that may be near each other then meet in groups, every unordered pair in one, and `blocks` adds a group's pairs up:
+pairs are never stored or shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from skylattice.functions.angles import chord_of
 from skylattice.functions.bins import Bins
 from skylattice.functions.cells import with_centre, with_ring_centre
-from skylattice.operators.proximity import D2, cube_side, in_home_cube, in_touched_cubes, join_by_work, split_hot_keys
+from skylattice.operators.blocks import group_sums, is_placed
+from skylattice.operators.proximity import cube_side, in_home_cube, in_touched_cubes, split_hot_keys
 
 KINDS = ("dd", "dr", "rr")
 
@@ -26,40 +27,35 @@ def merge_copies(points: DataFrame, *tags: str) -> DataFrame:
     return points.groupBy("x", "y", "z", *tags).agg(F.sum("weight").alias("weight"), count.alias("n"))
 
 
-def _precedes(names: list[str]) -> str:
-    """SQL for: row a comes before row b in lexicographic order of the columns."""
-    head, *tail = names
-    if not tail:
-        return f"a_{head} < b_{head}"
-    return f"(a_{head} < b_{head} OR (a_{head} = b_{head} AND {_precedes(tail)}))"
-
-
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select([F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def _binned(pairs: DataFrame, bins: Bins, upper_closed: bool) -> DataFrame:
-    pairs = pairs.withColumn("d2", F.expr(D2))
-    low, high = F.lit(bins.edges2[0]), F.lit(bins.edges2[-1])
-    d2 = F.col("d2")
-    inside = (d2 > low) & (d2 <= high) if upper_closed else (d2 >= low) & (d2 < high)
-    return pairs.where(inside).withColumn("bin", bins.of_chord2(d2, upper_closed))
+def by_kind(pairs: DataFrame) -> DataFrame:
+    """(`kind`, `bin`, `region_1` <= `region_2`, `weighted`, `pairs`) of the sums of `blocks`, `kind` as its number in KINDS."""
+    return pairs.groupBy(
+        (F.col("a_is_random") + F.col("b_is_random")).alias("kind"),
+        "bin",
+        F.least("a_region", "b_region").alias("region_1"),
+        F.greatest("a_region", "b_region").alias("region_2"),
+    ).agg(F.sum("weighted").alias("weighted"), F.sum("pairs").alias("pairs"))
 
 
 def cross_histogram(
-    left: DataFrame, right: DataFrame, bins: Bins, upper_closed: bool = False, hot_rows: int = 2000,
-    cubes_per_ball: float = 3.0,
+    left: DataFrame, right: DataFrame, bins: Bins, upper_closed: bool = False, hot_rows: int = 250_000,
+    cubes_per_ball: float = 2.0,
 ) -> DataFrame:
     """Pairs (left row, right row) per bin: `bin`, `weighted` = sum of weight products, `pairs`.  Empty bins are zero."""
     chord = chord_of(min(bins.max_radius, math.pi))
     side = cube_side(chord, cubes_per_ball)
-    a = in_home_cube(_prefixed(merge_copies(left), "a_"), side, "a_x", "a_y", "a_z")
+    a = in_home_cube(_prefixed(merge_copies(left).where(is_placed()), "a_"), side, "a_x", "a_y", "a_z")
     b = in_touched_cubes(_prefixed(merge_copies(right), "b_"), side, chord, "b_x", "b_y", "b_z")
+    # Copies in cubes that are nobody's home meet nothing.
+    b = b.join(a.select("cube").distinct(), "cube", "left_semi")
     a, b, keys = split_hot_keys(a, b, "cube", hot_rows, ["a_x", "a_y", "a_z"], ["b_x", "b_y", "b_z"])
-    pairs = _binned(join_by_work(a, b, keys), bins, upper_closed)
-    found = pairs.groupBy("bin").agg(
-        F.sum(F.col("a_weight") * F.col("b_weight")).alias("weighted"), F.sum(F.col("a_n") * F.col("b_n")).alias("pairs")
-    )
+    a, b = (df.withColumns({f"{v}_is_random": F.lit(0), f"{v}_region": F.lit(0)}) for df, v in ((a, "a"), (b, "b")))
+    pairs = group_sums(a, b, keys, bins, upper_closed, once=False)
+    found = pairs.groupBy("bin").agg(F.sum("weighted").alias("weighted"), F.sum("pairs").alias("pairs"))
     return with_empty_bins(found, bins)
 
 
@@ -71,7 +67,7 @@ def with_empty_bins(found: DataFrame, bins: Bins) -> DataFrame:
 
 
 def pair_sums(
-    points: DataFrame, bins: Bins, upper_closed: bool = False, hot_rows: int = 2000, cubes_per_ball: float = 3.0
+    points: DataFrame, bins: Bins, upper_closed: bool = False, hot_rows: int = 250_000, cubes_per_ball: float = 2.0
 ) -> DataFrame:
     """All three kinds of pair sums from one join: (`kind`, `bin`, `region_1` <= `region_2`, `weighted`, `pairs`).
 
@@ -81,27 +77,20 @@ def pair_sums(
     chord = chord_of(min(bins.max_radius, math.pi))
     side = cube_side(chord, cubes_per_ball)
     merged = merge_copies(points, "is_random", "region")
-    a = in_home_cube(_prefixed(merged, "a_"), side, "a_x", "a_y", "a_z")
+    a = in_home_cube(_prefixed(merged.where(is_placed()), "a_"), side, "a_x", "a_y", "a_z")
     b = in_home_cube(_prefixed(merged, "b_"), side, "b_x", "b_y", "b_z", "b_home")
     # Half of the neighbourhood is enough: a copy only visits cubes up to its own.
     b = in_touched_cubes(b, side, chord, "b_x", "b_y", "b_z").where("cube <= b_home")
     b = b.withColumn("b_same", F.col("cube") == F.col("b_home")).drop("b_home")
+    # Copies in cubes that are nobody's home meet nothing.
+    b = b.join(a.select("cube").distinct(), "cube", "left_semi")
     a, b, keys = split_hot_keys(a, b, "cube", hot_rows, ["a_x", "a_y", "a_z"], ["b_x", "b_y", "b_z"])
-    pairs = _binned(join_by_work(a, b, keys), bins, upper_closed)
-    pairs = pairs.where(F.expr(f"NOT b_same OR {_precedes(['x', 'y', 'z', 'is_random', 'region'])}"))
-    times = F.when(F.col("a_is_random") == F.col("b_is_random"), 2).otherwise(1)
+    pairs = group_sums(a, b, keys, bins, upper_closed, once=True)
     columns = ["kind", "bin", "region_1", "region_2"]
-    found = pairs.groupBy(
-        (F.col("a_is_random") + F.col("b_is_random")).alias("kind"),
-        "bin",
-        F.least("a_region", "b_region").alias("region_1"),
-        F.greatest("a_region", "b_region").alias("region_2"),
-    ).agg(
-        F.sum(times * F.col("a_weight") * F.col("b_weight")).alias("weighted"),
-        F.sum(times * F.col("a_n") * F.col("b_n")).alias("pairs"),
-    )
+    found = by_kind(pairs)
     if bins.edges[0] <= 0.0 and not upper_closed:
-        own = merged.groupBy((2 * F.col("is_random")).alias("kind"), F.lit(0).alias("bin"),
+        # Points without a position are in no group, but a pair with themselves.
+        own = merged.where(~is_placed()).groupBy((2 * F.col("is_random")).alias("kind"), F.lit(0).alias("bin"),
                              F.col("region").alias("region_1"), F.col("region").alias("region_2")).agg(
             F.sum(F.col("weight") * F.col("weight")).alias("weighted"), F.sum(F.col("n") * F.col("n")).alias("pairs"))
         found = found.unionByName(own).groupBy(*columns).agg(F.sum("weighted").alias("weighted"), F.sum("pairs").alias("pairs"))

@@ -2,7 +2,7 @@
 
 The nested cells are a tree.  Each node has the number and weight of its points and the box around them, so the least and the greatest separation of two
 nodes are known without their points.  A pair of nodes whose separations all fall in one bin is counted by products; one that lies outside all bins
-leaves; only the others are split, level by level, down to leaves of a few points, which are compared one by one.  The
+leaves; only the others are split, level by level, down to leaves of some hundred points, which `blocks` compares.  The
 separations of boxes and of points are made by the same operations in the same order, and rounding keeps order, so the counts are those of all pairs.
 """
 
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.bins import Bins
 from skylattice.functions.cells import with_nest
-from skylattice.operators.paircount import KINDS, _precedes, _prefixed, as_points, merge_copies, with_empty_bins
+from skylattice.operators.blocks import leaf_sums
+from skylattice.operators.paircount import KINDS, _prefixed, as_points, by_kind, merge_copies, with_empty_bins
 from skylattice.session import checkpointed
 
 FINEST = 29
@@ -93,7 +94,7 @@ def _separations() -> tuple[Column, Column]:
 
 
 def pyramid_sums(
-    points: DataFrame, bins: Bins, upper_closed: bool = False, kinds: tuple[str, ...] = KINDS, leaf_rows: int = 24, top: int = 1
+    points: DataFrame, bins: Bins, upper_closed: bool = False, kinds: tuple[str, ...] = KINDS, leaf_rows: int = 2048, top: int = 1
 ) -> PairSums:
     """The result of `paircount.pair_sums` for the same points, or for some of its `kinds`, without meeting every pair."""
     nodes, leaves = count_tree(points, leaf_rows, top)
@@ -138,13 +139,7 @@ def pyramid_sums(
     close = open_leaves[0] if open_leaves else pairs
     for part in open_leaves[1:]:
         close = close.union(part)
-    near = close.join(_prefixed(leaves, "a_"), keys_a).join(_prefixed(leaves, "b_"), keys_b)
-    near = near.withColumn("bin", bins.of_chord2(_squared([f"a_{axis} - b_{axis}" for axis in "xyz"]), upper_closed)).where("bin IS NOT NULL")
-    own_leaf, own_row = same, F.expr("a_x = b_x AND a_y = b_y AND a_z = b_z")
-    near = near.where(~own_leaf | own_row | F.expr(_precedes(["x", "y", "z"])))
-    times = F.when((own_leaf & own_row) | (F.col("a_is_random") != F.col("b_is_random")), 1).otherwise(2)
-    sums = [F.sum(times * F.col("a_weight") * F.col("b_weight")).alias("weighted"), F.sum(times * F.col("a_n") * F.col("b_n")).alias("pairs")]
-    found = near.groupBy(*group).agg(*sums)
+    found = by_kind(_near_sums(close, leaves, same, bins, upper_closed))
     for part in counted:
         found = found.unionByName(part)
     found = found.groupBy("kind", "bin", "region_1", "region_2").agg(F.sum("weighted").alias("weighted"), F.sum("pairs").alias("pairs"))
@@ -155,6 +150,23 @@ def pyramid_sums(
     return PairSums(found, account.groupBy("how").agg(F.sum("node_pairs").alias("node_pairs"), F.sum("pairs").alias("pairs")))
 
 
+#: Leaves that are compared in one group, as orders above theirs: up to 4^_ABOVE of them, with all their partners.
+_ABOVE = 2
+
+
+def _near_sums(close: DataFrame, leaves: DataFrame, same: Column, bins: Bins, upper_closed: bool) -> DataFrame:
+    """Sums of the pairs of points of the leaf pairs `close`.  A leaf goes once to every group that has partners of it, with the list of them."""
+    arrays = [F.col(f"_points.{name}").alias(name) for name in ("x", "y", "z", "weight", "n")]
+    blocks = leaves.groupBy(*TAGS, "node").agg(F.collect_list(F.struct("x", "y", "z", "weight", "n")).alias("_points")).select(*TAGS, "node", *arrays)
+    a, b = _prefixed(blocks, "a_"), _prefixed(blocks, "b_")
+    group, leaf = F.shiftright("a_node", 2 * _ABOVE).alias("group"), F.struct("a_is_random", "a_region", "a_node").alias("a_leaf")
+    # An unordered pair is met once, but within a leaf both orders are.
+    factor = F.when(same | (F.col("a_is_random") != F.col("b_is_random")), 1).otherwise(2).alias("factor")
+    partners = close.groupBy(group, "b_is_random", "b_region", "b_node").agg(F.collect_list(F.struct(leaf.alias("leaf"), factor)).alias("b_partners"))
+    b = partners.join(b, ["b_is_random", "b_region", "b_node"])
+    return leaf_sums(a.select(group, leaf, "*"), b, "group", bins, upper_closed)
+
+
 def met_nothing(points: DataFrame) -> DataFrame:
     return points.sparkSession.createDataFrame([], "how string, node_pairs bigint, pairs bigint")
 

@@ -74,3 +74,39 @@ def test_empty_and_single(spark):
     left, right = frame(spark, sphere(50, 61)), frame(spark, sphere(70, 62), copies=2)
     found, expected = (sorted(map(tuple, f(left, right, bins).collect())) for f in (pyramid.pyramid_cross, paircount.cross_histogram))
     assert found == expected
+
+
+def test_near_pairs_travel_as_blocks_and_not_as_points(spark):
+    """Open leaf pairs carry lists of partners: no join makes a row for each pair of points, and no node is opened for a few points."""
+    points, bins = paircount.as_points(frame(spark, sphere(3000, 70))), make_bins(6, 5.0, 40.0)
+    found = pyramid.pyramid_sums(points, bins)
+    account = {row["how"]: row["node_pairs"] for row in found.account.collect()}
+    assert sum(account.values()) < 3000
+    plan = found.sums._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan
+    compared(found.sums, paircount.pair_sums(points, bins))
+
+
+def test_weights_of_every_kind(spark):
+    """NULL, infinite and many different weights, copies and points without a position against plain sums."""
+    import numpy as np
+
+    v, rng = sphere(700, 71), np.random.default_rng(72)
+    weights = [None if i % 50 == 0 else float(rng.uniform(0.5, 2.0)) for i in range(700)]
+    rows = [(*map(float, p), w, 0, int(i % 3)) for i, (p, w) in enumerate(zip(v, weights))] + [(None, None, None, 1.0, 0, 0), (float("nan"), 0.0, 0.0, 1.0, 0, 1)]
+    points = spark.createDataFrame(rows, "x double, y double, z double, weight double, is_random int, region int")
+    bins = make_bins(5, 0.0, 50.0, "linear")
+    d2 = ((v[:, None, 0] - v[None, :, 0]) ** 2 + (v[:, None, 1] - v[None, :, 1]) ** 2) + (v[:, None, 2] - v[None, :, 2]) ** 2
+    at, w, expected = np.searchsorted(bins.edges2, d2, "right") - 1, np.array([0.0 if w is None else w for w in weights]), {}
+    for i, j in zip(*np.nonzero(at < 5)):
+        key = (int(at[i, j]), min(i % 3, j % 3), max(i % 3, j % 3))
+        one = expected.setdefault(key, [0.0, 0])
+        one[0] += w[i] * w[j]
+        one[1] += 1
+    for extra in (0, 1):  # a row without a position is a pair with itself
+        expected[(0, extra, extra)][0] += 1.0
+        expected[(0, extra, extra)][1] += 1
+    for hot_rows in (100, 250_000):
+        found = {(r.bin, r.region_1, r.region_2): (r.weighted, r.pairs) for r in paircount.pair_sums(points, bins, hot_rows=hot_rows).collect()}
+        assert {key: value[1] for key, value in found.items()} == {key: value[1] for key, value in expected.items()}
+        assert {key: value[0] for key, value in found.items()} == {key: pytest.approx(value[0]) for key, value in expected.items()}
