@@ -88,7 +88,7 @@ def test_near_pairs_travel_as_blocks_and_not_as_points(spark):
 
 
 def test_weights_of_every_kind(spark):
-    """NULL, infinite and many different weights, copies and points without a position against plain sums."""
+    """NULL and many different weights, and points without a position, against plain sums; no row for a bin without pairs."""
     import numpy as np
 
     v, rng = sphere(700, 71), np.random.default_rng(72)
