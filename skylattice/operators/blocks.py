@@ -1,6 +1,6 @@
 """Pair counts between groups of points that Spark has brought together, block by block.
 
-Within a group the points of one tag (`is_random`, `region`) are cut in blocks of at most BLOCK that lie together.  Two blocks whose separations all fall in one bin
+Crowds of two tags are counted by `strips`.  Else, within a group the points of one tag (`is_random`, `region`) are cut in blocks of at most BLOCK that lie together.  Two blocks whose separations all fall in one bin
 are counted by products, two outside all bins leave, and only the others are compared point by point, as matrices.  The products of a matrix are
 good to about 1e-15, kept in single precision; pairs that are not clear of an edge are computed again in the order in which `proximity.D2` adds, so bins are exact.
 """
@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from skylattice.functions.bins import Bins
+from skylattice.operators.strips import may_strip, strip_sums
 
 # The few functions below travel with the job, so that executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -112,11 +113,28 @@ class PairSums:
         one[2] += valued
 
     def meet(self, a: Blocks, b: Blocks, factor: np.ndarray) -> None:
-        """All pairs of blocks, each pair of points `factor[i, j]` times (0: not at all)."""
+        """All pairs of blocks, each pair of points `factor[i, j]` times (0: not at all); `factor` depends on the tags alone."""
+        factor = self._by_strips(a, b, factor)
         step = max(1, _AT_ONCE // max(1, len(b)))
         for first in range(0, len(a), step):
             self._meet(a, np.arange(first, min(len(a), first + step)), b, factor[first : first + step])
 
+    def _by_strips(self, a: Blocks, b: Blocks, factor: np.ndarray) -> np.ndarray:
+        """Adds up the tags that are crowded on both sides; the factors that are left."""
+        factor = factor.copy()
+        for tag_a in np.unique(a.tag):
+            for tag_b in np.unique(b.tag):
+                i, j = np.flatnonzero(a.tag == tag_a), np.flatnonzero(b.tag == tag_b)
+                times = int(factor[i[0], j[0]])
+                p, q = slice(a.starts[i[0]], a.starts[i[-1] + 1]), slice(b.starts[j[0]], b.starts[j[-1] + 1])
+                if not times or not (a.plain[i].all() and b.plain[j].all()) or not may_strip(a.at[p], a.parts[p], b.at[q], b.parts[q], self.edges):
+                    continue
+                below = strip_sums(a.at[p], a.parts[p], b.at[q], b.parts[q], self.edges, self.closed)
+                for bin_, (weighted, pairs, valued) in enumerate(below[1:] - below[:-1]):
+                    self._add(bin_, tag_a, tag_b, times, float(weighted), int(pairs), int(valued))
+                factor[i[0] : i[-1] + 1, j[0] : j[-1] + 1] = 0
+        return factor
+
     def _meet(self, a: Blocks, rows: np.ndarray, b: Blocks, factor: np.ndarray) -> None:
         least, most = 0.0, 0.0
         for k in range(3):
