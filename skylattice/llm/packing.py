@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import threading
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ from skylattice.llm.common import read, slices
 
 #: Bytes of words that a worker remembers in each of two generations, an entry being counted with its overhead; longer words are not remembered.
 MOST_BYTES, ENTRY_BYTES, LONGEST = 20_000_000, 190, 64
+#: A worker that goes on with other stages keeps the vocabulary and the words for so many seconds.
+KEPT_SECONDS = 5.0
 #: The rules under which blanks and line breaks part words, and a mark behind a letter is on its own: those of word_bpe_49k.json.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -121,6 +124,22 @@ def _encoder(path: str | None) -> Encoder:
     return Encoder(path)
 
 
+_leaving: list[threading.Timer] = []
+
+
+def _stay() -> None:
+    """Keep the encoder: a task has begun."""
+    while _leaving:
+        _leaving.pop().cancel()
+
+
+def _leave() -> None:
+    """Give the encoder back unless another task begins soon: what it has learned is worth more than a task's work."""
+    _leaving.append(threading.Timer(KEPT_SECONDS, _encoder.cache_clear))
+    _leaving[-1].daemon = True
+    _leaving[-1].start()
+
+
 @dataclass
 class Piece:
     row: object
@@ -229,6 +248,7 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _stay()
         encoder, packer, number, key_type = _encoder(vocabulary), Packer(window), TaskContext.get().partitionId() << 40, None
 
         def written(sequences: list[list[Piece]]) -> pa.RecordBatch:
@@ -256,8 +276,7 @@ def pack(
                     yield written(done)
         if key_type is not None:
             yield written(packer.finish())
-        # A worker that goes on with other stages keeps neither the vocabulary nor the words.
-        _encoder.cache_clear()
+        _leave()
         pa.default_memory_pool().release_unused()
 
     names = ["_key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids

@@ -1,7 +1,10 @@
+import functools
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -118,3 +121,25 @@ def test_every_placement_of_a_whole_table_has_the_least_sum_of_squares():
             packer.add(packing.Piece(0, 0, b"\0" * 4 * size, size))
         most_open = max(most_open, int(packer.level.sum()))
     assert packer.level.max() <= 4 and most_open < 1000
+
+
+def test_words_are_kept_from_task_to_task_and_given_back(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_SECONDS", 0.3)
+    monkeypatch.setattr(packing, "_encoder", functools.cache(lambda path: object()))
+    packing._stay()
+    first = packing._encoder(None)
+    packing._leave()
+    packing._stay()
+    time.sleep(0.6)
+    assert packing._encoder(None) is first
+    packing._leave()
+    time.sleep(0.6)
+    assert packing._encoder.cache_info().currsize == 0
+
+
+def test_a_second_task_of_a_worker_finds_the_encoder(spark, prose):
+    docs = spark.createDataFrame(rows([prose(i, 20) for i in range(40)]), SCHEMA).repartition(8)
+    packing.pack(docs).count()
+    made = docs.coalesce(1).mapInPandas(lambda parts: [pd.DataFrame({"n": [packing._encoder.cache_info().currsize]}) for _ in parts][:1], "n long")
+    packing.pack(docs.coalesce(1)).count()
+    assert made.collect()[0].n == 1
