@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.functions.cells import MAX_ORDER
 from skylattice.operators.coverage import coalesce, to_cell_runs, to_uniq
 
 
+def text_tasks(spark: SparkSession) -> int:
+    """Texts are short for what they say: the number of tasks that make or read them does not follow from the bytes."""
+    return 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def parse_coverage(texts: DataFrame, order: int = MAX_ORDER) -> DataFrame:
     """Text maps (`set_id`, `text`) to merged ranges at order 29.  The text need not be well formed.
 
@@ -16,6 +21,7 @@ def parse_coverage(texts: DataFrame, order: int = MAX_ORDER) -> DataFrame:
     """
     # Two kinds of token are looked for in the text as it stands: a number with a slash or colon behind it, and a number with
     # perhaps a second one behind a dash.  Whatever else stands between them does not matter.
+    texts = texts.repartition(text_tasks(texts.sparkSession), F.xxhash64("set_id", "text"))
     marker, value = r"(\d+)\"?\s*[/:]", r"(\d+)(?:\s*-\s*(\d+))?"
     sections = F.split("text", rf"(?={marker})(?<!\d)")
     tokens = texts.select("set_id", F.explode(sections).alias("section")).select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.cells import npix, with_nest
 from skylattice.operators import coverage
-from skylattice.sources.coverage_text import PIECE, format_coverage, join_pieces, parse_coverage
+from skylattice.sources.coverage_text import PIECE, format_coverage, join_pieces, parse_coverage, text_tasks
 from skyqueries import duck
 from skyqueries.fixtures import (
     COVER_ORDER, COVER_SQL, cover, cover_pixels_sql, cover_runs, islands_sql, r_sql, rounded, sky, sky_sql, table,
@@ -234,7 +234,8 @@ def _texts(spark, sf_dir, json):
         fine = F.expr("CASE WHEN line < 4 THEN concat(cast(lo AS string), '-', cast(lo + line AS string)) END")
         coarse = F.expr("CASE WHEN line >= 4 THEN cast(lo div 4 AS string) END")
         text = "concat('9/', concat_ws(',', collect_list(fine)), ' 8/', concat_ws(' ', collect_list(coarse)))"
-    return runs.select("set_id", fine.alias("fine"), coarse.alias("coarse")).groupBy("set_id").agg(F.expr(text).alias("text"))
+    runs = runs.select("set_id", fine.alias("fine"), coarse.alias("coarse")).repartition(text_tasks(spark), "set_id")
+    return runs.groupBy("set_id").agg(F.expr(text).alias("text"))
 
 
 _TEXT_RUNS = f"(SELECT l_suppkey AS set_id, l_linenumber AS line, (l_orderkey * 1009 + l_partkey * 31) % {npix(9) - 80} AS lo FROM lineitem)"

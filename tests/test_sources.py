@@ -191,3 +191,15 @@ def test_random_counts_of_a_total_in_kept_cells(spark):
     assert abs(sum((a - b) ** 2 / (a + b) for a, b in pairs) - len(pairs)) < 6 * (2 * len(pairs)) ** 0.5
     with pytest.raises(ValueError):
         randoms.random_counts_of_total(spark, 3, -1)
+
+
+def test_short_texts_are_read_by_many_tasks(spark, monkeypatch):
+    """A partition of texts may say far more than it holds: texts are dealt anew before they are read."""
+    from skylattice.sources import coverage_text
+
+    texts = spark.createDataFrame([(i % 3, f"5/{7 * i},{7 * i + 2}-{7 * i + 4}") for i in range(200)] + [(None, "3/1"), (1, None)], "set_id long, text string").coalesce(1)
+    seen, plain = [], coverage_text.coalesce
+    monkeypatch.setattr(coverage_text, "coalesce", lambda ranges, order: seen.append(ranges) or plain(ranges, order))
+    coverage_text.parse_coverage(texts, 5)
+    assert seen[0].rdd.getNumPartitions() == coverage_text.text_tasks(spark) > 1
+    assert seen[0].where("set_id IS NULL").count() == 1 and seen[0].count() == 401
