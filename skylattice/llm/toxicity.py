@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import held_out, keep_about, map_texts, read, slices
+from skylattice.llm.common import give_back, held_out, keep_about, map_texts, read, slices
 
 SYMBOLS = 32
 LENGTH, MOST_GAPS, DECAY = 4, 2, 0.75
@@ -236,7 +236,11 @@ def fit(
     sample = sorted((row["_key"], row["_label"], bytes(row["codes"])) for row in chosen.mapInArrow(coded, "_key string, _label int, codes binary").collect())
     texts = [np.frombuffer(codes, np.uint8) for _, _, codes in sample]
     labels = np.array([one for _, one, _ in sample], float)
-    return _learn(texts, labels, landmarks, rounds, cost, np.random.default_rng(seed))
+    del sample
+    model = _learn(texts, labels, landmarks, rounds, cost, np.random.default_rng(seed))
+    del texts
+    give_back()
+    return model
 
 
 def _learn(texts: list[np.ndarray], labels: np.ndarray, n_landmarks: int, rounds: int, cost: float, rng: np.random.Generator) -> ToxicityModel:

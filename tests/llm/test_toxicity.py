@@ -83,3 +83,11 @@ def test_edges(spark, edges, nothing):
     assert toxicity.score(nothing, none).count() == 0
     assert {row.score for row in toxicity.score(edges, none).collect()} == {0.0}
     assert toxicity.sampled_labels(nothing.selectExpr("doc_id", "1 AS toxic")).count() == 0
+
+
+def test_a_driver_that_has_learned_gives_its_memory_back(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: given.append(1))
+    docs = spark.createDataFrame([(i, ("you rotten fool " if i % 2 else "a quiet green field ") * (3 + i % 5), i % 2) for i in range(40)], "doc_id long, text string, toxic int")
+    toxicity.fit(docs, landmarks=20)
+    assert given
