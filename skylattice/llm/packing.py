@@ -25,10 +25,10 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm.common import read, slices
+from skylattice.llm.common import give_back, read, slices
 
 #: Bytes of words that a worker remembers in each of two generations, an entry being counted with its overhead; longer words are not remembered.
-MOST_BYTES, ENTRY_BYTES, LONGEST = 20_000_000, 190, 64
+MOST_BYTES, ENTRY_BYTES, LONGEST = 56_000_000, 190, 64
 #: A worker that goes on with other stages keeps the vocabulary and the words for so many seconds.
 KEPT_SECONDS = 5.0
 #: The rules under which blanks and line breaks part words, and a mark behind a letter is on its own: those of word_bpe_49k.json.
@@ -133,9 +133,14 @@ def _stay() -> None:
         _leaving.pop().cancel()
 
 
+def _forget() -> None:
+    _encoder.cache_clear()
+    give_back()
+
+
 def _leave() -> None:
-    """Give the encoder back unless another task begins soon: what it has learned is worth more than a task's work."""
-    _leaving.append(threading.Timer(KEPT_SECONDS, _encoder.cache_clear))
+    """Give the encoder back unless another task begins soon, which would learn the same words again."""
+    _leaving.append(threading.Timer(KEPT_SECONDS, _forget))
     _leaving[-1].daemon = True
     _leaving[-1].start()
 
