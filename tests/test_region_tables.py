@@ -132,3 +132,20 @@ def test_malformed_expressions(spark):
     assert [k for k in bad if bad[k] is None] == [1] and bad[5] == "operands are left over" and bad[8] == "a step lacks operands" and bad[9] == "unknown step"
     with pytest.raises(PySparkException, match="region 4: a step lacks operands"):
         T.points_in_expressions(points(spark, 10), regions(spark, rows[3:4]), 3).collect()
+
+
+@pytest.mark.parametrize("search", ["polygons", "expressions"])
+def test_points_do_not_go_through_the_driver(spark, search):
+    # Of a range the optimizer knows the size, and that it is small.
+    points = spark.range(3).selectExpr("id", "IF(id = 0, 1D, IF(id = 1, 0D, 0.6D)) AS x", "IF(id = 1, 1D, 0D) AS y", "IF(id = 2, 0.8D, 0D) AS z")
+    if search == "polygons":
+        corner = "struct(1D AS x, {}D AS y, {}D AS z)"
+        regions = spark.range(1).selectExpr("id AS polygon_id", f"array({corner.format(-0.1, -0.1)}, {corner.format(0.1, -0.1)}, {corner.format(0.0, 0.2)}) AS vertices")
+        found = T.points_in_polygons(points, regions, order=3)
+    else:
+        regions = spark.range(1).selectExpr("id AS region_id", "array(struct('cap' AS op, 1D AS x, 0D AS y, 0D AS z, 0.2D AS radius)) AS steps")
+        found = T.points_in_expressions(points, regions, order=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_part" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert [row.id for row in found.collect()] == [0]
