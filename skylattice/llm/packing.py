@@ -29,6 +29,8 @@ from skylattice.llm.common import give_back, read, slices
 
 #: Bytes of words that a worker remembers in each of two generations, an entry being counted with its overhead; longer words are not remembered.
 MOST_BYTES, ENTRY_BYTES, LONGEST = 56_000_000, 190, 64
+#: New words are encoded so many in one text, parted by a digit, which is one id of its own under the rules below.
+TOGETHER, DIGIT = 64, "0"
 #: A worker that goes on with other stages keeps the vocabulary and the words for so many seconds.
 KEPT_SECONDS = 5.0
 #: The rules under which blanks and line breaks part words, and a mark behind a letter is on its own: those of word_bpe_49k.json.
@@ -55,10 +57,25 @@ class Encoder:
         self._old: dict[str, bytes] = {}
         self._used = 0
         self._parts_marks: dict[str, bool] = {}
+        self._between = array("I", self._tokenizer.encode(DIGIT, add_special_tokens=False).ids)[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", found.ids).tobytes() for found in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word.  Words without the separator's digit go as one text, since a call costs more than a word."""
+        plain = [word for word in words if DIGIT not in word and "<|" not in word]
+        found: dict[str, bytes] = {}
+        for start in range(0, len(plain), TOGETHER * 256):
+            groups = [plain[i : i + TOGETHER] for i in range(start, min(start + TOGETHER * 256, len(plain)), TOGETHER)]
+            for group, ids in zip(groups, self._encode([f" {DIGIT} ".join(group) for group in groups])):
+                at = np.flatnonzero(np.frombuffer(ids, "<u4") == self._between) * 4
+                if len(at) == len(group) - 1:
+                    found.update(zip(group, map(ids.__getitem__, map(slice, [0, *(at + 4).tolist()], [*at.tolist(), len(ids)]))))
+        others = [word for word in words if word not in found]
+        found.update(zip(others, self._encode(others)))
+        return [found[word] for word in words]
+
     def _recalled(self, words: set[str]) -> set[str]:
         """The words that are not remembered; those of the older generation are carried to the younger."""
         new = words.difference(self._young)
@@ -76,34 +93,39 @@ class Encoder:
             return self._encode([text or "" for text in texts.to_pylist()])
         parted = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
         coded = parted.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new, missing = self._recalled(set(words)), []
-        if new:
-            rooted = {word: self._root(word) for word in new}
-            missing = list(self._recalled({one for two in rooted.values() for one in two}))
-            self._add(dict(zip(missing, self._encode(missing))))
-            self._add({word: self._young[root] + self._young[marks] for word, (root, marks) in rooted.items() if word != root})
-        known = list(map(self._young.__getitem__, words))
-        for word in {word for word in (*new, *missing) if len(word) > LONGEST}:
-            self._used -= ENTRY_BYTES + 2 * len(word) + len(self._young.pop(word))
+        roots, marks, mark_of = self._parted_marks(coded.dictionary)
+        root_of, roots = roots.indices.to_numpy(), roots.dictionary.to_numpy(zero_copy_only=False).tolist()
+        parts = [*roots, *marks]
+        missing = list(self._recalled(set(parts)))
+        self._add(dict(zip(missing, self._encode_words(missing))))
+        known = list(map(self._young.__getitem__, parts))
+        for part in [part for part in missing if len(part) > LONGEST]:
+            self._used -= ENTRY_BYTES + 2 * len(part) + len(self._young.pop(part))
         if self._used > MOST_BYTES:
             self._young, self._old, self._used = {}, self._young, 0
-        # The ids of the different words, laid out in the order of the texts.
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        flat, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
-        of = coded.indices.to_numpy()
-        ends = np.concatenate(([0], np.cumsum(sizes[of])))
-        ids = flat[np.repeat(starts[of] - ends[:-1], sizes[of]) + np.arange(ends[-1])].tobytes()
+        # The ids of the different words, each a root's and its marks', then laid out in the order of the texts.
+        flat, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, ends = _laid_out(flat, sizes, np.stack((root_of, mark_of + len(roots)), axis=1).ravel())
+        flat, ends = _laid_out(flat, np.diff(ends[::2]), coded.indices.to_numpy())
+        ids = flat.tobytes()
         bounds = (ends[np.concatenate(([0], np.cumsum(parted.value_lengths().to_numpy())))] * 4).tolist()
         return [ids[first:last] for first, last in zip(bounds, bounds[1:])]
 
-    def _root(self, word: str) -> tuple[str, str]:
-        """(the word in small letters without final marks, the marks): their ids in a row are the word's."""
-        root = word.lower() if word.isascii() else word
-        size = len(root.rstrip(punctuation))
-        if 0 < size < len(root) and "<|" not in root and self._stands_alone(root[size - 1]):
-            return root[:size], root[size:]
-        return root, ""
+    def _parted_marks(self, words: pa.Array) -> tuple[pa.DictionaryArray, list[str], np.ndarray]:
+        """(words in small letters without final marks, the different marks, which of them each word has): a root's ids and its marks' in a row are the word's."""
+        words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        roots = pc.ascii_rtrim(words, punctuation)
+        cut = pc.and_(pc.greater(pc.binary_length(roots), 0), pc.less(pc.binary_length(roots), pc.binary_length(words)))
+        cut = pc.and_not(cut, pc.match_substring(words, "<|"))
+        ends = pc.if_else(cut, pc.utf8_slice_codeunits(roots, -1), "").dictionary_encode()
+        alone = pa.array([bool(one) and self._stands_alone(one) for one in ends.dictionary.to_pylist()], pa.bool_())
+        cut = alone.take(ends.indices)
+        places = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        sizes = pc.utf8_length(roots.take(pa.array(places))).to_pylist()
+        marks: dict[str, int] = {"": 0}
+        mark_of = np.zeros(len(words), np.int64)
+        mark_of[places] = [marks.setdefault(word[size:], len(marks)) for word, size in zip(words.take(pa.array(places)).to_pylist(), sizes)]
+        return pc.if_else(cut, roots, words).dictionary_encode(), list(marks), mark_of
 
     def _stands_alone(self, character: str) -> bool:
         """Whether a mark behind this character is no part of its word: the character may have become another by the rules."""
@@ -115,6 +137,13 @@ class Encoder:
         return known
 
 
+def _laid_out(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs of these sizes, which lie one behind the other, in this order; where each begins, and the end)."""
+    ends = np.concatenate(([0], np.cumsum(sizes[order])))
+    starts = np.cumsum(sizes) - sizes
+    return flat[np.repeat(starts[order] - ends[:-1], sizes[order]) + np.arange(ends[-1])], ends
+
+
 @functools.cache
 def _encoder(path: str | None) -> Encoder:
     if path is None:

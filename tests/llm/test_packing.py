@@ -143,3 +143,14 @@ def test_a_second_task_of_a_worker_finds_the_encoder(spark, prose):
     made = docs.coalesce(1).mapInPandas(lambda parts: [pd.DataFrame({"n": [packing._encoder.cache_info().currsize]}) for _ in parts][:1], "n long")
     packing.pack(docs.coalesce(1)).count()
     assert made.collect()[0].n == 1
+
+
+def test_new_words_are_encoded_many_in_one_text(tokenizer, monkeypatch):
+    encoder, taken = packing.Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    plain = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda texts: taken.extend(texts) or plain(texts))
+    words = [f"{a}{b}{c}" for a in "abcdef" for b in "éou" for c in "nrst"]
+    texts = [" ".join(words), " ".join(word.upper() + ",." for word in words if word.isascii()), "a0b 10,00 0 <|endoftext|>. x<|endoftext|>0\t1 J̌. ́x ... 'll"]
+    for _ in range(2):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert len(taken) < len(words) / 4
