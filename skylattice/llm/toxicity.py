@@ -27,6 +27,8 @@ from skylattice.llm.common import give_back, held_out, keep_about, map_texts, re
 SYMBOLS = 32
 LENGTH, MOST_GAPS, DECAY = 4, 2, 0.75
 WINDOW, STEP = 24, 6
+#: Rows of a matrix that the driver holds in double precision at once, beside the matrix itself.
+PART = 512
 #: Signs that stand for letters in disguised words (fixed values).
 LOOKS_LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 #: Accented letters that have a class of their own; others are read without their accent.
@@ -149,17 +151,27 @@ class ToxicityModel:
 def _kernel(windows: list[np.ndarray], landmarks: list[np.ndarray]) -> np.ndarray:
     """Kernel of every window with every landmark."""
     parts = [window_features(mark) for mark in landmarks]
-    features = np.unique(np.concatenate([keys for keys, _ in parts]))
-    dense = np.zeros((len(features) + 1, len(landmarks)), np.float32)
-    for column, (keys, weights) in enumerate(parts):
-        dense[np.searchsorted(features, keys), column] = weights
+    every = np.concatenate([keys for keys, _ in parts])
+    order = np.argsort(every, kind="stable")
+    # The landmarks that have a feature, feature by feature: a matrix of both would be some hundred times as large.
+    features, starts = np.unique(every[order], return_index=True)
+    counts = np.diff(np.append(starts, len(every)))
+    columns = np.repeat(np.arange(len(landmarks)), [len(keys) for keys, _ in parts])[order]
+    entries = np.concatenate([weights for _, weights in parts]).astype(np.float32)[order]
+    dense = np.zeros((len(GAPS) * max(map(len, windows), default=0), len(landmarks)), np.float32)
     found = np.zeros((len(windows), len(landmarks)), np.float32)
     for row, window in enumerate(windows):
         keys, weights = window_features(window)
         place = np.minimum(np.searchsorted(features, keys), len(features) - 1)
         good = features[place] == keys
         if good.any():
-            found[row] = weights[good].astype(np.float32) @ dense[place[good]]
+            place = place[good]
+            times = counts[place]
+            at = np.repeat(starts[place] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            lines = np.repeat(np.arange(len(place)), times)
+            dense[lines, columns[at]] = entries[at]
+            found[row] = weights[good].astype(np.float32) @ dense[: len(place)]
+            dense[lines, columns[at]] = 0
     return found
 
 
@@ -172,11 +184,16 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float
         left, right = ridge.copy(), np.zeros(len(w))
         for start in range(0, len(x), 4000):
             part, side = x[start : start + 4000], y[start : start + 4000]
-            active = side * (part @ w) < 1
-            near = part[active].astype(np.float64)
-            weighted = near.T * (cost * weight[start : start + 4000][active])
-            left += weighted @ near
-            right += weighted @ side[active]
+            margin = np.concatenate([part[i : i + PART] @ w for i in range(0, len(part), PART)])
+            active = np.flatnonzero(side * margin < 1)
+            near = np.empty((len(active), len(w)))
+            for i in range(0, len(active), PART):
+                near[i : i + PART] = part[active[i : i + PART]]
+            share = cost * weight[start : start + 4000][active]
+            for i in range(0, len(w), PART // 4):
+                weighted = near.T[i : i + PART // 4] * share
+                left[i : i + PART // 4] += weighted @ near
+                right[i : i + PART // 4] += weighted @ side[active]
         new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
@@ -279,9 +296,14 @@ def _learn(texts: list[np.ndarray], labels: np.ndarray, n_landmarks: int, rounds
         root = vectors[:, good] / np.sqrt(values[good])
         x = np.ones((len(windows), root.shape[1] + 1), np.float32)
         for start in range(0, len(windows), 4000):
-            x[start : start + 4000, :-1] = _kernel(windows[start : start + 4000], marks) @ root
+            found = _kernel(windows[start : start + 4000], marks)
+            for i in range(0, len(found), PART):
+                x[start + i : start + min(i + PART, len(found)), :-1] = found[i : i + PART] @ root
+        del found
         weight = np.where(y > 0, len(y) / (2 * len(toxic)), len(y) / (2 * len(harmless)))
         w = _squared_hinge(x, y, weight, cost / len(y) * 100)
+        del x  # or the next round's would be made beside it
+        give_back()
         share = root @ w[:-1]
         table = np.zeros(FEATURES, np.float64)
         for mark, part in zip(marks, share):

@@ -91,3 +91,21 @@ def test_a_driver_that_has_learned_gives_its_memory_back(spark, monkeypatch):
     docs = spark.createDataFrame([(i, ("you rotten fool " if i % 2 else "a quiet green field ") * (3 + i % 5), i % 2) for i in range(40)], "doc_id long, text string, toxic int")
     toxicity.fit(docs, landmarks=20)
     assert given
+
+
+def test_the_driver_holds_no_matrix_of_features_and_landmarks():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    windows = [rng.integers(0, 32, toxicity.WINDOW).astype(np.uint8) for _ in range(300)]
+    tracemalloc.start()
+    found = toxicity._kernel(windows[:50], windows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for row, column in ((0, 0), (3, 7), (49, 299)):
+        keys, weights = toxicity.window_features(windows[row])
+        table = np.zeros(toxicity.FEATURES)
+        others, theirs = toxicity.window_features(windows[column])
+        table[others] = theirs
+        assert abs(found[row, column] - weights @ table[keys]) < 1e-4
+    assert peak < 15e6
