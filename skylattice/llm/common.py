@@ -44,6 +44,13 @@ def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBat
         start = stop
 
 
+def laid_out(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs of these sizes, which lie one behind the other, in this order; where each begins, and the end)."""
+    ends = np.concatenate(([0], np.cumsum(sizes[order])))
+    starts = np.cumsum(sizes) - sizes
+    return flat[np.repeat(starts[order] - ends[:-1], sizes[order]) + np.arange(ends[-1])], ends
+
+
 def give_back() -> None:
     """Return unused memory of this process to the system: what a driver has learned from stays with it otherwise."""
     pa.default_memory_pool().release_unused()

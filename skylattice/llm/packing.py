@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm.common import give_back, read, slices
+from skylattice.llm.common import give_back, laid_out, read, slices
 
 #: Bytes of words that a worker remembers in each of two generations, an entry being counted with its overhead; longer words are not remembered.
 MOST_BYTES, ENTRY_BYTES, LONGEST = 56_000_000, 190, 64
@@ -105,8 +105,8 @@ class Encoder:
             self._young, self._old, self._used = {}, self._young, 0
         # The ids of the different words, each a root's and its marks', then laid out in the order of the texts.
         flat, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
-        flat, ends = _laid_out(flat, sizes, np.stack((root_of, mark_of + len(roots)), axis=1).ravel())
-        flat, ends = _laid_out(flat, np.diff(ends[::2]), coded.indices.to_numpy())
+        flat, ends = laid_out(flat, sizes, np.stack((root_of, mark_of + len(roots)), axis=1).ravel())
+        flat, ends = laid_out(flat, np.diff(ends[::2]), coded.indices.to_numpy())
         ids = flat.tobytes()
         bounds = (ends[np.concatenate(([0], np.cumsum(parted.value_lengths().to_numpy())))] * 4).tolist()
         return [ids[first:last] for first, last in zip(bounds, bounds[1:])]
@@ -137,13 +137,6 @@ class Encoder:
         return known
 
 
-def _laid_out(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(runs of these sizes, which lie one behind the other, in this order; where each begins, and the end)."""
-    ends = np.concatenate(([0], np.cumsum(sizes[order])))
-    starts = np.cumsum(sizes) - sizes
-    return flat[np.repeat(starts[order] - ends[:-1], sizes[order]) + np.arange(ends[-1])], ends
-
-
 @functools.cache
 def _encoder(path: str | None) -> Encoder:
     if path is None:

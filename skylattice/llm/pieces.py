@@ -10,22 +10,21 @@ off side by side in arrays, a step of each at a time; a long part has a heap of
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import read, slices
+from skylattice.llm.common import laid_out, read, slices
 
 #: Bytes of parts that a worker remembers in each of two generations, an entry being counted with its overhead.
 MOST_BYTES, ENTRY_BYTES, LONGEST = 128_000_000, 170, 64
 _PLACE = (1 << 32) - 1
-_PART = re.compile("▁+[^▁\n]*|\n|[^▁\n]+")
 _NEVER = np.int64(1 << 40)
 
 
@@ -193,8 +192,7 @@ class PieceCoder:
             if self._used > MOST_BYTES:
                 self._young, self._old, self._used = {}, self._young, 0
 
-    def _ids(self, parts: set[str], whole: bool = True) -> dict[str, bytes]:
-        """The ids of parts; `whole` ones may still end in marks that no piece joins to what is before them."""
+    def _ids(self, parts: set[str]) -> dict[str, bytes]:
         found: dict[str, bytes] = {}
         new = []
         for part in parts:
@@ -206,17 +204,7 @@ class PieceCoder:
                     continue
                 self._keep(part, ids)
             found[part] = ids
-        if whole:
-            cut = []
-            for part in new:
-                size = len(part.rstrip(punctuation))
-                if 0 < size < len(part) and part[size - 1 : size + 1] not in self.adjacent:
-                    cut.append((part, part[:size], part[size:]))
-            roots = self._ids({one for _, *two in cut for one in two}, False) if cut else {}
-            made = {part: roots[root] + roots[marks] for part, root, marks in cut}
-            new = [part for part in new if part not in made]
-        else:
-            made = {}
+        made: dict[str, bytes] = {}
         short = [part for part in new if len(part) <= LONGEST]
         for i in range(0, len(short), 1 << 15):
             some = short[i : i + (1 << 15)]
@@ -227,12 +215,54 @@ class PieceCoder:
         found.update(made)
         return found
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _parted(self, texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+        """(the parts of all texts, the first of each text and the end): a part is a line break, or blanks with what follows them up to the next."""
+        spaced = pc.replace_substring(texts.fill_null(""), " ", "▁")
+        spaced = pc.if_else(pc.equal(spaced, ""), "", pc.binary_join_element_wise("▁", spaced, ""))
+        bounds = np.frombuffer(spaced.buffers()[1], np.int32)[spaced.offset : spaced.offset + len(spaced) + 1]
+        raw = spaced.buffers()[2] if bounds[-1] else pa.py_buffer(b"")
+        points = np.frombuffer(raw, np.uint8)[: bounds[-1]]
+        blank = np.zeros(len(points), bool)
+        blank[:-2] = (points[:-2] == 0xE2) & (points[1:-1] == 0x96) & (points[2:] == 0x81)
+        first, line = blank.copy(), points == 10
+        first[3:] &= ~blank[:-3]
+        first |= line
+        first[1:] |= line[:-1]
+        first[: bounds[0]] = False
+        first[bounds[:-1][np.diff(bounds) > 0]] = True
+        starts = np.flatnonzero(first)
+        return pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, bounds[-1]).astype(np.int32)), raw), np.searchsorted(starts, bounds)
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """The ids of each text with the end id last; None is an empty text."""
-        end = np.array([self.end], "<i4").tobytes()
-        parted = [_PART.findall("▁" + text.replace(" ", "▁")) if text else [] for text in texts]
-        known = self._ids({part for parts in parted for part in parts})
-        return [np.frombuffer(b"".join([*map(known.__getitem__, parts), end]), "<i4") for parts in parted]
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not len(texts):
+            return []
+        parts, firsts = self._parted(texts)
+        coded = parts.dictionary_encode()
+        # Final marks that no piece joins to what is before them are on their own.
+        words = coded.dictionary
+        roots = pc.ascii_rtrim(words, punctuation)
+        places = np.flatnonzero(pc.and_(pc.greater(pc.binary_length(roots), 0), pc.less(pc.binary_length(roots), pc.binary_length(words))).to_numpy(zero_copy_only=False))
+        units = words.to_numpy(zero_copy_only=False).tolist()
+        marks: dict[str, int] = {"": 0}
+        mark_of = np.zeros(len(units), np.int64)
+        for place, size in zip(places.tolist(), pc.utf8_length(roots.take(pa.array(places))).to_pylist()):
+            part = units[place]
+            if part[size - 1 : size + 1] not in self.adjacent:
+                units[place] = part[:size]
+                mark_of[place] = marks.setdefault(part[size:], len(marks))
+        rooted = pa.array(units, pa.string()).dictionary_encode()
+        units = [*rooted.dictionary.to_numpy(zero_copy_only=False).tolist(), *marks]
+        known = {**self._ids(set(units) - {""}), "": b""}
+        raw = [*map(known.__getitem__, units), np.array([self.end], "<i4").tobytes()]
+        flat, sizes = np.frombuffer(b"".join(raw), "<i4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        # Each part is a root and marks, and behind the parts of a text there is the end id.
+        whole = np.append(np.stack((rooted.indices.to_numpy(), mark_of + len(rooted.dictionary)), axis=1).ravel(), (len(raw) - 1, len(rooted.dictionary)))
+        flat, ends = laid_out(flat, sizes, whole)
+        flat, ends = laid_out(flat, np.diff(ends[::2]), np.insert(coded.indices.to_numpy(), firsts[1:], len(words)))
+        bounds = ends[firsts + np.arange(len(firsts))].tolist()
+        return [flat[first:last] for first, last in zip(bounds, bounds[1:])]
 
     def decode(self, rows: list[np.ndarray]) -> list[str]:
         """The text of each row of ids; bytes that are no UTF-8 become U+FFFD each."""
@@ -301,16 +331,16 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, c
         for batch in batches:
             for part in slices(batch, text, 1_000_000):
                 texts = [one or "" for one in part.column(text).to_pylist()]
-                ids = own.encode(texts)
+                ids = own.encode(part.column(text))
                 decoded = own.decode(ids)
                 offsets = np.concatenate(([0], np.cumsum([len(one) for one in ids]))).astype(np.int32)
                 columns = [part.column(name) for name in names]
                 columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))), pa.array(decoded, pa.string())]
                 if checked:
-                    theirs = own.library.encode(texts, add_eos=True, num_threads=1)
+                    theirs = own.library.encode(texts, add_eos=True, num_threads=1, out_type="numpy")
                     again = own.library.decode(theirs, num_threads=1)
                     columns.append(pa.array([
-                        len(a) == len(b) and a.tolist() == b and x == y for a, b, x, y in zip(ids, theirs, decoded, again)
+                        np.array_equal(a, b) and x == y for a, b, x, y in zip(ids, theirs, decoded, again)
                     ], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=names + added)
 

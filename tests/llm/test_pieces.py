@@ -70,3 +70,15 @@ def test_table(spark, edges, nothing):
     assert encode(edges, checked=False).columns == [name for name in edges.columns if name != "text"] + ["ids", "decoded"]
     with pytest.raises(ValueError):
         encode(edges.withColumnRenamed("rank", "ids"))
+
+
+def test_a_part_and_its_final_marks_are_remembered_apart():
+    import pyarrow as pa
+
+    own = __import__("skylattice.llm.pieces", fromlist=["PieceCoder"]).PieceCoder(__import__("public_tokenizers").path("piece_bpe_32k.model"))
+    marked = [f"word{i}{mark}" for i in "abc" for mark in (".%%", ",%%", "")]
+    texts = [" ".join(marked), None, "", "\n\n", "▁", *HARD, "\nfoo  bar\n baz\n▁▁"]
+    theirs = own.library.encode([text or "" for text in texts], add_eos=True)
+    assert [one.tolist() for one in own.encode(pa.array(["x", *texts, "y"]).slice(1, len(texts)))] == theirs
+    assert "▁worda" in own._young and "▁worda.%%" not in own._young
+    assert own.encode([]) == [] and [one.tolist() for one in own.encode([None])] == [[own.end]]
