@@ -73,13 +73,13 @@ def test_a_crowd_in_one_place():
     assert list(sizes) == [300_000 * yes for yes in inside] + [0] and sizes[2] == 300_000
 
 
-def test_lists_are_of_bounded_size(monkeypatch):
+def test_batches_are_of_bounded_size(monkeypatch):
     monkeypatch.setattr(W, "_ROWS", 100)
     cells = in_cell(5000, 3, 5)
     middle = np.array(W.centres(3, np.array([5]))).ravel()
     batch = pa.RecordBatch.from_arrays([pa.array([[cap(middle, 0.05)], [cap(middle, 0.02)], [cap(middle, 0.03)]], STEPS)], ["w0"])
-    parts = list(W._lists(W.met(W.Expressions(batch), cells), [pa.array(np.arange(5000))], False))
-    got = [(int(r), int(p)) for row, (lists,) in parts for r, points in zip(row, lists.to_pylist()) for p in points]
+    parts = list(W._rows(W.met(W.Expressions(batch), cells), [pa.array(np.arange(5000))], False))
+    got = [(int(r), int(p)) for row, (points,) in parts for r, p in zip(row, points.to_pylist(), strict=True)]
     cosine = np.stack(cells.at, axis=1) @ middle
     assert len(parts) > 10 and sorted(got) == [(r, int(p)) for r, radius in enumerate((0.05, 0.02, 0.03)) for p in np.flatnonzero(cosine > math.cos(radius))]
 
@@ -108,5 +108,41 @@ def test_crowds_on_both_sides_are_cut(spark):
     balls = W.dealt(points, W.balls(0.1, 0.01), 2, ["id"], [F.col(v) for v in "xyz"])
     cut = W.groups(placed, balls, 100).collect()
     assert max(row._parts for row in cut) == 30 and max(row._strips for row in cut) == 30
-    found = W.unrolled(W.met_lists(placed, balls, W.balls(0.1, 0.01), 2, 100, 8, valued=True, strips=True), ["a"], ["b", "d2"])
+    found = W.met_rows(placed, balls, W.balls(0.1, 0.01), 2, 100, 8, valued=True, strips=True).toDF("a", "b", "d2")
     assert found.groupBy("a", "b").count().groupBy("count").count().collect() == [(1, 9_000_000)]
+
+
+@pytest.mark.parametrize("radius", [1e-4, 0.3, 3.2])
+def test_walked_pairs_are_all_pairs(spark, radius):
+    from skylattice.operators.proximity import within_radius
+
+    def table(n, seed):
+        at = np.vstack([sphere(n, seed), sphere(n, seed + 1) * 1e-4 + [0.0, 0.6, 0.8]])
+        at = at / np.linalg.norm(at, axis=1, keepdims=True)
+        rows = [(i, *map(float, v), f"n{i % 5}") for i, v in enumerate(at)] + [(-1, None, 0.0, 1.0, "none"), (-2, math.nan, 0.0, 1.0, "none")]
+        return spark.createDataFrame(rows, "id int, x double, y double, z double, `the name` string")
+
+    a, b = table(150, 3), table(120, 5)
+    walked, plain = (within_radius(a, b, radius, hot, walk=walk) for hot, walk in ((20, True), (None, False)))
+    assert walked.columns == plain.columns
+    assert sorted(map(tuple, walked.collect())) == sorted(map(tuple, plain.collect())) != []
+    few = within_radius(a, b, radius, walk=True, columns=["the name", "id"])
+    assert few.columns == ["a_the name", "a_id", "b_the name", "b_id", "d2"] and few.count() == plain.count()
+    assert within_radius(a, b, radius, columns=["id"]).columns == ["a_id", "b_id", "d2"]
+
+
+def test_few_copies_are_sent(spark):
+    """Rows that meet at 3 degrees: before, 6.8 and 2.7 copies of the two sides at 60 times sf0.1, where cubes hold more than 2,000 rows."""
+    at = spark.createDataFrame([tuple(map(float, v)) for v in sphere(20_000, 9)], "x double, y double, z double")
+    sent = W.dealt(at, W.balls(math.radians(3.0), 0.003), 2, ["x"], [F.col(v) for v in "xyz"])
+    placed = W.placed(at, 2, ["x"])
+    assert sent.count() < 3 * 20_000
+    assert {(row._parts, row._strips) for row in W.groups(placed, sent, 20).collect()} == {(1, 1)}
+
+
+def test_rounding_through_whole_numbers_is_rounding(spark):
+    from skyqueries.fixtures import rounded, rounded_often
+
+    values = np.concatenate([np.random.default_rng(4).uniform(0, 0.003, 20_000), (np.arange(2000) + 0.5) * 1e-9, np.arange(2000) * 1e-9, [-0.0, -1e-12, -2.5e-9, 5e3, -5e3, 1e300]])
+    rows = spark.createDataFrame([(float(v),) for v in values] + [(None,), (math.nan,), (math.inf,)], "d2 double")
+    assert rows.where(~rounded("d2", 9).eqNullSafe(rounded_often("d2", 9))).collect() == []
